@@ -82,11 +82,15 @@ def reference_matches(
         .agg(F.collect_list("use").alias("uses"), F.collect_set("parent").alias("parents"))
         .where(F.size("uses") > 0)
     )
-    totals = met.select("parents", F.explode("uses").alias("use")).select(
-        "use.child", "use.n", F.explode(F.array_append("parents", -1)).alias("parent")
+    # Parent -1 stands for all rows of the column.
+    sums = (
+        met.select("parents", F.explode("uses").alias("use"))
+        .select("use.child", "use.n", F.explode(F.array_append("parents", -1)).alias("parent"))
+        .groupBy("child", "parent")
+        .agg(F.sum("n").alias("rows"))
+        .groupBy("child")
+        .agg(F.map_from_entries(F.collect_list(F.struct("parent", "rows"))).alias("rows_of"))
     )
-    sums = totals.groupBy("child", "parent").agg(F.sum("n").alias("rows"))
-    whole = sums.where(F.col("parent") == -1).select("child", F.col("rows").alias("total"))
     pairs = spark.createDataFrame(
         [
             (i, ct, cc, j, pt, pc, _stem(pt) == _stem(_without_suffix(cc, suffixes)))
@@ -97,8 +101,10 @@ def reference_matches(
         CANDIDATE_SCHEMA,
     )
     return (
-        pairs.join(sums, ["child", "parent"])
-        .join(whole, "child")
+        pairs.join(sums, "child")
+        .withColumn("rows", F.coalesce(F.try_element_at("rows_of", "parent"), F.lit(0)))
+        .withColumn("total", F.element_at("rows_of", -1))
+        .drop("rows_of")
         .withColumn("share", F.col("rows") / F.col("total"))
         .withColumn("match_pct", F.round(100.0 * F.col("rows") / F.col("total"), 1))
     )

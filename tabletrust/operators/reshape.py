@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletrust.functions import rules
-from tabletrust.operators.skew import heavy_keys
+from tabletrust.operators.skew import join_by_key
 
 
 def array_size(df: DataFrame, column: str) -> DataFrame:
@@ -39,27 +39,28 @@ def embed_children(
     child: DataFrame,
     foreign_key: str,
     fields: list[str],
-    heavy_share: float | None = None,
+    per_document: int = 10_000,
 ) -> DataFrame:
     """Parents with their children as an array of structs, sorted by the first field.
 
-    A parent document is one row. A parent that owns more than `heavy_share` of all children
-    is written as several documents, numbered by `segment`, so no task has to hold all of its
-    children; every child is in exactly one segment.
+    A parent with more than about `per_document` children is written as several documents,
+    numbered by `segment`, so neither a task nor a document has to hold an unbounded array.
+    Every child is in exactly one segment.
     """
-    share = {} if heavy_share is None else {"share": heavy_share}
-    heavy = heavy_keys(child, foreign_key, **share).withColumn("heavy", F.lit(True))
-    segments = F.pmod(F.xxhash64(*fields), F.lit(1024))
-    segment = F.when(F.col("heavy"), segments).otherwise(0).cast("int")
+    counts = child.where(F.col(foreign_key).isNotNull()).groupBy(foreign_key)
+    large = counts.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_document)
+    segments = F.ceil(F.col("n") / per_document)
+    segment = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(*fields), segments)).otherwise(0)
     grouped = (
-        child.join(F.broadcast(heavy), foreign_key, "left")
-        .withColumn("segment", segment)
+        join_by_key(child, large, foreign_key, "left")
+        .withColumn("segment", segment.cast("int"))
         .groupBy(foreign_key, "segment")
         .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("children"))
         .withColumnRenamed(foreign_key, key)
     )
+    children = grouped.schema["children"].dataType
     return (
         parent.join(grouped, key, "left")
         .fillna(0, ["segment"])
-        .withColumn("children", F.coalesce("children", F.array().cast(grouped.schema["children"].dataType)))
+        .withColumn("children", F.coalesce("children", F.array().cast(children)))
     )

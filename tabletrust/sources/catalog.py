@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletrust.functions import rules
+from tabletrust.operators.skew import join_by_key
 
 COLUMNS_SCHEMA = (
     "table string, ordinal int, column string, type string, nullable boolean, "
@@ -176,10 +177,9 @@ def document_census(
         F.max((F.col("kind") == "null")).alias("nullable"),
         F.sum((F.col("kind") != "null").cast("int")).alias("kinds"),
     )
-    total = parsed.agg(F.count(F.lit(1)).alias("docs")).withColumn("one", F.lit(1))
+    total = parsed.agg(F.count(F.lit(1)).alias("docs"))
     return (
-        per_field.withColumn("one", F.lit(1))
-        .join(total, "one")
+        per_field.withColumn("docs", total.scalar())
         .select(
             "field",
             "type",
@@ -218,15 +218,14 @@ def _kind(schema: Column, kinds: str) -> Column:
 def relationship_census(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (source label, relationship, target label) of a property graph, FK-shaped.
 
-    `nodes(id, label)`, `edges(src, rel, dst)`. Edges are first collapsed to distinct
-    (source label, rel, dst), so a node with very many edges is combined before the
-    second lookup.
+    `nodes(id, label)` with each id once, `edges(src, rel, dst)`. A node may have any share of
+    the edges: heavy nodes are looked up without moving their edges.
     """
     by_src = nodes.select(F.col("id").alias("src"), F.col("label").alias("table"))
     by_dst = nodes.select(F.col("id").alias("dst"), F.col("label").alias("ref_table"))
-    half = edges.join(by_src, "src").select("table", "rel", "dst").distinct()
+    half = join_by_key(edges, by_src, "src").select("table", "rel", "dst").distinct()
     return (
-        half.join(by_dst, "dst")
+        join_by_key(half, by_dst, "dst")
         .select(
             "table",
             F.concat(F.lit("-[:"), F.col("rel"), F.lit("]->")).alias("column"),
