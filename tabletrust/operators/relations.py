@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tabletrust.functions import rules
 from tabletrust.functions.predicates import INTEGRAL
+from tabletrust.session import materialize
 from tabletrust.sources.catalog import Declared
 
 CANDIDATE_SCHEMA = (
@@ -178,13 +179,16 @@ def load_order(tables: DataFrame, foreign_keys: DataFrame) -> DataFrame:
 
     `tables(table)`, `foreign_keys(table, ref_table)`. A table's level is the longest chain of
     references below it. Self references are ignored; tables in or below a cycle go last.
+    Every level of the recursion reads the references again, so they are stored first.
     """
     spark = tables.sparkSession
+    tables = materialize(tables.select("table").distinct(), "load-order-tables")
+    foreign_keys = materialize(foreign_keys.select("table", "ref_table").distinct(), "load-order-links")
     return spark.sql(
         """
-        WITH RECURSIVE nodes AS (SELECT DISTINCT table FROM {tables}),
+        WITH RECURSIVE nodes AS (SELECT table FROM {tables}),
         links AS (
-          SELECT DISTINCT f.table, f.ref_table FROM {fks} f
+          SELECT f.table, f.ref_table FROM {fks} f
           JOIN nodes a ON a.table = f.table JOIN nodes b ON b.table = f.ref_table
           WHERE f.table <> f.ref_table),
         walk(table, depth) AS (

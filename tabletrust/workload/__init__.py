@@ -1,6 +1,6 @@
 """The registered queries and the SQL each one is checked against."""
 
-from tabletrust.workload import profiling, scans  # noqa: F401
+from tabletrust.workload import mappings, profiling, quality, scans  # noqa: F401
 from tabletrust.workload.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

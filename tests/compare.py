@@ -47,7 +47,8 @@ def differences(df, con, sql: str) -> list[str]:
     b = rows_of(rel.fetchall(), columns)
     if len(a) != len(b):
         out.append(f"rows {len(a)} / {len(b)}")
-    only_a, only_b = [r for r in a if r not in set(b)], [r for r in b if r not in set(a)]
+    in_a, in_b = set(a), set(b)
+    only_a, only_b = [r for r in a if r not in in_b], [r for r in b if r not in in_a]
     if only_a or only_b or a != b:
         out.append(f"{sorted(df.columns)}\n   spark {only_a[:3]}\n   sql   {only_b[:3]}")
     return out
