@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tabletrust.functions import rules
 
 ACTIVE = ["analyzing", "profiling", "planning", "executing", "validating"]
 
 
-def sweep(
-    beats: DataFrame, now: Column, after: int = rules.STALE_AFTER_SECONDS
-) -> DataFrame:
+def sweep(beats: DataFrame, now: Column, after: int = rules.STALE_AFTER_SECONDS) -> DataFrame:
     """(job, status, last_beat, stale): active jobs silent for too long become `failed`.
 
     `beats(job, status, ts)`; the status of the latest beat counts. Only the latest beat per job
@@ -36,54 +33,53 @@ def sweep(
     )
 
 
-class _Watch(StatefulProcessor):
-    """Re-arms a timer on each beat of a job; a timer that goes off reports it."""
+def _latest_beats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The latest beat of each job in every batch of rows, so busy jobs do not travel whole."""
+    for frame in frames:
+        yield frame.loc[frame.groupby("job")["ts"].idxmax()]
 
-    def __init__(self, after: int = rules.STALE_AFTER_SECONDS):
-        self.after_ms = after * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint, status string")
+def _silence(after_ms: int):
+    """Re-arms a job's timer on each beat; a timer that goes off reports the job."""
 
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-    ) -> Iterator[pd.DataFrame]:
-        seen = self.last.get() if self.last.exists() else None
-        for frame in rows:
+    def watch_job(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            last_ms, status = state.get
+            state.remove()
+            if status in ACTIVE:
+                beat = pd.Timestamp(last_ms, unit="ms")
+                yield pd.DataFrame({"job": [key[0]], "status": ["failed"], "last_beat": [beat]})
+            return
+        seen = state.get if state.exists else (-1, "")
+        for frame in frames:
             top = frame.loc[frame["ts"].idxmax()]
             ms = int(top["ts"].timestamp() * 1000)
-            if seen is None or ms >= seen[0]:
+            if ms >= seen[0]:
                 seen = (ms, top["status"])
-        self.last.update(seen)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if seen[1] in ACTIVE:
-            self.handle.registerTimer(seen[0] + self.after_ms)
-        return iter(())
-
-    def handleExpiredTimer(
-        self, key: Any, timerValues: Any, expiredTimerInfo: Any
-    ) -> Iterator[pd.DataFrame]:
-        ms, _ = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame(
-            {"job": [key[0]], "status": ["failed"], "last_beat": [pd.Timestamp(ms, unit="ms")]}
-        )
+        state.update(seen)
+        state.setTimeoutTimestamp(max(seen[0] + after_ms, state.getCurrentWatermarkMs() + 1))
 
-    def close(self) -> None:
-        pass
+    return watch_job
 
 
-def watch(beats: DataFrame, delay: str = "0 seconds", after: int = rules.STALE_AFTER_SECONDS) -> DataFrame:
-    """Stream of jobs whose beats ended, judged in event time."""
+def watch(
+    beats: DataFrame, delay: str = "0 seconds", after: int = rules.STALE_AFTER_SECONDS
+) -> DataFrame:
+    """Stream of jobs whose beats ended, judged in event time.
+
+    Late beats older than `delay` are still compared by their own time, so an old beat never
+    hides a newer one.
+    """
     return (
-        beats.withWatermark("ts", delay)
+        beats.select("job", "status", "ts")
+        .mapInPandas(_latest_beats, "job string, status string, ts timestamp")
+        .withWatermark("ts", delay)
         .groupBy("job")
-        .transformWithStateInPandas(
-            statefulProcessor=_Watch(after),
-            outputStructType="job string, status string, last_beat timestamp",
-            outputMode="append",
-            timeMode="eventTime",
+        .applyInPandasWithState(
+            _silence(after * 1000),
+            "job string, status string, last_beat timestamp",
+            "last_ms bigint, status string",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
