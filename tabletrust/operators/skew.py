@@ -5,23 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabletrust.session import materialize
+
 HEAVY_SHARE = 0.001
+HEAVY_ROWS = 100_000
+
 
+def heavy_keys(
+    big: DataFrame, key: str, share: float = HEAVY_SHARE, rows: int = HEAVY_ROWS
+) -> DataFrame:
+    """Keys with more than `share` of all rows, and more than `rows`.
 
-def heavy_keys(big: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys with more than `share` of all rows. There can be at most 1/share of them."""
+    There can be at most 1/share of them, whatever the data. The count reads the key alone
+    and is combined inside each task.
+    """
     counts = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total = big.agg(F.count(F.lit(1)).alias("t"))
-    return counts.where(F.col("n") > total.scalar() * F.lit(share)).select(key)
+    least = F.greatest(F.lit(float(rows)), total.scalar() * F.lit(share))
+    return counts.where(F.col("n") > least).select(key)
 
 
-def join_by_key(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_by_key(
+    big: DataFrame, small: DataFrame, key: str, how: str = "inner", rows: int = HEAVY_ROWS
+) -> DataFrame:
     """`big` joined to `small`, which holds each key once, without moving heavy keys.
 
-    Rows of heavy keys stay where they are and meet a broadcast of at most 1/HEAVY_SHARE
-    rows; all other rows are shuffled as usual. `how` is inner or left.
+    The heavy keys are found first. Without any this is a plain join. Otherwise their rows stay
+    where they are and meet a broadcast of at most 1/HEAVY_SHARE rows, while all other rows
+    are shuffled as usual. `how` is inner or left.
     """
-    heavy = F.broadcast(heavy_keys(big, key))
+    heavy = materialize(heavy_keys(big, key, rows=rows), "heavy-keys")
+    if heavy.isEmpty():
+        return big.join(small, key, how)
+    heavy = F.broadcast(heavy)
     heavy_rows = big.join(heavy, key, "left_semi")
     light_rows = big.join(heavy, key, "left_anti")
     heavy_small = F.broadcast(small.join(heavy, key, "left_semi"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletrust.functions import rules
-from tabletrust.functions.hashing import row_hash
+from tabletrust.functions.hashing import fingerprint, shared_types
 from tabletrust.operators.mapping import TableMap, apply_mapping
 from tabletrust.operators.relations import orphans
 from tabletrust.sources.catalog import Declared, row_counts
@@ -77,9 +77,14 @@ def compare_hashes(
     else:
         mapped = apply_mapping(source, mapping.columns)
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    src = mapped.select(row_hash(mapped, names).alias("h"), one.alias("s"), none.alias("t"))
-    tgt = target.select(row_hash(target, names).alias("h"), none.alias("s"), one.alias("t"))
-    per_hash = src.unionAll(tgt).groupBy("h").agg(F.sum("s").alias("s"), F.max("t").alias("t"))
+    as_is = shared_types(mapped, target, names)
+
+    def hashed(df: DataFrame, s, t) -> DataFrame:
+        h1, h2 = fingerprint(df, names, as_is)
+        return df.select(h1.alias("h1"), h2.alias("h2"), s.alias("s"), t.alias("t"))
+
+    both = hashed(mapped, one, none).unionAll(hashed(target, none, one))
+    per_hash = both.groupBy("h1", "h2").agg(F.sum("s").alias("s"), F.max("t").alias("t"))
     return per_hash.agg(
         F.coalesce(F.sum("s"), F.lit(0)).alias("checked"),
         F.coalesce(F.sum(F.when(F.col("t") > 0, F.col("s"))), F.lit(0)).alias("matched"),
@@ -132,40 +137,43 @@ def target_references(
     return out
 
 
+# A bag of row hashes is summed in three pieces of 21 bits: a sum of bigints that cannot
+# overflow below four trillion rows per key.
+PIECES = [43, 22, 1]
+PIECE_MASK = (1 << 21) - 1
+
+
 def compare_rows(source: DataFrame, target: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Keys whose rows are `missing` from the target, `extra` in it, or `changed`.
 
-    Both sides are grouped by key in one shuffle as (rows, sum of row hashes), which is small,
-    order-free, and combined inside each task: a key with very many rows stays cheap.
+    Both sides are grouped by key in one shuffle: rows per side, and the sum of the source's row
+    hashes minus the target's, which is zero for equal bags in any order. The sums are combined
+    inside each task, so a key with very many rows stays cheap.
     """
-    number = "decimal(20,0)"
-
-    def side(df: DataFrame, is_source: bool) -> DataFrame:
-        mark = F.xxhash64(row_hash(df, columns)).cast(number)
-        zero = F.lit(0).cast(number)
-        return df.select(
-            *[F.col(k) for k in key],
-            F.lit(int(is_source)).alias("s"),
-            F.lit(int(not is_source)).alias("t"),
-            (mark if is_source else zero).alias("sh"),
-            (zero if is_source else mark).alias("th"),
+    as_is = shared_types(source, target, columns)
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        mark, _ = fingerprint(df, columns, as_is)
+        pieces = [
+            (F.shiftrightunsigned(F.col("mark"), shift).bitwiseAND(PIECE_MASK) * sign).alias(f"p{i}")
+            for i, shift in enumerate(PIECES)
+        ]
+        return df.select(*key, mark.alias("mark")).select(
+            *key, F.lit(int(sign > 0)).alias("s"), F.lit(int(sign < 0)).alias("t"), *pieces
         )
 
+    sums = [F.sum(f"p{i}").alias(f"p{i}") for i in range(len(PIECES))]
     per_key = (
-        side(source, True)
-        .unionByName(side(target, False))
+        side(source, 1)
+        .unionByName(side(target, -1))
         .groupBy(*key)
-        .agg(
-            F.sum("s").alias("source_rows"),
-            F.sum("t").alias("target_rows"),
-            F.sum("sh").alias("sh"),
-            F.sum("th").alias("th"),
-        )
-    )
-    s, t = F.col("source_rows"), F.col("target_rows")
-    label = (
-        F.when(t == 0, "missing").when(s == 0, "extra").when((s != t) | (F.col("sh") != F.col("th")), "changed")
+        .agg(F.sum("s").alias("s"), F.sum("t").alias("t"), *sums)
     )
+    s, t = F.col("s"), F.col("t")
+    unequal = s != t
+    for i in range(len(PIECES)):
+        unequal = unequal | (F.col(f"p{i}") != 0)
+    label = F.when(t == 0, "missing").when(s == 0, "extra").when(unequal, "changed")
     return per_key.select(*key, label.alias("difference")).where(F.col("difference").isNotNull())
 
 

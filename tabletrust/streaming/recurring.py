@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,16 +18,15 @@ def run_check(
     current_columns: DataFrame,
     base_indexes: DataFrame,
     current_indexes: DataFrame,
-    checked_at,
+    checked_at: Column,
 ) -> tuple[DataFrame, DataFrame]:
-    """(events, checks) of one sweep.
+    """(events, checks) of one sweep over `monitors(monitor, enabled, error, last_score)`.
 
-    `monitors(monitor, enabled)`. A monitor whose current catalog could not be read (no rows in
-    `current_columns`) is left out of the comparison instead of reporting all its tables as
-    dropped, and does not keep the others from being checked.
+    `error` says why a monitor's current catalog could not be read. Such a monitor is recorded
+    with its last score and no events, and does not keep the others from being checked.
     """
-    enabled = monitors.where("enabled").select("monitor")
-    readable = enabled.join(current_columns.select("monitor").distinct(), "monitor", "left_semi")
+    enabled = monitors.where("enabled")
+    readable = enabled.where(F.col("error").isNull()).select("monitor")
 
     def kept(df: DataFrame) -> DataFrame:
         return df.join(readable, "monitor", "left_semi")
@@ -38,7 +37,22 @@ def run_check(
         kept(base_indexes),
         kept(current_indexes),
     )
-    return events, drift.check_results(readable, events, checked_at)
+    checks = drift.check_results(enabled, events, checked_at).join(
+        enabled.select("monitor", "error", "last_score"), "monitor"
+    )
+    failed = F.col("error").isNotNull()
+    score = F.when(failed, F.coalesce("last_score", F.lit(0))).otherwise(F.col("health_score"))
+    return events, checks.withColumn("health_score", score.cast("int")).drop("last_score")
+
+
+def as_monitors(names: DataFrame) -> DataFrame:
+    """Enabled, readable monitors from a column of names."""
+    return names.select("monitor").distinct().select(
+        "monitor",
+        F.lit(True).alias("enabled"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit(None).cast("int").alias("last_score"),
+    )
 
 
 @dataclass
@@ -61,10 +75,13 @@ class DriftSweep:
 
     def check_batch(self, snapshot: DataFrame, batch_id: int) -> None:
         spark = snapshot.sparkSession
-        base = self.baseline.read()
+        # Only the monitors that sent a snapshot in this batch are compared.
+        arrived = snapshot.select("monitor").distinct()
+        base = self.baseline.read().join(arrived, "monitor", "left_semi")
         none = spark.createDataFrame([], "monitor string, table string, index string, unique boolean")
-        monitors = base.select("monitor", F.lit(True).alias("enabled")).distinct()
-        events, checks = run_check(monitors, base, snapshot, none, none, F.current_timestamp())
+        events, checks = run_check(
+            as_monitors(base), base, snapshot, none, none, F.current_timestamp()
+        )
         # A batch that runs again replaces its own folder, so nothing is counted twice.
         events.write.mode("overwrite").parquet(f"{self.events_path}/batch={batch_id}")
         checks.write.mode("overwrite").parquet(f"{self.checks_path}/batch={batch_id}")

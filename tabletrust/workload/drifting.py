@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabletrust.functions import rules
 from tabletrust.operators import drift
 from tabletrust.session import materialize
-from tabletrust.streaming.recurring import run_check
+from tabletrust.streaming.recurring import as_monitors, run_check
 from tabletrust.workload.profile_sql import quoted
 from tabletrust.workload.registry import query
 from tabletrust.workload.scenario import table, tables, with_views
@@ -86,7 +86,7 @@ checks AS (SELECT m.monitor, CAST(count(*) FILTER (WHERE severity = 'critical')
   count(severity) > 0 AS has_drift,
   CAST(greatest(0, 100 - 25 * count(*) FILTER (WHERE severity = 'critical')
     - 8 * count(*) FILTER (WHERE severity = 'warning')) AS INT) AS health_score
-  FROM (SELECT DISTINCT monitor FROM current_catalog SEMI JOIN base_catalog USING (monitor)) m
+  FROM (SELECT DISTINCT monitor FROM base_catalog) m
   LEFT JOIN events e ON e.monitor = m.monitor GROUP BY m.monitor)
 """
 RANK_SQL = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
@@ -132,9 +132,9 @@ def catalog_presence(spark, folder):
 def drift_health(spark, folder):
     """One recurring check of every monitor."""
     data = tables(spark, folder, *CATALOGS)
-    monitors = data["base_catalog"].select("monitor", F.lit(True).alias("enabled")).distinct()
+    monitors = as_monitors(data["base_catalog"])
     _, checks = run_check(monitors, *[data[name] for name in CATALOGS], F.current_timestamp())
-    return checks.drop("checked_at")
+    return checks.drop("checked_at", "error")
 
 
 @query(

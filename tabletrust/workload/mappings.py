@@ -345,7 +345,7 @@ def _upload_file(spark, folder) -> str:
     events.select(
         F.col("event_id").cast("string").alias(" Event ID "),
         F.when(F.col("ok") == 1, "True").otherwise("FALSE").alias("Ok?"),
-        F.when(F.col("user_id") < 20, "N/A").otherwise(F.concat(F.lit(" "), F.col("user_id"))).alias("user"),
+        F.when(F.col("flag") == "0", "N/A").otherwise(F.concat(F.lit(" "), F.col("user_id"))).alias("user"),
         F.col("amount"),
         F.when(F.col("amount") == "n/k", "none").otherwise(F.col("amount")).alias("price"),
         F.lit("null").alias("nothing"),
@@ -384,7 +384,7 @@ def csv_types(spark, folder):
     "csv_rows",
     with_views(
         """
-        SELECT event_id, ok = 1 AS ok, CASE WHEN user_id >= 20 THEN user_id END AS "user", amount,
+        SELECT event_id, ok = 1 AS ok, CASE WHEN flag = '0' THEN NULL ELSE user_id END AS "user", amount,
           TRY_CAST(amount AS DOUBLE) AS price
         FROM loose_events
         """,
