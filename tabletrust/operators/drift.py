@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabletrust.functions import predicates as P
 from tabletrust.functions import rules
+from tabletrust.session import materialize
 
 EVENT_COLUMNS = [
     "monitor", "severity", "kind", "table", "column", "detail", "likely_type", "advice",
@@ -72,7 +73,8 @@ def diff_catalogs(
         table_keys,
         [],
     )
-    moved = tables.where(F.col("in_base") != F.col("in_current"))
+    # Three comparisons leave these tables out, so they are worked out once.
+    moved = materialize(tables.where(F.col("in_base") != F.col("in_current")), "moved-tables")
     table_events = moved.select(
         "monitor",
         F.when(F.col("in_base"), "critical").otherwise("info").alias("severity"),

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tabletrust.functions import conversions as C
 from tabletrust.functions import rules
+from tabletrust.session import materialize
 
 
 @dataclass(frozen=True)
@@ -256,6 +257,7 @@ def match_header(headers: DataFrame, columns: DataFrame) -> tuple[DataFrame, Dat
         )
         .select("upload", "table", "matched", "headers", "accepted")
     )
+    best = materialize(best, "best-tables")
     chosen = best.where("accepted").select("upload", "table").join(cols, "table")
     left_over = heads.join(chosen, ["upload", "name"], "left_anti").join(
         best.where("accepted").select("upload"), "upload", "left_semi"

@@ -11,30 +11,13 @@ from pyspark.sql import types as T
 from tabletrust.functions import predicates as P
 from tabletrust.functions import rules
 from tabletrust.operators.relations import orphans
-from tabletrust.sources.catalog import Declared
+from tabletrust.session import materialize
+from tabletrust.sources.catalog import Declared, row_counts
 
 ISSUE_COLUMNS = ["severity", "kind", "table", "column", "value", "hits", "rows", "examples"]
 EXAMPLES = 3
 
 
-def _with_examples(groups: DataFrame, hits: str) -> DataFrame:
-    """Per (table, column): total hits and the three smallest values, as text.
-
-    `groups(table, column, value, n)` holds distinct values. The rank filter is applied inside
-    each task before the shuffle, so no more than three rows per task and column move.
-    """
-    by = ["table", "column"]
-    order = Window.partitionBy(*by).orderBy("value")
-    top = (
-        groups.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= EXAMPLES)
-        .groupBy(*by)
-        .agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("examples"))
-    )
-    total = F.count(F.lit(1)) if hits == "values" else F.sum("n")
-    return groups.groupBy(*by).agg(total.alias("hits")).join(top, by)
-
-
 def _columns(df: DataFrame) -> list[tuple[str, T.DataType]]:
     return [(f.name, f.dataType) for f in df.schema.fields]
 
@@ -79,103 +62,123 @@ def value_faults(df: DataFrame, table: str, declared: Declared) -> DataFrame:
     )
 
 
+# The checks below return hit groups: (severity, kind, table, column, value, n), one row per
+# distinct bad value. `summarise` turns them into issues.
+
+
 def sentinel_dates(df: DataFrame, table: str) -> DataFrame:
     """Placeholder dates in any text or temporal column."""
-    cells = []
+    cells, any_hit = [], F.lit(False)
     for name, dtype in _columns(df):
         if isinstance(dtype, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
             text = F.col(f"`{name}`").cast("string")
-            hit = F.when(P.is_sentinel_date(text), text)
-            cells.append(F.struct(F.lit(name).alias("column"), hit.alias("value")))
+            hit = P.is_sentinel_date(text)
+            any_hit = any_hit | F.coalesce(hit, F.lit(False))
+            cells.append(F.struct(F.lit(name).alias("column"), F.when(hit, text).alias("value")))
     if not cells:
-        return _no_issues(df)
-    groups = (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
-        .select(F.lit(table).alias("table"), "cell.column", "cell.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("table", "column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return _issues(_with_examples(groups, "rows"), "medium", "sentinel_date", df)
+        return _no_groups(df)
+    # Only rows with a hit are taken apart into cells.
+    return _groups(df.where(any_hit), cells, "medium", "sentinel_date", table)
 
 
 def duplicate_uniques(df: DataFrame, table: str, declared: Declared) -> DataFrame:
-    """Values that occur more than once in a single-column UNIQUE index; hits counts values."""
+    """Values that occur more than once in a single-column UNIQUE index."""
     if not declared.unique:
-        return _no_issues(df)
+        return _no_groups(df)
     cells = [
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
         for c in declared.unique
     ]
-    groups = (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
-        .select(F.lit(table).alias("table"), "cell.column", "cell.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("table", "column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-    )
-    return _issues(_with_examples(groups, "values"), "high", "duplicate_in_unique", df)
+    return _groups(df, cells, "high", "duplicate_in_unique", table).where(F.col("n") > 1)
 
 
 def orphaned_rows(tables: dict[str, DataFrame], table: str, declared: Declared) -> DataFrame:
-    """Rows whose foreign key finds no parent. An empty parent is not checked."""
+    """Foreign key values without a parent. An empty parent is not checked."""
     df = tables[table]
-    found = []
+    found = [_no_groups(df)]
     for column, ref_table, ref_column in declared.foreign_keys:
         parent = tables.get(ref_table)
-        if parent is None:
+        if parent is None or parent.isEmpty():
             continue
-        parent_rows = parent.agg(F.count(F.lit(1)).alias("n"))
-        lost = orphans(df, column, parent, ref_column).where(parent_rows.scalar() > 0)
         found.append(
-            lost.select(
+            orphans(df, column, parent, ref_column).select(
+                F.lit("high").alias("severity"),
+                F.lit("orphaned_rows").alias("kind"),
                 F.lit(table).alias("table"),
                 F.lit(column).alias("column"),
                 F.col("value").cast("string").alias("value"),
                 "n",
             )
         )
-    if not found:
-        return _no_issues(df)
-    groups = reduce(DataFrame.unionAll, found)
-    return _issues(_with_examples(groups, "rows"), "high", "orphaned_rows", df)
-
-
-def _issues(found: DataFrame, severity: str, kind: str, df: DataFrame) -> DataFrame:
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    return found.select(
-        F.lit(severity).alias("severity"),
-        F.lit(kind).alias("kind"),
-        "table",
-        "column",
-        F.lit("").alias("value"),
-        "hits",
-        rows.scalar().alias("rows"),
-        "examples",
+    return reduce(DataFrame.unionAll, found)
+
+
+def _groups(df: DataFrame, cells: list, severity: str, kind: str, table: str) -> DataFrame:
+    return (
+        df.select(F.explode(F.array(*cells)).alias("cell"))
+        .select("cell.column", "cell.value")
+        .where(F.col("value").isNotNull())
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            F.lit(severity).alias("severity"),
+            F.lit(kind).alias("kind"),
+            F.lit(table).alias("table"),
+            "column",
+            "value",
+            "n",
+        )
     )
 
 
-def _no_issues(df: DataFrame) -> DataFrame:
+def _no_groups(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(
-        [],
-        "severity string, kind string, table string, column string, value string, hits bigint, "
-        "rows bigint, examples string",
+        [], "severity string, kind string, table string, column string, value string, n bigint"
+    )
+
+
+def summarise(groups: DataFrame, counts: DataFrame) -> DataFrame:
+    """Issues from hit groups: total hits and the three smallest values, as text.
+
+    Hits are rows, but for repeated UNIQUE values they are values. `counts(table, rows)`. The
+    groups are stored first, so the tables behind them are scanned once. The rank filter is
+    applied inside each task, so no more than three rows per task and column move.
+    """
+    by = ["severity", "kind", "table", "column"]
+    groups = materialize(groups, "quality-groups")
+    counts = materialize(counts, "quality-counts")
+    order = Window.partitionBy(*by).orderBy("value")
+    top = (
+        groups.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= EXAMPLES)
+        .groupBy(*by)
+        .agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("examples"))
+    )
+    total = groups.groupBy(*by).agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
+    hits = F.when(F.col("kind") == "duplicate_in_unique", F.col("values")).otherwise(F.col("n"))
+    return (
+        total.join(top, by)
+        .join(counts, "table")
+        .select(
+            "severity", "kind", "table", "column", F.lit("").alias("value"), hits.alias("hits"),
+            "rows", "examples",
+        )
     )
 
 
 def quality_issues(tables: dict[str, DataFrame], declared: dict[str, Declared]) -> DataFrame:
     """All faults of all tables, with a sentence each."""
-    found = []
+    faults, groups = [], []
     for table, df in tables.items():
         says = declared.get(table, Declared())
-        found += [
-            value_faults(df, table, says),
+        faults.append(value_faults(df, table, says))
+        groups += [
             sentinel_dates(df, table),
             duplicate_uniques(df, table, says),
             orphaned_rows(tables, table, says),
         ]
-    return with_detail(reduce(DataFrame.unionAll, found))
+    found = summarise(reduce(DataFrame.unionAll, groups), row_counts(tables))
+    return with_detail(materialize(reduce(DataFrame.unionAll, [*faults, found]), "quality-issues"))
 
 
 def with_detail(issues: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tabletrust.functions import rules
 from tabletrust.operators.skew import join_by_key
+from tabletrust.session import materialize
+from tabletrust.sources.tables import BROADCAST_KEYS
 
 
 def array_size(df: DataFrame, column: str) -> DataFrame:
@@ -49,12 +51,24 @@ def embed_children(
     """
     counts = child.where(F.col(foreign_key).isNotNull()).groupBy(foreign_key)
     large = counts.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_document)
-    segments = F.ceil(F.col("n") / per_document)
-    segment = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(*fields), segments)).otherwise(0)
+    large = materialize(large, "large-parents")
+    many = large.count()
+    if many == 0:
+        numbered = child.withColumn("segment", F.lit(0))
+    else:
+        # The large parents are counted before they are broadcast.
+        with_size = (
+            child.join(F.broadcast(large), foreign_key, "left")
+            if many <= BROADCAST_KEYS
+            else join_by_key(child, large, foreign_key, "left")
+        )
+        segments = F.ceil(F.col("n") / per_document)
+        spread = F.pmod(F.xxhash64(*fields), segments).cast("int")
+        numbered = with_size.withColumn(
+            "segment", F.when(F.col("n").isNotNull(), spread).otherwise(0)
+        )
     grouped = (
-        join_by_key(child, large, foreign_key, "left")
-        .withColumn("segment", segment.cast("int"))
-        .groupBy(foreign_key, "segment")
+        numbered.groupBy(foreign_key, "segment")
         .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("children"))
         .withColumnRenamed(foreign_key, key)
     )

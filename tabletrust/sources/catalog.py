@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tabletrust.functions import rules
 from tabletrust.operators.skew import join_by_key
+from tabletrust.session import materialize
 
 COLUMNS_SCHEMA = (
     "table string, ordinal int, column string, type string, nullable boolean, "
@@ -161,23 +162,28 @@ def document_census(
     docs = docs.select(F.try_parse_json(F.col(text_column)).alias("doc_json"))
     parsed = docs.where(F.col("doc_json").isNotNull())
     fields = parsed.lateralJoin(
-        docs.sparkSession.tvf.variant_explode(F.col("doc_json").outer()).select(
-            F.col("key").alias("field"), F.col("value").alias("field_value")
+        docs.sparkSession.tvf.variant_explode_outer(F.col("doc_json").outer()).select(
+            F.col("pos").alias("position"),
+            F.col("key").alias("field"),
+            F.col("value").alias("field_value"),
         )
     )
+    # A document has one field at position 0, or one row without a position when it is empty,
+    # so these rows count the documents in the same pass.
     kind = _kind(F.schema_of_variant("field_value"), kinds)
-    per_type = (
-        fields.where(F.col("field").isNotNull())
-        .groupBy("field", kind.alias("kind"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    per_type = materialize(
+        fields.groupBy("field", kind.alias("kind")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("position", F.lit(0)) == 0).alias("firsts")
+        ),
+        "field-kinds",
     )
-    per_field = per_type.groupBy("field").agg(
+    per_field = per_type.where(F.col("field").isNotNull()).groupBy("field").agg(
         F.sum("n").alias("present"),
         F.max_by("kind", F.struct("n", "kind")).alias("type"),
         F.max((F.col("kind") == "null")).alias("nullable"),
         F.sum((F.col("kind") != "null").cast("int")).alias("kinds"),
     )
-    total = parsed.agg(F.count(F.lit(1)).alias("docs"))
+    total = per_type.agg(F.sum("firsts").alias("docs"))
     return (
         per_field.withColumn("docs", total.scalar())
         .select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -56,6 +57,13 @@ class CopyJob:
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self._write(spark, batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _write(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
         good, bad = split_rows(batch, self.mapping.columns)
         if not self.skip_errors and not bad.isEmpty():
             raise RejectedRows(f"batch {batch_id} of {self.mapping.source_table}")
@@ -64,7 +72,10 @@ class CopyJob:
             table.replace(good.limit(0))
         order = "_arrival"
         numbered = good.withColumn(order, F.monotonically_increasing_id())
-        fresh = skip_existing(table.read(), numbered, self.key, order).drop(order)
+        # Only the part of the target the batch's keys fall into is read.
+        low, high = good.agg(F.min(self.key), F.max(self.key)).first()
+        held = table.read().where(F.col(self.key).between(F.lit(low), F.lit(high)))
+        fresh = skip_existing(held, numbered, self.key, order).drop(order)
         table.append(fresh)
         if self.rejects:
             bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabletrust.operators import drift
+from tabletrust.session import materialize
 from tabletrust.sources.sinks import VersionedTable
 
 
@@ -37,6 +38,7 @@ def run_check(
         kept(base_indexes),
         kept(current_indexes),
     )
+    events = materialize(events, "drift-events")
     checks = drift.check_results(enabled, events, checked_at).join(
         enabled.select("monitor", "error", "last_score"), "monitor"
     )

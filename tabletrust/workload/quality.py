@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabletrust.functions import rules
 from tabletrust.operators import quality, relations
-from tabletrust.sources.catalog import Declared
+from tabletrust.sources.catalog import Declared, row_counts
 from tabletrust.workload.registry import query
 from tabletrust.workload.scenario import tables, with_views
 
@@ -92,22 +92,29 @@ def sentinel_numbers(spark, folder):
 def sentinel_dates(spark, folder):
     data = tables(spark, folder, *DIRTY)
     found = [quality.sentinel_dates(data[t], t) for t in DIRTY]
-    return found[0].unionAll(found[1])
+    return quality.summarise(found[0].unionAll(found[1]), row_counts(data))
 
 
 @query("quality_duplicate_unique", _sql(DUPLICATES_SQL))
 def duplicates(spark, folder):
-    data = tables(spark, folder, "dirty_customer")["dirty_customer"]
-    return quality.duplicate_uniques(data, "dirty_customer", SAYS["dirty_customer"])
+    data = tables(spark, folder, "dirty_customer")
+    found = quality.duplicate_uniques(
+        data["dirty_customer"], "dirty_customer", SAYS["dirty_customer"]
+    )
+    return quality.summarise(found, row_counts(data))
 
 
 @query("quality_orphans", _sql(ORPHANS_SQL))
 def orphaned(spark, folder):
     data = tables(spark, folder, *DIRTY)
-    return quality.orphaned_rows(data, "dirty_orders", SAYS["dirty_orders"])
+    found = quality.orphaned_rows(data, "dirty_orders", SAYS["dirty_orders"])
+    return quality.summarise(found, row_counts(data))
 
 
-@query("quality_issues", _sql(f"""SELECT severity, kind, "table", "column", "value", hits, "rows", examples FROM ({ISSUES_SQL})"""))
+@query(
+    "quality_issues",
+    _sql(f'SELECT severity, kind, "table", "column", "value", hits, "rows", examples FROM ({ISSUES_SQL})'),
+)
 def issues(spark, folder):
     return quality.quality_issues(tables(spark, folder, *DIRTY), SAYS).drop("detail")
 

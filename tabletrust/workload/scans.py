@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabletrust.operators import relations, report
 from tabletrust.operators.validate import reference_faults, source_references
+from tabletrust.session import materialize
 from tabletrust.sources import tables as reading
 from tabletrust.sources.catalog import read_catalog, relationship_census, row_counts, schema_summary
 from tabletrust.workload.registry import query
@@ -152,7 +153,7 @@ def fk_load_order(spark, folder):
     """Load and drop order over the references the data bears out."""
     data = tables(spark, folder, *STAR)
     edges = reference_faults(data, REFERENCES).where("orphans = 0").select("table", "ref_table")
-    sizes = row_counts(data)
+    sizes = materialize(row_counts(data), "sizes")
     order = relations.load_order(sizes.select("table"), edges)
     return order.join(sizes, "table").select("table", "level", "rows", "load_position", "drop_position")
 
@@ -177,13 +178,12 @@ def fk_load_order(spark, folder):
 def table_status(spark, folder):
     """A run in progress: three tables done, orders under way, part left out."""
     data = tables(spark, folder, *STAR)
-    edges = reference_faults(data, REFERENCES).select("table", "ref_table")
+    edges = materialize(reference_faults(data, REFERENCES).select("table", "ref_table"), "edges")
     done = row_counts({t: data[t] for t in ("region", "nation", "customer")})
     part_way = row_counts({"orders": data["orders"].where("o_orderstatus = 'F'")})
     log = done.withColumn("done", F.lit(True)).unionByName(part_way.withColumn("done", F.lit(False)))
-    names = reduce(
-        DataFrame.unionAll, [data[t].limit(1).select(F.lit(t).alias("table")) for t in STAR]
-    )
+    log = materialize(log, "run-log")
+    names = materialize(row_counts(data).select("table"), "plan-tables")
     order = relations.load_order(names, edges)
     return report.table_status(names, order, edges, log, validated=True, skipped=("part",))
 

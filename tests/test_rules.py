@@ -384,6 +384,14 @@ def test_document_census(spark):
     assert got["full_name"]["nullable"] and not got["full_name"]["mixed_types"]
 
 
+def test_empty_and_broken_documents(spark):
+    docs = ['{"a": 1}', "{}", '{"a": 2, "b": "x"}', "not json", '{"a": "y"}']
+    got = {r["field"]: r for r in document_census(spark.createDataFrame([(d,) for d in docs], "doc string"), "doc").collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["a"]["presence_pct"], got["b"]["presence_pct"]) == (75.0, 25.0)
+    assert got["a"]["mixed_types"] and got["a"]["target_kind"] == "string" and got["a"]["type"] == "long"
+
+
 def test_catalog_of_tables(spark, dirty):
     catalog = read_catalog(spark, dirty, SAYS)
     rows = {(r["table"], r["column"]): r for r in catalog.columns.collect()}
