@@ -30,6 +30,11 @@ def starts_with_digit(c: Column) -> Column:
     return (c >= "0") & (c < ":")
 
 
+def may_be_date(c: Column) -> Column:
+    """Every date format starts with a digit and has at least ten characters."""
+    return starts_with_digit(c) & (F.length(c) >= 10)
+
+
 def is_email(c: Column) -> Column:
     return c.contains("@") & c.rlike(rules.EMAIL)
 
@@ -43,7 +48,7 @@ def is_url(c: Column) -> Column:
 
 
 def is_iso_date(c: Column) -> Column:
-    return starts_with_digit(c) & c.rlike(rules.ISO_DATE)
+    return may_be_date(c) & c.rlike(rules.ISO_DATE)
 
 
 def is_phone(c: Column) -> Column:
@@ -116,7 +121,7 @@ def date_format_of(c: Column) -> Column:
     label = F.lit(None).cast("string")
     for pattern, name in reversed(rules.DATE_FORMATS):
         label = F.when(c.rlike(pattern), name).otherwise(label)
-    return F.when(starts_with_digit(c), label)
+    return F.when(may_be_date(c), label)
 
 
 def is_sentinel_date(c: Column) -> Column:

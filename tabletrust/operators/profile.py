@@ -1,16 +1,16 @@
 """What the data in each column looks like, from every row.
 
-One pass computes all measures of all columns of a table. Later passes read only the columns
-that need them: exact distinct counts, JSON parsing, and sample values the head of the table
-did not supply. What reaches the driver is one row of counters per column.
+One pass computes all measures of a table's columns. Later passes read only the columns that
+need them: exact distinct counts, JSON parsing, and sample values the head of the table did not
+supply. What reaches the driver is one row of counters per column.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from tabletrust.sources.catalog import Declared, type_name
 
 EXACT_BELOW = 200  # estimated distinct values under which the exact count is taken anyway
 HEAD_ROWS = 256
+COUNTERS_PER_JOB = 60
 SAMPLES = 5
 
 COUNTERS = [
@@ -53,8 +54,7 @@ def kind_of(dtype: T.DataType) -> str:
 def _counters(c: Column, dtype: T.DataType) -> dict[str, Column]:
     """Aggregates that apply to a column of this type."""
     kind = kind_of(dtype)
-    countable = as_text(c, dtype) if isinstance(dtype, P.NESTED) else c
-    out = {"non_null": F.count(c), "approx_distinct": F.approx_count_distinct(countable)}
+    out = {"non_null": F.count(c)}
     if kind != "other":
         out["zero_one"] = F.count_if(P.is_zero_or_one(c, dtype) & c.isNotNull())
     if kind == "string":
@@ -70,7 +70,7 @@ def _counters(c: Column, dtype: T.DataType) -> dict[str, Column]:
             "digits": F.count_if(P.is_digits_4_10(c)),
             "leading_zero": F.count_if(c.startswith("0")),
             "opens_json": F.count_if(P.opens_json(c)),
-            "date_bits": F.bit_or(F.when(P.starts_with_digit(c), bits)),
+            "date_bits": F.bit_or(F.when(P.may_be_date(c), bits)),
         }
     if kind == "integer":
         out["epoch_s"] = F.count_if(P.in_epoch_seconds(c))
@@ -82,76 +82,80 @@ def _counters(c: Column, dtype: T.DataType) -> dict[str, Column]:
     return out
 
 
-def _measure(df: DataFrame) -> list[dict[str, int]]:
-    """One pass over the table: a dict of counters per column, in column order."""
+def _side_by_side(jobs: list) -> list:
+    """Results of independent Spark jobs, submitted together."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
+def _estimates(c: Column, dtype: T.DataType) -> dict[str, Column]:
+    """Kept apart from the counters: a sketch in an aggregate rules out generated code for it."""
+    value = as_text(c, dtype) if isinstance(dtype, P.NESTED) else c
+    return {"approx_distinct": F.approx_count_distinct(value)}
+
+
+def _measure(df: DataFrame, estimate: bool = True) -> list[dict[str, int]]:
+    """A dict of counters per column, in column order.
+
+    Columns are measured in groups, one job each, so the generated code stays small however
+    wide the table is. Every job reads its own columns only.
+    """
     fields = df.schema.fields
-    plan = [(i, _counters(F.col(f"`{f.name}`"), f.dataType)) for i, f in enumerate(fields)]
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    aggregates += [expr.alias(f"{i}:{name}") for i, exprs in plan for name, expr in exprs.items()]
-    row = df.agg(*aggregates).first()
-    out = []
+    columns = [(i, F.col(f"`{f.name}`"), f.dataType) for i, f in enumerate(fields)]
+    plan = [(i, _counters(c, dtype)) for i, c, dtype in columns]
+    if estimate:
+        plan += [(i, _estimates(c, dtype)) for i, c, dtype in columns]
+    chunks: list[list] = [[]]
+    for number, entry in enumerate(plan):
+        full = sum(len(exprs) for _, exprs in chunks[-1]) >= COUNTERS_PER_JOB
+        if full or number == len(fields):
+            chunks.append([])
+        chunks[-1].append(entry)
+
+    def job(chunk: list):
+        aggregates = [F.count(F.lit(1)).alias("rows")]
+        for i, exprs in chunk:
+            aggregates += [expr.alias(f"{i}:{name}") for name, expr in exprs.items()]
+        frame = df.agg(*aggregates)
+        return lambda: frame.first()
+
+    found = {}
+    for row in _side_by_side([job(chunk) for chunk in chunks]):
+        found |= row.asDict()
+    measured = [{**dict.fromkeys(COUNTERS, 0), "rows": found["rows"]} for _ in fields]
     for i, exprs in plan:
-        found = {name: row[f"{i}:{name}"] or 0 for name in exprs}
-        out.append({**dict.fromkeys(COUNTERS, 0), **found, "rows": row["rows"]})
-    return out
+        measured[i] |= {name: found[f"{i}:{name}"] or 0 for name in exprs}
+    return measured
 
 
-def _count_json(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    """Values that are whole JSON texts, for columns whose values nearly all open like one."""
-    if not columns:
-        return {}
-    row = df.agg(
-        *[F.count_if(P.parses_as_json(F.col(f"`{c}`"))).alias(c) for c in columns]
-    ).first()
-    return {c: row[c] for c in columns}
+def _json_count(df: DataFrame, column: str) -> int:
+    """Values that are whole JSON texts."""
+    return df.agg(F.count_if(P.parses_as_json(F.col(f"`{column}`")))).first()[0]
 
 
-def _value_groups(df: DataFrame, columns: dict[int, bool]) -> DataFrame:
-    """(ordinal, value) groups of the given columns; True keeps the value, False digests it.
+def _distinct_count(df: DataFrame, i: int, few: bool) -> int:
+    """Exact distinct values of one column.
 
-    Grouping by column and value together lets every task combine its own repeats first, so
-    a value found in a third of the rows is one row per task.
+    A single distinct aggregate needs no row expansion: each task drops its own repeats, so a
+    value found in a third of the rows moves once per task. Long texts of columns with many
+    values move as digests.
     """
-    fields = df.schema.fields
-    cells = []
-    for i, keep in columns.items():
-        f = fields[i]
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, P.FLOATING):
-            c = c + F.lit(0.0)  # -0.0 and 0.0 are one value
-        text = as_text(c, f.dataType)
-        if not keep and kind_of(f.dataType) in ("string", "other"):
-            text = F.when(F.length(text) > 32, F.md5(text)).otherwise(text)
-        cells.append(F.struct(F.lit(i).alias("ordinal"), text.alias("value")))
-    return (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
-        .select("cell.ordinal", "cell.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("ordinal", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    f = df.schema.fields[i]
+    value = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, P.NESTED):
+        value = F.md5(F.to_json(value))
+    elif kind_of(f.dataType) == "string" and not few:
+        value = F.when(F.length(value) > 32, F.md5(value)).otherwise(value)
+    return df.agg(F.count_distinct(value)).first()[0]
 
 
-def _count_distinct(df: DataFrame, columns: dict[int, bool]) -> dict[int, int]:
-    if not columns:
-        return {}
-    counts = _value_groups(df, columns).groupBy("ordinal").agg(F.count(F.lit(1)).alias("d"))
-    return {r["ordinal"]: r["d"] for r in counts.collect()}
-
-
-def _list_values(df: DataFrame, ordinals: list[int]) -> dict[int, list[str]]:
-    """The values of columns known to have few; the row_number limit is applied per task."""
-    if not ordinals:
-        return {}
-    order = Window.partitionBy("ordinal").orderBy("value")
-    few = (
-        _value_groups(df, dict.fromkeys(ordinals, True))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= rules.ENUM_LIMIT)
-        .groupBy("ordinal")
-        .agg(F.sort_array(F.collect_list("value")).alias("values"))
-    )
-    return {r["ordinal"]: r["values"] for r in few.collect()}
+def _enum_values(df: DataFrame, i: int) -> list[str]:
+    """The smallest distinct values of a text column, as many as an enum may have."""
+    c = F.col(f"`{df.schema.fields[i].name}`").alias("value")
+    values = df.select(c).where(F.col("value").isNotNull()).distinct()
+    return [r[0] for r in values.orderBy("value").limit(rules.ENUM_LIMIT).collect()]
 
 
 def _first_values(df: DataFrame, keys: list[str], non_null: list[int]) -> dict[int, list[str]]:
@@ -196,26 +200,38 @@ def measure_table(
     """Counters, distinct counts, enum values and samples: one row per column."""
     declared = declared or Declared()
     fields = df.schema.fields
-    measured = _measure(df)
-    few = {i: m["approx_distinct"] < EXACT_BELOW for i, m in enumerate(measured)}
-    wanted = {i: keep for i, keep in few.items() if keep or exact_distinct}
-    distinct = _count_distinct(df, wanted)
-    strings = [i for i, f in enumerate(fields) if kind_of(f.dataType) == "string"]
-    listable = [i for i in strings if few[i] and 0 < distinct.get(i, 0) < rules.ENUM_LIMIT]
-    values = _list_values(df, listable)
+    everything = range(len(fields))
+    if exact_distinct:
+        count_all = [partial(_measure, df, False)]
+        count_all += [partial(_distinct_count, df, i, False) for i in everything]
+        measured, *exact_counts = _side_by_side(count_all)
+        for m, d in zip(measured, exact_counts):
+            m["approx_distinct"] = d
+    else:
+        measured = _measure(df)
+    few = [m["approx_distinct"] < EXACT_BELOW for m in measured]
+    wanted = [] if exact_distinct else [i for i in everything if few[i]]
+    texts = [i for i in everything if kind_of(fields[i].dataType) == "string"]
+    maybe_enum = [i for i in texts if few[i] and measured[i]["non_null"]]
     maybe_json = [
-        fields[i].name
-        for i in strings
+        i
+        for i in texts
         if measured[i]["non_null"]
         and measured[i]["opens_json"] >= rules.MATCH_SHARE * measured[i]["non_null"]
     ]
-    json_counts = _count_json(df, maybe_json)
-    firsts = (
-        _first_values(df, list(declared.key), [m["non_null"] for m in measured]) if samples else {}
-    )
+    jobs = {("distinct", i): partial(_distinct_count, df, i, few[i]) for i in wanted}
+    jobs |= {("values", i): partial(_enum_values, df, i) for i in maybe_enum}
+    jobs |= {("json", i): partial(_json_count, df, fields[i].name) for i in maybe_json}
+    if samples:
+        non_null = [m["non_null"] for m in measured]
+        jobs["first"] = partial(_first_values, df, list(declared.key), non_null)
+    done = dict(zip(jobs, _side_by_side(list(jobs.values()))))
+    firsts = done.get("first", {})
     rows = []
     for i, (f, m) in enumerate(zip(fields, measured)):
-        exact = i in wanted
+        exact = exact_distinct or ("distinct", i) in done
+        distinct = done.get(("distinct", i), m["approx_distinct"])
+        values = done.get(("values", i)) if distinct < rules.ENUM_LIMIT else None
         rows.append(
             Row(
                 table,
@@ -224,10 +240,10 @@ def measure_table(
                 declared.types.get(f.name, type_name(f.dataType)),
                 kind_of(f.dataType),
                 *[m[name] for name in COUNTERS],
-                json_counts.get(f.name, 0),
-                distinct.get(i, 0) if exact else m["approx_distinct"],
+                done.get(("json", i), 0),
+                distinct,
                 exact,
-                values.get(i),
+                values,
                 firsts.get(i, []),
             )
         )
