@@ -14,8 +14,12 @@ from tabletrust.operators.relations import orphans
 from tabletrust.session import materialize
 from tabletrust.sources.catalog import Declared, row_counts
 
-ISSUE_COLUMNS = ["severity", "kind", "table", "column", "value", "hits", "rows", "examples"]
+ISSUE_SCHEMA = (
+    "severity string, kind string, table string, column string, value string, hits bigint, "
+    "rows bigint, examples string"
+)
 EXAMPLES = 3
+CHECKS_PER_PASS = 60
 
 
 def _columns(df: DataFrame) -> list[tuple[str, T.DataType]]:
@@ -23,7 +27,11 @@ def _columns(df: DataFrame) -> list[tuple[str, T.DataType]]:
 
 
 def value_faults(df: DataFrame, table: str, declared: Declared) -> DataFrame:
-    """Empty strings in NOT NULL columns and frequent numeric sentinels, in one pass."""
+    """Empty strings in NOT NULL columns and frequent numeric sentinels.
+
+    All checks are counters. Wide tables are counted in groups of columns, each of which reads
+    its own columns only.
+    """
     checks = []  # (severity, kind, column, value, condition, smallest share that counts)
     strict = set(declared.key) | set(declared.not_null)
     for name, dtype in _columns(df):
@@ -35,8 +43,15 @@ def value_faults(df: DataFrame, table: str, declared: Declared) -> DataFrame:
                 checks.append(
                     ("low", "numeric_sentinel", name, str(number), c == number, rules.SENTINEL_SHARE)
                 )
-    if not checks:
-        checks.append(("low", "none", "", "", F.lit(False), 0.0))
+    empty = df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
+    parts = [
+        _count_checks(df, table, checks[i : i + CHECKS_PER_PASS])
+        for i in range(0, len(checks), CHECKS_PER_PASS)
+    ]
+    return reduce(DataFrame.unionAll, parts) if parts else empty
+
+
+def _count_checks(df: DataFrame, table: str, checks: list[tuple]) -> DataFrame:
     counted = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(check[4]).alias(f"hits_{i}") for i, check in enumerate(checks)],
@@ -83,13 +98,21 @@ def sentinel_dates(df: DataFrame, table: str) -> DataFrame:
 
 def duplicate_uniques(df: DataFrame, table: str, declared: Declared) -> DataFrame:
     """Values that occur more than once in a single-column UNIQUE index."""
-    if not declared.unique:
-        return _no_groups(df)
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
-        for c in declared.unique
-    ]
-    return _groups(df, cells, "high", "duplicate_in_unique", table).where(F.col("n") > 1)
+    found = [_no_groups(df)]
+    for column in declared.unique:
+        c = F.col(f"`{column}`")
+        values = df.where(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        found.append(
+            values.where(F.col("n") > 1).select(
+                F.lit("high").alias("severity"),
+                F.lit("duplicate_in_unique").alias("kind"),
+                F.lit(table).alias("table"),
+                F.lit(column).alias("column"),
+                F.col("value").cast("string").alias("value"),
+                "n",
+            )
+        )
+    return reduce(DataFrame.unionAll, found)
 
 
 def orphaned_rows(tables: dict[str, DataFrame], table: str, declared: Declared) -> DataFrame:

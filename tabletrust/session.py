@@ -36,8 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing else uses.
+
+    All paths of one application are in one folder, which can be dropped when it has ended.
+    """
+    run = f"tabletrust-{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark)}/{run}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -230,8 +230,9 @@ def relationship_census(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by_src = nodes.select(F.col("id").alias("src"), F.col("label").alias("table"))
     by_dst = nodes.select(F.col("id").alias("dst"), F.col("label").alias("ref_table"))
     half = join_by_key(edges, by_src, "src").select("table", "rel", "dst").distinct()
+    # A target node is now listed once per source label and relationship, so it cannot be heavy.
     return (
-        join_by_key(half, by_dst, "dst")
+        half.join(by_dst, "dst")
         .select(
             "table",
             F.concat(F.lit("-[:"), F.col("rel"), F.lit("]->")).alias("column"),

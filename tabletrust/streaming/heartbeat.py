@@ -36,7 +36,7 @@ def sweep(beats: DataFrame, now: Column, after: int = rules.STALE_AFTER_SECONDS)
 def _latest_beats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The latest beat of each job in every batch of rows, so busy jobs do not travel whole."""
     for frame in frames:
-        yield frame.loc[frame.groupby("job")["ts"].idxmax()]
+        yield frame.loc[frame.groupby("job")["ms"].idxmax()]
 
 
 def _silence(after_ms: int):
@@ -47,15 +47,13 @@ def _silence(after_ms: int):
             last_ms, status = state.get
             state.remove()
             if status in ACTIVE:
-                beat = pd.Timestamp(last_ms, unit="ms")
-                yield pd.DataFrame({"job": [key[0]], "status": ["failed"], "last_beat": [beat]})
+                yield pd.DataFrame({"job": [key[0]], "status": ["failed"], "ms": [last_ms]})
             return
         seen = state.get if state.exists else (-1, "")
         for frame in frames:
-            top = frame.loc[frame["ts"].idxmax()]
-            ms = int(top["ts"].timestamp() * 1000)
-            if ms >= seen[0]:
-                seen = (ms, top["status"])
+            top = frame.loc[frame["ms"].idxmax()]
+            if top["ms"] >= seen[0]:
+                seen = (int(top["ms"]), top["status"])
         state.update(seen)
         state.setTimeoutTimestamp(max(seen[0] + after_ms, state.getCurrentWatermarkMs() + 1))
 
@@ -71,15 +69,16 @@ def watch(
     hides a newer one.
     """
     return (
-        beats.select("job", "status", "ts")
-        .mapInPandas(_latest_beats, "job string, status string, ts timestamp")
+        beats.select("job", "status", "ts", F.unix_millis("ts").alias("ms"))
+        .mapInPandas(_latest_beats, "job string, status string, ts timestamp, ms bigint")
         .withWatermark("ts", delay)
         .groupBy("job")
         .applyInPandasWithState(
             _silence(after * 1000),
-            "job string, status string, last_beat timestamp",
+            "job string, status string, ms bigint",
             "last_ms bigint, status string",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
+        .select("job", "status", F.timestamp_millis("ms").alias("last_beat"))
     )
