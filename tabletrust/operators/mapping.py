@@ -56,6 +56,12 @@ def target_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, canonical string, target_type string")
 
 
+def stack_types(spark: SparkSession, stack: str) -> DataFrame:
+    """(native, target_type): a stack's own rules, a handful of rows, to pass as `overrides`."""
+    rows = list(rules.STACK_TYPES[stack].items())
+    return F.broadcast(spark.createDataFrame(rows, "native string, target_type string"))
+
+
 def with_target_types(
     columns: DataFrame,
     source: str | Column,

@@ -94,6 +94,7 @@ def type_map(spark, folder):
       SELECT CASE WHEN lower(trim(spelled)) = 'datetime' THEN 'TIMESTAMPTZ'
         WHEN lower(trim(spelled)) = 'double' THEN 'DECIMAL(12,2)'
         WHEN lower(trim(spelled)) = 'longtext' THEN 'TEXT'
+        WHEN lower(trim(spelled)) = 'tinyint(1)' THEN 'BOOLEAN'
         ELSE coalesce(t.target_type, 'TEXT') END AS target_type
       FROM declared d LEFT JOIN target t ON t.family = 'postgres'
         AND t.canonical = CASE WHEN spelled = 'geometry' THEN 'text' ELSE known END)
@@ -102,12 +103,9 @@ def type_map(spark, folder):
 )
 def type_map_overrides(spark, folder):
     """A stack's own rules win over the general ones."""
-    special = spark.createDataFrame(
-        [("DATETIME", "TIMESTAMPTZ"), ("DOUBLE", "DECIMAL(12,2)"), ("LONGTEXT", "TEXT")],
-        "native string, target_type string",
-    )
+    special = mapping.stack_types(spark, "laravel-mysql-to-supabase-postgres")
     typed = mapping.with_target_types(
-        _declared(spark, folder), F.col("source_family"), "postgres", overrides=F.broadcast(special)
+        _declared(spark, folder), F.col("source_family"), "postgres", overrides=special
     )
     return typed.groupBy("target_type").agg(F.count(F.lit(1)).alias("columns"))
 
