@@ -333,6 +333,15 @@ def run_totals(run_log: DataFrame) -> DataFrame:
     )
 
 
+def job_totals(jobs: DataFrame, active: list[str]) -> DataFrame:
+    """One row over `jobs(status, rows)`: how many run, how many are done, and rows moved."""
+    return jobs.agg(
+        F.count_if(F.col("status").isin(active)).alias("running"),
+        F.count_if(F.col("status") == "completed").alias("completed"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_migrated"),
+    )
+
+
 def manual_hours(tables: Column, rows: Column) -> Column:
     return F.round(
         rules.HOURS_PER_TABLE * tables + rules.HOURS_PER_100K_ROWS * (rows / 100_000), 1

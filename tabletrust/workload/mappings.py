@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tabletrust.functions import rules
 from tabletrust.operators import mapping, preview
 from tabletrust.operators.mapping import ColumnMap
+from tabletrust.plans import upload
 from tabletrust.session import fresh_path
 from tabletrust.sources import delimited
 from tabletrust.sources.catalog import read_catalog
-from tabletrust.sources.sinks import adapt_rows
+from tabletrust.sources.sinks import adapt_rows, replace_table
 from tabletrust.workload.profile_sql import quoted
 from tabletrust.workload.registry import query
 from tabletrust.workload.scenario import DECLARED, table, tables, with_views
@@ -397,6 +398,34 @@ def csv_rows(spark, folder):
     )
 
 
+@query(
+    "upload_insert",
+    """
+    SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders
+    UNION ALL
+    SELECT -1 - o_orderkey, o_custkey, o_totalprice, NULL FROM orders WHERE o_orderstatus = 'P'
+    """,
+)
+def upload_insert(spark, folder):
+    """A file with three known headers and one unknown is appended to the orders table."""
+    orders = table(spark, folder, "orders")
+    stored = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    base = fresh_path(spark, "upload-target")
+    replace_table(stored, f"{base}/orders")
+    orders.where("o_orderstatus = 'P'").select(
+        (-1 - F.col("o_orderkey")).alias("O_OrderKey"),
+        F.col("o_custkey").alias("o_custkey "),
+        F.col("o_totalprice").alias("O_TOTALPRICE"),
+        F.lit("by hand").alias("Remark"),
+    ).write.csv(f"{base}/file", header=True)
+    columns = read_catalog(spark, {"orders": stored, **tables(spark, folder, "customer")}).columns
+    types = {"orders": {f.name: f.dataType.simpleString() for f in stored.schema.fields}}
+    cells = delimited.read_delimited(spark, f"{base}/file")
+    plan = upload.plan_upload(cells, columns, types, "uploaded_data")
+    upload.execute_upload(cells, plan, base)
+    return spark.read.schema(stored.schema).parquet(f"{base}/orders")
+
+
 # --- per-target values ---------------------------------------------------------------------
 
 

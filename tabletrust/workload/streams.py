@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabletrust.operators import report
 from tabletrust.operators.mapping import ColumnMap, TableMap
 from tabletrust.session import fresh_path
 from tabletrust.sources.sinks import VersionedTable
@@ -130,6 +131,25 @@ def stale_sweep(spark, folder):
     return heartbeat.sweep(_beats(spark, folder), now)
 
 
+@query(
+    "job_totals",
+    f"""
+    WITH beats AS (SELECT user_id AS job, {STATUS_SQL.strip()} AS status, ts FROM events),
+    latest AS (SELECT job, arg_max(status, ts) AS status, count(*) AS n FROM beats GROUP BY job)
+    SELECT count(*) FILTER (WHERE status IN ('analyzing', 'profiling', 'planning', 'executing', 'validating'))
+        AS running,
+      count(*) FILTER (WHERE status = 'completed') AS completed, CAST(sum(n) AS BIGINT) AS rows_migrated
+    FROM latest
+    """,
+)
+def job_totals(spark, folder):
+    """The dashboard line: every event is a row its user's job moved."""
+    jobs = _beats(spark, folder).groupBy("job").agg(
+        F.max_by("status", "ts").alias("status"), F.count(F.lit(1)).alias("rows")
+    )
+    return report.job_totals(jobs, heartbeat.ACTIVE)
+
+
 @query(
     "stale_watch",
     f"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabletrust.operators import reshape, skew, validate
 from tabletrust.operators.mapping import ColumnMap, TableMap, table_maps
-from tabletrust.plans import migration
+from tabletrust.plans import migration, upload
 from tabletrust.session import fresh_path, shared_dir
 from tabletrust.sources import delimited, sinks, tables
 from tabletrust.sources.catalog import Declared, relationship_census
@@ -210,6 +210,28 @@ def test_delimited(spark, tmp_path):
     assert sorted(map(str, _rows(typed))) == ["(1, True, 1.5, '1', None)", "(2, False, 2.0, 'x', None)"]
 
 
+def test_upload_creates_a_table_when_nothing_matches(spark):
+    cells = spark.createDataFrame([("1", "2.5", "x"), ("2", None, "y")], "`First No` string, `  ` string, c string")
+    columns = spark.createDataFrame([("users", "id")], "table string, column string")
+    plan = upload.plan_upload(cells, columns, {"users": {"id": "int"}}, "fresh")
+    assert (plan.kind, plan.table) == ("create_and_insert", "fresh")
+    assert [(m.target, m.target_type) for m in plan.columns] == [
+        ("first_no", "bigint"), ("col_1", "double"), ("c", "string")
+    ]
+    folder = fresh_path(spark, "uploads")
+    assert upload.execute_upload(cells, plan, folder) == 2
+    assert _rows(spark.read.parquet(f"{folder}/fresh")) == [(1, 2.5, "x"), (2, None, "y")]
+
+
+def test_upload_stops_at_a_cell_that_does_not_fit(spark):
+    cells = spark.createDataFrame([("1", "a"), ("one", "b")], "ID string, other string")
+    columns = spark.createDataFrame([("users", "id")], "table string, column string")
+    plan = upload.plan_upload(cells, columns, {"users": {"id": "int"}}, "fresh")
+    assert (plan.kind, plan.table, plan.unmapped) == ("insert", "users", ("other",))
+    with pytest.raises(upload.BadCells):
+        upload.execute_upload(cells, plan, fresh_path(spark, "uploads"))
+
+
 def test_lookup_and_sample(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     keys = spark.createDataFrame([(3,), (3,), (500,)], "k bigint")
