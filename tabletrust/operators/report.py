@@ -310,9 +310,9 @@ def run_totals(run_log: DataFrame) -> DataFrame:
     Percent done, observed rows per second, hours the same work would take by hand, and the
     seconds left at the observed rate.
     """
-    span = F.greatest(
-        F.lit(0), F.unix_timestamp(F.max("ended").cast("timestamp")) - F.unix_timestamp(F.min("started").cast("timestamp"))
-    )
+    first = F.unix_timestamp(F.min("started").cast("timestamp"))
+    last = F.unix_timestamp(F.max("ended").cast("timestamp"))
+    span = F.greatest(F.lit(0), last - first)
     totals = run_log.groupBy("job").agg(
         F.count_distinct("table").alias("tables"),
         F.sum("rows").alias("rows_migrated"),

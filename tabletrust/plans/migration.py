@@ -13,7 +13,6 @@ from tabletrust.operators.mapping import (
     apply_mapping,
     failed_conversions,
     mapping_plan,
-    table_maps,
 )
 from tabletrust.operators.profile import personal_columns, profile_dataset
 from tabletrust.operators.relations import implicit_foreign_keys, load_order

@@ -24,7 +24,7 @@ class CopyJob:
 
     Spark's checkpoint records which files a finished batch has read. A batch that was cut off
     after its write is run again; because rows whose key is already in the target are skipped,
-    the second run adds only what is missing.
+    the second run adds only what is missing. Rows without a key are rejected.
     """
 
     source: str
@@ -64,7 +64,10 @@ class CopyJob:
             batch.unpersist()
 
     def _write(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_rows(batch, self.mapping.columns)
+        source_key = next(m.source for m in self.mapping.columns if m.target == self.key)
+        keyed = F.col(source_key).isNotNull()
+        good, bad = split_rows(batch.where(keyed), self.mapping.columns)
+        bad = bad.unionByName(batch.where(~keyed))
         if not self.skip_errors and not bad.isEmpty():
             raise RejectedRows(f"batch {batch_id} of {self.mapping.source_table}")
         table = VersionedTable(spark, self.target)

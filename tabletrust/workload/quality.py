@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tabletrust.functions import rules
 from tabletrust.operators import quality, relations
 from tabletrust.sources.catalog import Declared, row_counts

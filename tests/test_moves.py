@@ -270,11 +270,11 @@ def test_copy_resumes_without_loss_or_repeat(spark):
 
 def test_batch_run_twice_adds_nothing(spark):
     job = _job(spark)
-    batch = spark.createDataFrame([(1, "1"), (2, "x"), (3, "3")], "id int, v string")
+    batch = spark.createDataFrame([(1, "1"), (2, "x"), (3, "3"), (None, "4")], "id int, v string")
     for _ in range(2):
         job.write_batch(batch, 0)
     assert _rows(sinks.VersionedTable(spark, job.target).read()) == [(1, 1), (3, 3)]
-    assert _rows(spark.read.parquet(job.rejects).select("id", "v")) == [(2, "x")]
+    assert _rows(spark.read.parquet(job.rejects).select("id", "v")) == [(2, "x"), (None, "4")]
 
 
 def test_fail_fast(spark):
