@@ -4,9 +4,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+from tabletrust import workload
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = workload.QUERIES, workload.SQL
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,9 @@ def con():
 
 
 def test_every_sql_has_its_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) == set(QUERIES)
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(QUERIES) <= set(entry_points.queries())
 
 
 def test_entry(spark):
