@@ -32,13 +32,23 @@ def join_by_key(
 
     The heavy keys are found first. Without any this is a plain join. Otherwise their rows stay
     where they are and meet a broadcast of at most 1/HEAVY_SHARE rows, while all other rows
-    are shuffled as usual. `how` is inner or left.
+    are shuffled as usual. `how` is inner or left; rows with a null key stay out of the join.
     """
     heavy = materialize(heavy_keys(big, key, rows=rows), "heavy-keys")
+    keyless = None
+    if how == "left":
+        # A null key matches nothing, but a join would send all of its rows to one task.
+        added = [c for c in small.columns if c != key]
+        kinds = small.schema
+        keyless = big.where(F.col(key).isNull()).select(
+            "*", *(F.lit(None).cast(kinds[c].dataType).alias(c) for c in added)
+        )
+    big = big.where(F.col(key).isNotNull())
     if heavy.isEmpty():
-        return big.join(small, key, how)
-    heavy = F.broadcast(heavy)
-    heavy_rows = big.join(heavy, key, "left_semi")
-    light_rows = big.join(heavy, key, "left_anti")
-    heavy_small = F.broadcast(small.join(heavy, key, "left_semi"))
-    return heavy_rows.join(heavy_small, key, how).unionByName(light_rows.join(small, key, how))
+        out = big.join(small, key, how)
+    else:
+        heavy = F.broadcast(heavy)
+        heavy_small = F.broadcast(small.join(heavy, key, "left_semi"))
+        out = big.join(heavy, key, "left_semi").join(heavy_small, key, how)
+        out = out.unionByName(big.join(heavy, key, "left_anti").join(small, key, how))
+    return out if keyless is None else out.unionByName(keyless)
