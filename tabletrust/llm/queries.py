@@ -13,7 +13,9 @@ from tabletrust.llm import (
     line_dedup,
     line_rules,
     link_trust,
+    ngram_join,
     pieces,
+    suffix_dedup,
     token_counts,
     tool_calls,
 )
@@ -36,6 +38,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_suffix_dedup", texts.SUFFIX_DEDUP)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of each document in 50-byte strings that an earlier document has."""
+    return suffix_dedup.report(table(spark, folder, "documents"))
+
+
 @query("op2_decontaminate", texts.DECONTAMINATE)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows found in each document."""
@@ -87,6 +95,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_ngram_join", texts.NGRAM_JOIN)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of each document under links of shingle sets."""
+    return ngram_join.document_components(table(spark, folder, "documents"))
+
+
 @query("op10_quality")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of each document by a model that never saw the held-out fold's labels."""

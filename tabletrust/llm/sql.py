@@ -123,3 +123,56 @@ SELECT conv_id, call_id, turn, tool, CAST(wave AS BIGINT) AS wave,
     || '}' AS message
 FROM json
 """
+
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)
+), least AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM windows JOIN least USING (w) WHERE first < doc_id
+), spans AS (
+  SELECT doc_id, count(*) AS n_removed, sum(CAST(NOT before AS INT)) AS n_spans
+  FROM (
+    SELECT doc_id, coalesce(p = 1 + lag(p) OVER (PARTITION BY doc_id ORDER BY p), false) AS before
+    FROM gone)
+  GROUP BY doc_id
+), bytes AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS b
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS p FROM d)
+), kept AS (
+  SELECT doc_id, string_agg(b, '' ORDER BY p) AS h FROM bytes ANTI JOIN gone USING (doc_id, p)
+  GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id,
+    unnest(list_transform(range(1, greatest(len(w) - 5, 0) + 2),
+           lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
+  FROM d WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, first AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+  JOIN (SELECT x AS doc_id, min(y) AS first FROM reach GROUP BY x) USING (doc_id)
+"""
