@@ -11,9 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabletrust.functions import rules
-from tabletrust.functions.predicates import FLOATING, NESTED, NUMERIC
+from tabletrust.functions.predicates import FLOATING, INTEGRAL, NESTED, NUMERIC, is_number_text
 
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
+#: A whole date, with or without a time of day and an offset.
+ISO_MOMENT = (
+    r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+)
+#: Target type names, by the Spark type a copy stores them in; names not listed are left alone.
+STORED_AS = {
+    "boolean": ("BOOLEAN", "BOOL", "BIT"),
+    "bigint": ("INT", "INTEGER", "BIGINT", "SMALLINT", "INT64"),
+    "double": ("DOUBLE PRECISION", "DOUBLE", "REAL", "FLOAT", "FLOAT64"),
+    "decimal": ("DECIMAL", "NUMERIC", "BIGNUMERIC"),
+    "date": ("DATE",),
+    "timestamp": ("TIMESTAMP", "TIMESTAMPTZ", "DATETIME", "DATETIME2"),
+    "string": ("TEXT", "VARCHAR", "CHAR", "NVARCHAR", "STRING", "UUID", "JSON", "JSONB", "TIME"),
+}
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:
@@ -38,20 +52,26 @@ def to_boolean(c: Column, dtype: T.DataType) -> Column:
 def to_float(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, NUMERIC + (T.BooleanType,)):
         return c.cast("double")
-    return F.trim(as_text(c, dtype)).try_cast("double")
+    text = F.trim(as_text(c, dtype))
+    return F.when(is_number_text(text), text.try_cast("double"))
 
 
 def to_int(c: Column, dtype: T.DataType) -> Column:
-    """Truncates toward zero."""
-    if isinstance(dtype, T.BooleanType):
+    """Truncates toward zero. Whole numbers are not taken through floating point."""
+    if isinstance(dtype, INTEGRAL + (T.BooleanType,)):
         return c.cast("bigint")
-    return to_float(c, dtype).try_cast("bigint")
+    rounded = to_float(c, dtype).try_cast("bigint")
+    if isinstance(dtype, NUMERIC):
+        return rounded
+    text = F.trim(as_text(c, dtype))
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")).otherwise(rounded)
 
 
 def parse_datetime(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, TEMPORAL):
         return c.cast("timestamp")
-    return F.try_to_timestamp(F.trim(as_text(c, dtype)))
+    text = F.trim(as_text(c, dtype))
+    return F.when(text.rlike(ISO_MOMENT), F.try_to_timestamp(text))
 
 
 def convert(c: Column, dtype: T.DataType, op: str | None) -> Column:
@@ -83,6 +103,41 @@ def json_text(c: Column, dtype: T.DataType) -> Column:
     return F.when(c.isNotNull(), F.regexp_extract(wrapped, r'^\{"v":(.*)\}$', 1))
 
 
+def stored_type(target_type: str | None) -> str | None:
+    """The Spark type that a copy gives a column of this target type; None: as it comes."""
+    wanted = (target_type or "").upper().strip()
+    if wanted.startswith("TINYINT(1)"):
+        return "boolean"
+    name, _, size = wanted.partition("(")
+    found = next((kind for kind, names in STORED_AS.items() if name.strip() in names), None)
+    if found != "decimal":
+        return found
+    return f"decimal({size[:-1]})" if size.endswith(")") else "decimal(38,10)"
+
+
+def store(c: Column, dtype: T.DataType, kind: str) -> Column:
+    """A value as Spark type `kind`, NULL where it does not fit."""
+    if kind == dtype.simpleString():
+        return c
+    if kind == "string":
+        return iso_text(c, dtype) if isinstance(dtype, TEMPORAL) else as_text(c, dtype)
+    if kind == "boolean":
+        return to_boolean(c, dtype)
+    if kind in ("date", "timestamp"):
+        moment = c if isinstance(dtype, TEMPORAL) else parse_datetime(c, dtype)
+        same = kind == "timestamp" and isinstance(dtype, T.TimestampNTZType)
+        return moment if same else moment.try_cast(kind)
+    if kind == "bigint":
+        whole = to_int(c, dtype)
+        if isinstance(dtype, INTEGRAL + (T.BooleanType,)):
+            return whole
+        return F.when(whole == to_float(c, dtype), whole)
+    if kind == "double" or not isinstance(dtype, (T.StringType, *NUMERIC)):
+        return to_float(c, dtype).try_cast(kind)
+    text = F.trim(c) if isinstance(dtype, T.StringType) else c.cast("string")
+    return F.when(is_number_text(text), text.try_cast(kind))
+
+
 def conversion_failed(c: Column, dtype: T.DataType, op: str | None) -> Column:
     return c.isNotNull() & convert(c, dtype, op).isNull()
 

@@ -106,6 +106,12 @@ def has_two_decimals(c: Column) -> Column:
     return is_finite(c) & F.when(F.abs(value) < 1e13, cents).otherwise(F.round(value, 2) == value)
 
 
+def is_number_text(text: Column) -> Column:
+    """Decimal notation, with or without an exponent, or a name for no finite number."""
+    named = F.lower(text).isin("nan", "inf", "-inf", "infinity", "-infinity")
+    return text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") | named
+
+
 def is_zero_or_one(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
         return F.lit(True)

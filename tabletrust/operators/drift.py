@@ -233,26 +233,43 @@ def health_rollup(checks: DataFrame) -> DataFrame:
         F.sum("critical").alias("critical_events"),
         F.sum("warning").alias("warning_events"),
         F.round(F.avg("health_score"), 1).alias("health_score"),
-        F.when(F.sum("critical") > 0, F.lit("critical drift needs attention"))
+        F.when(
+            F.sum("critical") > 0,
+            F.concat(F.sum("critical").cast("string"), F.lit(" critical changes need attention")),
+        )
         .otherwise("no action needed")
         .alias("recommendation"),
+        F.format_string("mean health %.1f", F.round(F.avg("health_score"), 1))
+        .alias("headline"),
     )
 
 
-def new_semantic_issues(events: DataFrame, limit: int = 5) -> DataFrame:
-    """New columns that look like another type; the first few of each monitor."""
+def new_semantic_issues(events: DataFrame) -> DataFrame:
+    """Every new column that looks like another type, numbered within its monitor."""
     order = Window.partitionBy("monitor").orderBy("table", "column")
     return (
         events.where(F.col("likely_type").isNotNull())
         .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= limit)
         .select("monitor", "position", "table", "column", "likely_type", "advice")
     )
 
 
+def issue_digest(issues: DataFrame, limit: int = 5) -> DataFrame:
+    """One row per monitor: its first issues as lines, and how many more there are."""
+    line = F.concat_ws(" ", F.concat("table", F.lit("."), "column"), F.lit("may be"), "likely_type")
+    shown = F.when(F.col("position") <= limit, F.struct("position", line.alias("line")))
+    return issues.groupBy("monitor").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["line"]), "; ")
+        .alias("lines"),
+        F.greatest(F.lit(0), F.count(F.lit(1)) - limit).alias("more"),
+    )
+
+
 def timeline(checks: DataFrame, limit: int = 50) -> DataFrame:
     """The latest checks of each monitor, newest first; `latest` marks the newest."""
-    order = Window.partitionBy("monitor").orderBy(F.desc("checked_at"))
+    order = Window.partitionBy("monitor").orderBy(
+        F.desc("checked_at"), F.desc("critical"), F.desc("warning"), F.desc("info")
+    )
     return (
         checks.withColumn("position", F.row_number().over(order))
         .where(F.col("position") <= limit)

@@ -37,23 +37,16 @@ class TableMap:
 
 def native_types(spark: SparkSession) -> DataFrame:
     """(family, native, canonical); a fixed table of some 170 rows."""
-    rows = [
-        (family, native, canonical)
-        for family, names in rules.NATIVE_NAMES.items()
-        for canonical, natives in names.items()
-        for native in natives
-    ]
-    return spark.createDataFrame(rows, "family string, native string, canonical string")
+    return spark.createDataFrame(
+        rules.NATIVE_TYPES, "family string, native string, canonical string"
+    )
 
 
 def target_types(spark: SparkSession) -> DataFrame:
     """(family, canonical, target_type); a fixed table of 120 rows."""
-    rows = [
-        (family, canonical, name)
-        for family, names in rules.TARGET_NAMES.items()
-        for canonical, name in zip(rules.CANONICAL, names)
-    ]
-    return spark.createDataFrame(rows, "family string, canonical string, target_type string")
+    return spark.createDataFrame(
+        rules.TARGET_TYPES, "family string, canonical string, target_type string"
+    )
 
 
 def stack_types(spark: SparkSession, stack: str) -> DataFrame:
@@ -182,8 +175,13 @@ def _source_types(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 
 
-def apply_mapping(df: DataFrame, columns: tuple[ColumnMap, ...] | list[ColumnMap]) -> DataFrame:
-    """Select and convert the mapped columns. A missing source column becomes NULL."""
+def apply_mapping(
+    df: DataFrame, columns: tuple[ColumnMap, ...] | list[ColumnMap], stored: bool = False
+) -> DataFrame:
+    """Select and convert the mapped columns. A missing source column becomes NULL.
+
+    With `stored`, values also take the Spark type of their target type.
+    """
     types = _source_types(df)
     out = []
     for m in columns:
@@ -192,19 +190,59 @@ def apply_mapping(df: DataFrame, columns: tuple[ColumnMap, ...] | list[ColumnMap
         else:
             value = F.lit(None).cast("string")
         out.append(value.alias(m.target))
+    converted = df.select(*out)
+    if not stored:
+        return converted
+    kinds = _source_types(converted)
+    return converted.select(
+        *(_stored(F.col(f"`{m.target}`"), kinds[m.target], m).alias(m.target) for m in columns)
+    )
+
+
+def _stored(c: Column, dtype: T.DataType, m: ColumnMap) -> Column:
+    kind = C.stored_type(m.target_type)
+    return C.store(c, dtype, kind) if kind else c
+
+
+def stored_like(df: DataFrame, target: DataFrame) -> DataFrame:
+    """Columns whose types differ from those of `target`, in the types of `target`.
+
+    Only numbers, booleans and times change; what a copy keeps as text is compared as text.
+    """
+    kinds = {f.name: f.dataType for f in target.schema.fields}
+    out = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), kinds.get(f.name, f.dataType)
+        if kind != f.dataType and kind.simpleString().partition("(")[0] in C.STORED_AS:
+            if not isinstance(kind, T.StringType):
+                c = C.store(c, f.dataType, kind.simpleString())
+        out.append(c.alias(f.name))
     return df.select(*out)
 
 
 def failed_conversions(
-    df: DataFrame, columns: tuple[ColumnMap, ...] | list[ColumnMap], key: str
+    df: DataFrame,
+    columns: tuple[ColumnMap, ...] | list[ColumnMap],
+    key: str | tuple[str, ...],
+    stored: bool = False,
 ) -> DataFrame:
-    """(key, column, transformation, original): values a typed target column cannot keep."""
+    """(key columns, column, transformation, original): values a target column cannot keep.
+
+    Without a key, `row` holds the whole source row as JSON.
+    """
     types = _source_types(df)
+    names = (key,) if isinstance(key, str) else tuple(key)
+    keys = [F.col(f"`{k}`") for k in names] or [F.to_json(F.struct("*")).alias("row")]
+    after = _source_types(apply_mapping(df, columns)) if stored else {}
     cells = []
     for m in columns:
-        if m.source in types and m.transformation:
+        kind = C.stored_type(m.target_type) if stored else None
+        if m.source in types and (m.transformation or kind):
             c, dtype = F.col(f"`{m.source}`"), types[m.source]
             failed = C.conversion_failed(c, dtype, m.transformation)
+            if kind:
+                converted = C.convert(c, dtype, m.transformation)
+                failed = c.isNotNull() & C.store(converted, after[m.target], kind).isNull()
             cells.append(
                 F.when(
                     failed,
@@ -217,7 +255,7 @@ def failed_conversions(
             )
     if not cells:
         cells = [F.lit(None).cast("struct<column:string,transformation:string,original:string>")]
-    return df.select(F.col(key), F.inline(F.array_compact(F.array(*cells))))
+    return df.select(*keys, F.inline(F.array_compact(F.array(*cells))))
 
 
 def split_rows(
@@ -236,21 +274,24 @@ def split_rows(
 # --- uploads -------------------------------------------------------------------------------
 
 
-def match_header(headers: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def match_header(
+    headers: DataFrame, columns: DataFrame, catalog: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Which table a file belongs to, by shared column names.
 
     `headers(upload, position, header)`. Returns (upload, table, matched, headers, accepted) and the
     headers (upload, position, header) that the accepted table lacks. A table is accepted when
-    it shares at least half of the headers, rounded down, and at least one; the first by name
-    wins a tie.
+    it shares at least half of the headers, rounded down, and at least one. The first in
+    `catalog`, the tables in catalog order, wins a tie; without it the first by name.
     """
+    place = F.array_position(F.lit(catalog), F.col("table")) if catalog else F.lit(0)
     heads = headers.withColumn("name", F.lower("header"))
     cols = columns.select("table", F.lower("column").alias("name")).distinct()
     size = headers.groupBy("upload").agg(F.count(F.lit(1)).alias("headers"))
     scored = heads.join(cols, "name").groupBy("upload", "table").agg(
         F.count_distinct("name").alias("matched")
     )
-    order = Window.partitionBy("upload").orderBy(F.desc("matched"), "table")
+    order = Window.partitionBy("upload").orderBy(F.desc("matched"), place, "table")
     best = (
         size.join(
             scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1),

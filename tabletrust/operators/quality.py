@@ -38,7 +38,7 @@ def value_faults(df: DataFrame, table: str, declared: Declared) -> DataFrame:
         c = F.col(f"`{name}`")
         if isinstance(dtype, T.StringType) and name in strict:
             checks.append(("medium", "empty_string_in_not_null", name, "", c == "", 0.0))
-        if isinstance(dtype, P.INTEGRAL + P.FLOATING):
+        if isinstance(dtype, P.INTEGRAL + P.FLOATING + (T.DecimalType,)):
             for number in rules.SENTINEL_NUMBERS:
                 checks.append(
                     ("low", "numeric_sentinel", name, str(number), c == number, rules.SENTINEL_SHARE)

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from tabletrust.functions import rules
 from tabletrust.functions.predicates import INTEGRAL
-from tabletrust.session import materialize
 from tabletrust.sources.catalog import Declared
 
 CANDIDATE_SCHEMA = (
@@ -162,50 +161,58 @@ def _better(best: Column, other: Column) -> Column:
     return F.when(wins, other).otherwise(best)
 
 
+def _comparable(a: T.DataType, b: T.DataType) -> bool:
+    """Whether values of both types can be equal; text never equals a number or a time."""
+    kinds = (T.NumericType, T.StringType, T.BooleanType, T.BinaryType, T.DatetimeType)
+    return next((isinstance(b, k) for k in kinds if isinstance(a, k)), a == b)
+
+
 def orphans(child: DataFrame, column: str, parent: DataFrame, ref_column: str) -> DataFrame:
     """(value, n): non-null values of `column` that `parent` does not hold, with their rows.
 
     The child is reduced to distinct values first. That grouping already has the
-    distribution the join needs, so a hot value costs nothing and no shuffle is added.
+    distribution the join needs, so a hot value costs nothing and no shuffle is added. Where
+    the types cannot be equal, every value is an orphan.
     """
     values = child.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
-    return values.agg(F.count(F.lit(1)).alias("n")).join(
-        parent.select(F.col(ref_column).alias("value")), "value", "left_anti"
-    )
+    values = values.agg(F.count(F.lit(1)).alias("n"))
+    if not _comparable(child.schema[column].dataType, parent.schema[ref_column].dataType):
+        return values
+    return values.join(parent.select(F.col(ref_column).alias("value")), "value", "left_anti")
 
 
 def load_order(tables: DataFrame, foreign_keys: DataFrame) -> DataFrame:
     """Parents before children: level, position, and drop position of every table.
 
     `tables(table)`, `foreign_keys(table, ref_table)`. A table's level is the longest chain of
-    references below it. Self references are ignored; tables in or below a cycle go last.
-    Every level of the recursion reads the references again, so they are stored first.
+    references below it. Self references are ignored; tables in or below a cycle go last, with
+    level -1. The driver gets one row per table and per reference of the catalog, no data.
     """
-    spark = tables.sparkSession
-    tables = materialize(tables.select("table").distinct(), "load-order-tables")
-    foreign_keys = materialize(foreign_keys.select("table", "ref_table").distinct(), "load-order-links")
-    return spark.sql(
-        """
-        WITH RECURSIVE nodes AS (SELECT table FROM {tables}),
-        links AS (
-          SELECT f.table, f.ref_table FROM {fks} f
-          JOIN nodes a ON a.table = f.table JOIN nodes b ON b.table = f.ref_table
-          WHERE f.table <> f.ref_table),
-        walk(table, depth) AS (
-          SELECT table, 0 FROM nodes
-          UNION ALL
-          SELECT DISTINCT l.table, w.depth + 1 FROM walk w JOIN links l ON l.ref_table = w.table
-          WHERE w.depth < (SELECT count(*) FROM nodes)),
-        levels AS (
-          SELECT table, max(depth) AS level, max(depth) >= (SELECT count(*) FROM nodes) AS in_cycle
-          FROM walk GROUP BY table)
-        SELECT table, CASE WHEN in_cycle THEN -1 ELSE level END AS level, in_cycle,
-          CAST(row_number() OVER (ORDER BY in_cycle, CASE WHEN in_cycle THEN 0 ELSE level END, table)
-               AS INT) AS load_position,
-          CAST(row_number() OVER (ORDER BY in_cycle DESC,
-                CASE WHEN in_cycle THEN 0 ELSE level END DESC, table DESC) AS INT) AS drop_position
-        FROM levels
-        """,
-        tables=tables,
-        fks=foreign_keys,
+    names = sorted(r[0] for r in tables.select("table").distinct().collect())
+    known = set(names)
+    links = {
+        (r[0], r[1])
+        for r in foreign_keys.select("table", "ref_table").distinct().collect()
+        if r[0] != r[1] and r[0] in known and r[1] in known
+    }
+    waits = dict.fromkeys(names, 0)
+    children: dict[str, list[str]] = {}
+    for table, parent in links:
+        waits[table] += 1
+        children.setdefault(parent, []).append(table)
+    levels = {t: 0 for t in names if not waits[t]}
+    ready = list(levels)
+    for parent in ready:  # grows while it is walked
+        for table in children.get(parent, ()):
+            waits[table] -= 1
+            levels[table] = max(levels.get(table, 0), levels[parent] + 1)
+            if not waits[table]:
+                ready.append(table)
+    settled = {t: levels[t] for t in ready}
+    load = sorted(names, key=lambda t: (t not in settled, settled.get(t, 0), t))
+    drop = sorted(names, key=lambda t: (t not in settled, settled.get(t, 0), t), reverse=True)
+    place = {t: i for i, t in enumerate(drop, 1)}
+    return tables.sparkSession.createDataFrame(
+        [(t, settled.get(t, -1), t not in settled, i, place[t]) for i, t in enumerate(load, 1)],
+        "table string, level int, in_cycle boolean, load_position int, drop_position int",
     )

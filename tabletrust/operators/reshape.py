@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletrust.functions import rules
-from tabletrust.operators.skew import join_by_key
 from tabletrust.session import materialize
-from tabletrust.sources.tables import BROADCAST_KEYS
 
 
-def array_size(df: DataFrame, column: str) -> DataFrame:
-    """One row: average array length and the shape it calls for."""
-    return df.agg(F.avg(F.size(column)).alias("avg_size")).select(
+def array_size(df: DataFrame, column: str, key: str) -> DataFrame:
+    """One row: average array length per `key` and the shape it calls for.
+
+    A parent that is split into segments counts once, with all of its items.
+    """
+    average = F.sum(F.size(column)) / F.count_distinct(key)
+    return df.agg(average.alias("avg_size")).select(
         F.lit(column).alias("column"),
         F.round("avg_size", 3).alias("avg_size"),
         F.when(F.col("avg_size") > rules.CHILD_TABLE_MIN_AVG, "child_table")
@@ -23,8 +25,13 @@ def array_size(df: DataFrame, column: str) -> DataFrame:
 
 
 def child_table(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, position, item fields or `item`): one row per array element."""
-    exploded = df.select(key, F.posexplode(column).alias("position", "item"))
+    """(key, position, item fields or `item`): one row per array element.
+
+    Positions count on over the segments of a parent, from the `offset` column if there is one.
+    """
+    start = F.col("offset") if "offset" in df.columns else F.lit(0).cast("bigint")
+    exploded = df.select(key, start.alias("_start"), F.posexplode(column).alias("_at", "item"))
+    exploded = exploded.select(key, (F.col("_start") + F.col("_at")).alias("position"), "item")
     item = exploded.schema["item"].dataType
     if hasattr(item, "names"):
         return exploded.select(key, "position", "item.*")
@@ -35,6 +42,33 @@ def json_column(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.to_json(column))
 
 
+def _ranked(child: DataFrame, foreign_key: str) -> DataFrame:
+    """Children with `rank`, their place among their parent's children, from 0.
+
+    The children are dealt into ranges of (parent, child), so a parent with very many children is
+    spread over tasks, and equal children are told apart by a number. A child's rank is its place in
+    its range plus the sizes of the parent's earlier ranges.
+    """
+    numbered = materialize(
+        child.withColumn("_tie", F.monotonically_increasing_id()), "numbered-children"
+    )
+    ranges = numbered.repartitionByRange(foreign_key, "child", "_tie")
+    ranges = materialize(ranges.withColumn("_part", F.spark_partition_id()), "child-ranges")
+    earlier = Window.partitionBy(foreign_key).orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    sizes = ranges.groupBy(foreign_key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(
+        foreign_key, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+    )
+    place = F.row_number().over(Window.partitionBy(foreign_key, "_part").orderBy("child", "_tie"))
+    return (
+        ranges.withColumn("_place", place)
+        .join(starts, [foreign_key, "_part"])
+        .select(foreign_key, "child", (F.col("_start") + F.col("_place") - 1).alias("rank"))
+    )
+
+
 def embed_children(
     parent: DataFrame,
     key: str,
@@ -43,38 +77,35 @@ def embed_children(
     fields: list[str],
     per_document: int = 10_000,
 ) -> DataFrame:
-    """Parents with their children as an array of structs, sorted by the first field.
+    """Parents with their children as an array of structs in the order of `fields`.
 
-    A parent with more than about `per_document` children is written as several documents,
-    numbered by `segment`, so neither a task nor a document has to hold an unbounded array.
-    Every child is in exactly one segment.
+    Every result row is one (parent, `segment`): the children from `offset` on, at most
+    `per_document` of them. Most parents have the one segment 0; a parent without children has an
+    empty one. Children without a parent key belong to no document.
     """
-    counts = child.where(F.col(foreign_key).isNotNull()).groupBy(foreign_key)
-    large = counts.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_document)
-    large = materialize(large, "large-parents")
-    many = large.count()
-    if many == 0:
-        numbered = child.withColumn("segment", F.lit(0))
+    used = child.where(F.col(foreign_key).isNotNull()).select(
+        foreign_key, F.struct(*fields).alias("child")
+    )
+    large = used.groupBy(foreign_key).agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(large.where(F.col("n") > per_document).select(foreign_key), "large-parents")
+    whole = F.lit(0).cast("bigint")
+    if large.isEmpty():
+        numbered = used.withColumn("segment", whole)
     else:
-        # The large parents are counted before they are broadcast.
-        with_size = (
-            child.join(F.broadcast(large), foreign_key, "left")
-            if many <= BROADCAST_KEYS
-            else join_by_key(child, large, foreign_key, "left")
-        )
-        segments = F.ceil(F.col("n") / per_document)
-        spread = F.pmod(F.xxhash64(*fields), segments).cast("int")
-        numbered = with_size.withColumn(
-            "segment", F.when(F.col("n").isNotNull(), spread).otherwise(0)
+        many = _ranked(used.join(large, foreign_key, "left_semi"), foreign_key).select(
+            foreign_key, "child", F.floor(F.col("rank") / per_document).alias("segment")
         )
+        few = used.join(large, foreign_key, "left_anti").withColumn("segment", whole)
+        numbered = few.unionByName(many)
     grouped = (
         numbered.groupBy(foreign_key, "segment")
-        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("children"))
+        .agg(F.sort_array(F.collect_list("child")).alias("children"))
         .withColumnRenamed(foreign_key, key)
     )
     children = grouped.schema["children"].dataType
     return (
         parent.join(grouped, key, "left")
         .fillna(0, ["segment"])
+        .withColumn("offset", F.col("segment") * per_document)
         .withColumn("children", F.coalesce("children", F.array().cast(children)))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabletrust.functions import rules
 from tabletrust.functions.hashing import fingerprint, shared_types
-from tabletrust.operators.mapping import TableMap, apply_mapping
+from tabletrust.operators.mapping import TableMap, apply_mapping, stored_like
 from tabletrust.operators.relations import orphans
 from tabletrust.sources.catalog import Declared, row_counts
 
@@ -25,9 +25,8 @@ def compare_counts(
         "source_table string, target_table string",
     )
     src = row_counts({m.source_table: source[m.source_table] for m in maps.values()})
-    tgt = row_counts(
-        {m.target_table: target[m.target_table] for m in maps.values() if m.target_table in target}
-    )
+    there = {m.target_table: target[m.target_table] for m in maps.values() if m.target_table in target}
+    tgt = row_counts(there) if there else spark.createDataFrame([], "table string, rows bigint")
     s, t = F.col("source_rows"), F.col("target_rows")
     mismatch = F.when(s > 0, F.abs(s - t) / s).when(t > 0, 1.0).otherwise(0.0)
     return (
@@ -76,6 +75,7 @@ def compare_hashes(
         mapped = source.select(*[F.col(f"`{m.source}`").alias(m.target) for m in mapping.columns])
     else:
         mapped = apply_mapping(source, mapping.columns)
+        mapped = stored_like(mapped, target)
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     as_is = shared_types(mapped, target, names)
 
@@ -180,8 +180,10 @@ def compare_rows(source: DataFrame, target: DataFrame, key: list[str], columns:
 def score_tables(counts: DataFrame, hashes: DataFrame, faults: DataFrame) -> DataFrame:
     """One row per table: counts 60 %, rows 30 %, references 10 %.
 
-    `faults(table, orphans)` is named by source table; a table without references passes.
+    `faults(table, orphans)` is named by source table; a table without references passes. A table
+    with rows that has no copy matches in none of them.
     """
+    matched = F.coalesce("match_ratio", F.when(F.col("source_rows") > 0, 0.0).otherwise(1.0))
     fk = faults.groupBy(F.col("table").alias("source_table")).agg(F.sum("orphans").alias("orphans"))
     joined = counts.join(
         hashes.select("source_table", "checked", "matched", "match_ratio"), "source_table", "left"
@@ -199,11 +201,11 @@ def score_tables(counts: DataFrame, hashes: DataFrame, faults: DataFrame) -> Dat
         "row_count_ok",
         "checked",
         "matched",
-        F.coalesce("match_ratio", F.lit(1.0)).alias("match_ratio"),
+        matched.alias("match_ratio"),
         fk_ok.alias("fk_ok"),
         (
             count_part
-            + 0.3 * F.coalesce("match_ratio", F.lit(1.0))
+            + 0.3 * matched
             + F.when(fk_ok, 0.1).otherwise(0.0)
         ).alias("score"),
     )

@@ -59,25 +59,26 @@ def copy_tables(
     folder: str,
     order: list[str] | None = None,
     family: str | None = None,
-    keys: dict[str, str] | None = None,
+    declared: dict[str, Declared] | None = None,
 ) -> dict[str, DataFrame]:
-    """Write every mapped table under `folder` and read the copies back.
+    """Write every mapped table under `folder` in the plan's types, and read the copies back.
 
-    Values that do not convert are kept beside the copy, in `<table>.rejects`.
+    Values that do not fit their column are NULL in it and kept beside the copy, in
+    `<table>.rejects`, under the table's declared key or with the whole row.
     """
     spark = next(iter(tables.values())).sparkSession
-    keys = keys or {}
+    says = declared or {}
     out = {}
     for name in order or list(maps):
         if name not in maps:
             continue
         mapping = maps[name]
         path = f"{folder}/{mapping.target_table}"
-        rows = apply_mapping(tables[name], mapping.columns)
+        rows = apply_mapping(tables[name], mapping.columns, stored=True)
         replace_table(adapt_rows(rows, family) if family else rows, path)
-        if name in keys and any(m.transformation for m in mapping.columns):
-            lost = failed_conversions(tables[name], mapping.columns, keys[name])
-            replace_table(lost, f"{path}.rejects")
+        key = says.get(name, Declared()).key
+        lost = failed_conversions(tables[name], mapping.columns, key, stored=True)
+        replace_table(lost, f"{path}.rejects")
         out[mapping.target_table] = spark.read.parquet(path)
     return out
 
@@ -95,10 +96,12 @@ def validate_copy(
         for m in maps.values()
         if m.target_table in target
     ]
-    all_hashes = hashes[0]
-    for part in hashes[1:]:
+    spark = counts.sparkSession
+    all_hashes = spark.createDataFrame(
+        [], "source_table string, checked bigint, matched bigint, match_ratio double"
+    )
+    for part in hashes:
         all_hashes = all_hashes.unionByName(part)
-    spark = all_hashes.sparkSession
     faults = spark.createDataFrame([], "table string, orphans bigint")
     at_source = [r for r in validate.source_references(declared, source) if r[0] in maps]
     if at_source:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabletrust.functions import rules
+from tabletrust.functions.predicates import is_number_text
 
 # Narrowest first.
 LADDER = ["boolean", "bigint", "float", "string"]
@@ -20,10 +21,16 @@ def cell_text(c: Column) -> Column:
     return F.when(~F.lower(text).isin(rules.NULL_WORDS), text)
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """All cells as cleaned text. Header names are trimmed; blank rows are dropped."""
+def read_delimited(
+    spark: SparkSession, path: str, separator: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """All cells as cleaned text. Header names are trimmed; blank rows are dropped.
+
+    With `multi_line` a quoted cell may hold line breaks; a file is then read by one task, so very
+    large files are better without. Without it such a cell would be taken apart.
+    """
     separator = separator or ("\t" if path.lower().endswith(".tsv") else ",")
-    raw = spark.read.csv(path, header=True, sep=separator, multiLine=False, quote='"', escape='"')
+    raw = spark.read.csv(path, header=True, sep=separator, multiLine=multi_line, quote='"', escape='"')
     names = [c.lstrip("﻿").strip() for c in raw.columns]
     raw = raw.toDF(*names)
     filled = reduce(
@@ -38,8 +45,7 @@ def _fits(c: Column, rung: str) -> Column:
     if rung == "bigint":
         return c.rlike(r"^[+-]?\d+$") & c.try_cast("bigint").isNotNull()
     if rung == "float":
-        number = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-        return c.rlike(number) | F.lower(c).isin("nan", "inf", "-inf", "infinity", "-infinity")
+        return is_number_text(c)
     return F.lit(True)
 
 

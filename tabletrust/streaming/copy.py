@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tabletrust.operators.mapping import TableMap, split_rows
-from tabletrust.sources.sinks import VersionedTable, append_rows, skip_existing
+from tabletrust.sources.sinks import VersionedTable, skip_existing
 
 
 class RejectedRows(RuntimeError):
@@ -90,10 +90,10 @@ class CopyJob:
     def _log(self, spark: SparkSession, batch: DataFrame, table: VersionedTable, batch_id: int):
         entry = batch.agg(F.count(F.lit(1)).alias("rows_read")).select(
             F.lit(self.mapping.source_table).alias("table"),
-            F.lit(batch_id).cast("bigint").alias("batch"),
             "rows_read",
             F.current_timestamp().alias("at"),
         )
         held = table.read().agg(F.count(F.lit(1)).alias("rows_in_target"))
         entry = entry.withColumn("rows_in_target", held.scalar())
-        append_rows(entry, self.log)
+        # A batch that runs again replaces its own entry.
+        entry.write.mode("overwrite").parquet(f"{self.log}/batch={batch_id}")

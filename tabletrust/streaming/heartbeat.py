@@ -21,7 +21,7 @@ def sweep(beats: DataFrame, now: Column, after: int = rules.STALE_AFTER_SECONDS)
     leaves a task.
     """
     latest = beats.groupBy("job").agg(
-        F.max("ts").alias("last_beat"), F.max_by("status", "ts").alias("last_status")
+        F.max("ts").alias("last_beat"), F.max_by("status", F.struct("ts", "status")).alias("last_status")
     )
     silent = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_beat").cast("timestamp"))
     stale = F.col("last_status").isin(ACTIVE) & (silent > after * 1_000_000)

@@ -57,17 +57,44 @@ def as_monitors(names: DataFrame) -> DataFrame:
     )
 
 
+COLUMN_FIELDS = ["monitor", "table", "column", "type", "nullable", "default"]
+INDEX_FIELDS = ["monitor", "table", "index", "unique"]
+
+
+def snapshot_rows(columns: DataFrame, indexes: DataFrame, monitors: DataFrame) -> DataFrame:
+    """One frame that holds a whole snapshot of each monitor.
+
+    A row is a column (`index` null), an index (`index` set), or, with `table` null, the sign that
+    the monitor reported at all. The last tells an emptied database from one that sent nothing.
+    """
+    signs = monitors.select("monitor").distinct()
+    return signs.unionByName(columns.select(*COLUMN_FIELDS), allowMissingColumns=True).unionByName(
+        indexes.select(*INDEX_FIELDS), allowMissingColumns=True
+    )
+
+
+def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    there = rows.where(F.col("table").isNotNull())
+    return (
+        there.where(F.col("index").isNull()).select(*COLUMN_FIELDS),
+        there.where(F.col("index").isNotNull()).select(*INDEX_FIELDS),
+    )
+
+
 @dataclass
 class DriftSweep:
     """Compares each arriving catalog snapshot with the stored baselines."""
 
-    baseline: VersionedTable  # (monitor, table, column, type, nullable, default)
+    baseline: VersionedTable  # rows as in `snapshot_rows`
     events_path: str
     checks_path: str
     checkpoint: str
 
     def start(self, snapshots: DataFrame) -> StreamingQuery:
-        """`snapshots(monitor, table, column, type, nullable, default)`, whole per batch."""
+        """`snapshots` has the rows of `snapshot_rows`.
+
+        A snapshot must be one file: a batch takes whole files, so it never sees half of one.
+        """
         return (
             snapshots.writeStream.foreachBatch(self.check_batch)
             .option("checkpointLocation", self.checkpoint)
@@ -76,18 +103,22 @@ class DriftSweep:
         )
 
     def check_batch(self, snapshot: DataFrame, batch_id: int) -> None:
-        spark = snapshot.sparkSession
         # Only the monitors that sent a snapshot in this batch are compared.
         arrived = snapshot.select("monitor").distinct()
         base = self.baseline.read().join(arrived, "monitor", "left_semi")
-        none = spark.createDataFrame([], "monitor string, table string, index string, unique boolean")
+        base_columns, base_indexes = _parts(base)
+        columns, indexes = _parts(snapshot)
         events, checks = run_check(
-            as_monitors(base), base, snapshot, none, none, F.current_timestamp()
+            as_monitors(base), base_columns, columns, base_indexes, indexes, F.current_timestamp()
         )
         # A batch that runs again replaces its own folder, so nothing is counted twice.
         events.write.mode("overwrite").parquet(f"{self.events_path}/batch={batch_id}")
         checks.write.mode("overwrite").parquet(f"{self.checks_path}/batch={batch_id}")
 
-    def rebaseline(self, current: DataFrame) -> None:
-        """Accept the current catalog as the new normal."""
-        self.baseline.replace(drift.structural(current))
+    def rebaseline(self, snapshot: DataFrame) -> None:
+        """Accept the snapshots of these monitors as the new normal; others keep their baselines."""
+        new = drift.structural(snapshot)
+        if self.baseline.exists():
+            kept = self.baseline.read().join(new.select("monitor").distinct(), "monitor", "left_anti")
+            new = kept.unionByName(new)
+        self.baseline.replace(new)

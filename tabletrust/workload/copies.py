@@ -296,6 +296,26 @@ def fk_source_check(spark, folder):
     return validate.reference_faults(source, validate.source_references(DECLARED, source))
 
 
+@query(
+    "fk_types_check",
+    """
+    SELECT 'orders' AS "table", 'o_custkey' AS "column", 'customer' AS ref_table,
+      count(o_custkey) AS orphans FROM orders
+    UNION ALL SELECT 'events', 'user_id', 'customer', (SELECT count(*) FROM events
+      WHERE user_id NOT IN (SELECT c_custkey FROM customer))
+    """,
+)
+def fk_types_check(spark, folder):
+    """Text, some of it no number, in front of a number key finds no parent; a number of other size does."""
+    data = tables(spark, folder, "orders", "events", "customer")
+    number = F.col("o_custkey")
+    text = F.when(number % 7 == 0, "none").otherwise(number.cast("string"))
+    data["orders"] = data["orders"].withColumn("o_custkey", text)
+    data["events"] = data["events"].withColumn("user_id", F.col("user_id").cast("int"))
+    links = [(t, c, "customer", "c_custkey") for t, c in (("orders", "o_custkey"), ("events", "user_id"))]
+    return validate.reference_faults(data, links)
+
+
 @query(
     "fk_target_check",
     _with_copies(
@@ -372,6 +392,101 @@ def validation_scores(spark, folder):
     return _scores(spark, folder)
 
 
+@query(
+    "validation_missing_table",
+    _with_copies(
+        f"""WITH {SCORES_SQL.strip()}
+        SELECT source_table, source_rows, target_rows, row_count_ok, match_ratio FROM scores
+        WHERE source_table <> 'customer'
+        UNION ALL SELECT 'customer', count(*), 0, false, 0.0 FROM customer"""
+    ),
+)
+def validation_missing_table(spark, folder):
+    """A table that was never copied matches in nothing."""
+    source, target = _both(spark, folder)
+    target = {t: df for t, df in target.items() if t != "customer_copy"}
+    scores = validate_copy(source, target, MAPS, DECLARED)
+    return scores.select("source_table", "source_rows", "target_rows", "row_count_ok", "match_ratio")
+
+
+ODD_PLAN = TableMap(
+    "odd_events",
+    "odd_copy",
+    (
+        ColumnMap("event_id", "id", "BIGINT"),
+        ColumnMap("amount", "amount", "DECIMAL(12,2)"),
+        ColumnMap("happened", "happened", "DATE", "parse_datetime"),
+        ColumnMap("value", "note", "VARCHAR(20)"),
+    ),
+)
+
+
+def _odd_copy(spark, folder, declared=None):
+    path = fresh_path(spark, "odd-copy")
+    data = tables(spark, folder, "odd_events")
+    return path, copy_tables(data, {"odd_events": ODD_PLAN}, path, declared=declared)["odd_copy"]
+
+
+@query(
+    "migration_rejects",
+    with_views(
+        """
+        SELECT event_id, 'amount' AS "column", amount AS original FROM odd_events
+        WHERE amount IN ('12d', '0x1p3', '7f', 'x', '9007199254740993')
+        UNION ALL SELECT event_id, 'happened', happened FROM odd_events
+        WHERE happened IN ('10:20:30', '2020', '2020-05', '2020-1-2')
+        """,
+        "odd_events",
+    ),
+)
+def migration_rejects(spark, folder):
+    """Values that do not fit their target column, under the table's declared key."""
+    path, _ = _odd_copy(spark, folder, {"odd_events": Declared(key=("event_id",))})
+    return spark.read.parquet(f"{path}/odd_copy.rejects").drop("transformation")
+
+
+@query(
+    "migration_rejects_whole_rows",
+    with_views(
+        """
+        SELECT count(*) AS cells, count(DISTINCT event_id) AS "rows" FROM (
+          SELECT event_id FROM odd_events WHERE amount IN ('12d', '0x1p3', '7f', 'x', '9007199254740993')
+          UNION ALL SELECT event_id FROM odd_events
+          WHERE happened IN ('10:20:30', '2020', '2020-05', '2020-1-2'))
+        """,
+        "odd_events",
+    ),
+)
+def migration_rejects_whole_rows(spark, folder):
+    """Without a declared key the whole row is kept."""
+    path, _ = _odd_copy(spark, folder)
+    rejects = spark.read.parquet(f"{path}/odd_copy.rejects")
+    key = F.get_json_object("row", "$.event_id")
+    return rejects.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct(key).alias("rows"))
+
+
+@query(
+    "copied_values",
+    with_views(
+        """
+        SELECT event_id AS id,
+          CASE amount WHEN ' -3.5e2 ' THEN '-350.00' WHEN '1.' THEN '1.00' END AS amount,
+          CASE WHEN happened LIKE '2020-01-02%' THEN DATE '2020-01-02' END AS happened,
+          'bigint decimal(12,2) date string' AS types
+        FROM odd_events
+        """,
+        "odd_events",
+    ),
+)
+def copied_values(spark, folder):
+    """A copy has the types of its plan."""
+    _, copy = _odd_copy(spark, folder)
+    kinds = dict(copy.dtypes)
+    types = " ".join(kinds[c] for c in ("id", "amount", "happened", "note"))
+    return copy.select("id", F.col("amount").cast("string").alias("amount"), "happened",
+                       F.lit(types).alias("types"))
+
+
 @query(
     "validation_overall",
     _with_copies(
@@ -545,7 +660,9 @@ def migration_round_trip(spark, folder):
     analysis = analyse(spark, data, says, samples=False)
     planned = plan(analysis, "mysql", "postgres")
     maps = table_maps(planned)
-    copies = copy_tables(data, maps, fresh_path(spark, "migration"), order_of(analysis))
+    copies = copy_tables(
+        data, maps, fresh_path(spark, "migration"), order_of(analysis), declared=says
+    )
     outcome = final_report(analysis, planned, validate_copy(data, copies, maps, says))
     return outcome.tables.select(
         "source_table", "target_rows", "row_count_ok", "match_ratio", "fk_ok",

@@ -156,13 +156,27 @@ def drift_digest(spark, folder):
     _sql(
         """ SELECT monitor, position, "table", "column", likely_type, advice FROM (SELECT *,
           CAST(row_number() OVER (PARTITION BY monitor ORDER BY "table", "column") AS INT) AS position
-          FROM events WHERE likely_type IS NOT NULL) WHERE position <= 5"""
+          FROM events WHERE likely_type IS NOT NULL)"""
     ),
 )
 def new_semantic_issues(spark, folder):
     return drift.new_semantic_issues(_events(spark, folder))
 
 
+@query(
+    "semantic_issue_digest",
+    _sql(
+        """ SELECT monitor, string_agg("table" || '.' || "column" || ' may be ' || likely_type, '; '
+            ORDER BY position) FILTER (WHERE position <= 2) AS "lines",
+          greatest(0, count(*) - 2) AS more
+          FROM (SELECT *, row_number() OVER (PARTITION BY monitor ORDER BY "table", "column") AS position
+            FROM events WHERE likely_type IS NOT NULL) GROUP BY monitor"""
+    ),
+)
+def semantic_issue_digest(spark, folder):
+    return drift.issue_digest(drift.new_semantic_issues(_events(spark, folder)), limit=2)
+
+
 # Each event is one check of the user it names; its type and value say what the check found.
 HISTORY_SQL = """
 history AS (SELECT user_id AS monitor, ts AS checked_at,
@@ -193,8 +207,9 @@ def _history(spark, folder) -> DataFrame:
     SELECT monitor, count(*) AS checks_run, CAST(sum(critical + warning + info) AS BIGINT) AS drift_events,
       CAST(sum(critical) AS BIGINT) AS critical_events, CAST(sum(warning) AS BIGINT) AS warning_events,
       round(avg(health_score), 1) AS health_score,
-      CASE WHEN sum(critical) > 0 THEN 'critical drift needs attention' ELSE 'no action needed' END
-        AS recommendation
+      CASE WHEN sum(critical) > 0 THEN CAST(sum(critical) AS BIGINT) || ' critical changes need attention'
+        ELSE 'no action needed' END AS recommendation,
+      'mean health ' || format('{{:.1f}}', round(avg(health_score), 1)) AS headline
     FROM scored GROUP BY monitor
     """,
 )
@@ -207,7 +222,8 @@ def health_rollup(spark, folder):
     f"""
     WITH {HISTORY_SQL.strip()}
     SELECT monitor, position, checked_at, critical, warning, info, health_score, position = 1 AS latest
-    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY monitor ORDER BY checked_at DESC) AS INT) AS position
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY monitor ORDER BY checked_at DESC, critical DESC,
+        warning DESC, info DESC) AS INT) AS position
       FROM scored) WHERE position <= 50
     """,
 )

@@ -18,20 +18,13 @@ from tabletrust.workload.scenario import DECLARED, table, tables, with_views
 
 # Each part stands for a declared column. Its number picks a native type of some family; its
 # size decides how the name is spelled.
-NATIVE = [
-    (family, native, canonical)
-    for family, names in rules.NATIVE_NAMES.items()
-    for canonical, natives in names.items()
-    for native in natives
-]
-FAMILIES = list(rules.NATIVE_NAMES)
+NATIVE = rules.NATIVE_TYPES
+FAMILIES = list(dict.fromkeys(family for family, _, _ in NATIVE))
 NATIVE_SQL = ", ".join(
     f"({i}, {quoted(f)}, {quoted(n)}, {quoted(c)})" for i, (f, n, c) in enumerate(NATIVE)
 )
 TARGET_SQL = ", ".join(
-    f"({quoted(f)}, {quoted(c)}, {quoted(n)})"
-    for f, names in rules.TARGET_NAMES.items()
-    for c, n in zip(rules.CANONICAL, names)
+    f"({quoted(f)}, {quoted(c)}, {quoted(n)})" for f, c, n in rules.TARGET_TYPES
 )
 SPELLED_SQL = f"""
 native(i, family, native, canonical) AS (VALUES {NATIVE_SQL}),
@@ -164,6 +157,36 @@ def transform_rejects(spark, folder):
     return mapping.failed_conversions(table(spark, folder, "loose_events"), LOOSE, "event_id")
 
 
+ODD = (
+    ColumnMap("event_id", "id", "BIGINT"),
+    ColumnMap("amount", "whole", "BIGINT", "to_int"),
+    ColumnMap("amount", "amount", "DOUBLE PRECISION", "to_float"),
+    ColumnMap("happened", "happened", "TIMESTAMPTZ", "parse_datetime"),
+)
+
+
+@query(
+    "transform_strict",
+    with_views(
+        """
+        SELECT event_id AS id,
+          CASE amount WHEN ' -3.5e2 ' THEN -350 WHEN '9007199254740993' THEN 9007199254740993
+            WHEN '1.' THEN 1 END::BIGINT AS whole,
+          CASE amount WHEN ' -3.5e2 ' THEN -350.0 WHEN '9007199254740993' THEN 9007199254740992.0
+            WHEN '1.' THEN 1.0 END::DOUBLE AS amount,
+          CASE happened WHEN '2020-01-02' THEN '2020-01-02 00:00:00'
+            WHEN '2020-01-02 03:04:05' THEN happened END AS happened
+        FROM odd_events
+        """,
+        "odd_events",
+    ),
+)
+def transform_strict(spark, folder):
+    """Suffixes, hexadecimal floats, bare times and parts of dates are not converted."""
+    rows = mapping.apply_mapping(table(spark, folder, "odd_events"), ODD)
+    return rows.withColumn("happened", F.col("happened").cast("string"))
+
+
 @query(
     "rows_split",
     with_views(

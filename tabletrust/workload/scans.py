@@ -158,6 +158,30 @@ def fk_load_order(spark, folder):
     return order.join(sizes, "table").select("table", "level", "rows", "load_position", "drop_position")
 
 
+@query(
+    "fk_load_order_large",
+    """
+    SELECT 'part_' || p_partkey AS "table",
+      CAST(CASE WHEN p_partkey BETWEEN 1 AND 150 THEN p_partkey - 1 WHEN p_partkey BETWEEN 160 AND 163 THEN -1
+        ELSE 0 END AS INT) AS level,
+      p_partkey BETWEEN 160 AND 163 AS in_cycle
+    FROM part
+    """,
+)
+def fk_load_order_large(spark, folder):
+    """A catalog of one table per part: a chain of 150 tables, a cycle of three, and one below it."""
+    k = F.col("p_partkey")
+    parent = (
+        F.when((k > 1) & (k <= 150), k - 1)
+        .when((k == 160) | (k == 161), k + 1)
+        .when((k == 162) | (k == 163), F.lit(160))
+        .otherwise(k)
+    )
+    name = lambda c: F.concat(F.lit("part_"), c.cast("string"))
+    links = table(spark, folder, "part").select(name(k).alias("table"), name(parent).alias("ref_table"))
+    return relations.load_order(links.select("table"), links).select("table", "level", "in_cycle")
+
+
 @query(
     "table_status",
     LEVELS_SQL

@@ -139,6 +139,16 @@ SELECT event_id, user_id,
 FROM {events}
 """
 
+# Text that only looks like numbers and moments.
+ODD_EVENTS = """
+SELECT event_id, value,
+  CASE event_id % 8 WHEN 0 THEN '12d' WHEN 1 THEN '0x1p3' WHEN 2 THEN '7f' WHEN 3 THEN ' -3.5e2 '
+       WHEN 4 THEN '9007199254740993' WHEN 5 THEN '1.' WHEN 6 THEN 'x' END AS amount,
+  CASE event_id % 7 WHEN 0 THEN '10:20:30' WHEN 1 THEN '2020' WHEN 2 THEN '2020-05'
+       WHEN 3 THEN '2020-1-2' WHEN 4 THEN '2020-01-02' WHEN 5 THEN '2020-01-02 03:04:05' END AS happened
+FROM {events}
+"""
+
 # JSON documents whose fields come, go, and change type.
 DOCUMENTS_JSON = """
 SELECT '{"_id": ' || CAST(event_id AS STRING) || ', "kind": "' || event_type || '"'
@@ -200,6 +210,7 @@ VIEWS = {
     "orders_copy": ORDERS_COPY,
     "customer_copy": CUSTOMER_COPY,
     "loose_events": LOOSE_EVENTS,
+    "odd_events": ODD_EVENTS,
     "documents_json": DOCUMENTS_JSON,
     "base_catalog": BASE_CATALOG,
     "current_catalog": CURRENT_CATALOG,

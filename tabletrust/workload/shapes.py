@@ -62,13 +62,13 @@ def json_field_census_wide_column(spark, folder):
     return document_census(table(spark, folder, "documents_json"), "doc", "dynamodb")
 
 
-# Conversations as documents with their turns inside.
+# Conversations as documents with their turns inside, three to a segment.
 def _talks(spark, folder):
     turns = table(spark, folder, "conversations")
     parents = turns.select("conv_id").distinct()
     return reshape.embed_children(
-        parents, "conv_id", turns, "conv_id", ["turn", "role", "text"]
-    ).drop("segment")
+        parents, "conv_id", turns, "conv_id", ["turn", "role", "text"], per_document=3
+    )
 
 
 @query(
@@ -80,14 +80,14 @@ def _talks(spark, folder):
     """,
 )
 def array_shape(spark, folder):
-    return reshape.array_size(_talks(spark, folder), "children")
+    return reshape.array_size(_talks(spark, folder), "children", "conv_id")
 
 
 @query(
     "array_child_table",
     """
-    SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT)
-      AS position, turn, role, text
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
+      turn, role, text
     FROM conversations
     """,
 )
@@ -98,14 +98,16 @@ def array_child_table(spark, folder):
 @query(
     "array_json_column",
     """
-    SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id
+    SELECT conv_id, segment, segment * 3 AS "offset",
+      CAST(to_json(list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text)) AS VARCHAR)
+        AS children
+    FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 3 AS segment
+      FROM conversations)
+    GROUP BY conv_id, segment
     """,
 )
 def array_json_column(spark, folder):
-    text = reshape.json_column(_talks(spark, folder), "children")
-    schema = "array<struct<turn:bigint,role:string,text:string>>"
-    size = F.size(F.from_json("children", schema)).cast("bigint")
-    return text.select("conv_id", size.alias("turns"))
+    return reshape.json_column(_talks(spark, folder), "children")
 
 
 @query(
@@ -136,20 +138,21 @@ def embed_children(spark, folder):
 @query(
     "embed_children_split",
     """
-    SELECT user_id, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids, count(*) > 40 AS split
-    FROM events GROUP BY user_id
+    SELECT user_id, segment, segment * 4 AS "offset",
+      string_agg(event_id || ':' || event_type, ',' ORDER BY event_id, event_type) AS events
+    FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type) - 1) // 4
+        AS segment FROM events)
+    GROUP BY user_id, segment
     """,
 )
 def embed_children_split(spark, folder):
-    """Users with more than 40 events become several documents that hold every event once."""
+    """Users with more than four events become several documents, each a range of them in order."""
     events = table(spark, folder, "events")
     users = events.select("user_id").distinct()
     embedded = reshape.embed_children(
-        users, "user_id", events, "user_id", ["event_id", "event_type"], per_document=40
+        users, "user_id", events, "user_id", ["event_id", "event_type"], per_document=4
     )
-    ids = F.aggregate("children", F.lit(0).cast("bigint"), lambda a, c: a + c["event_id"])
-    return embedded.groupBy("user_id").agg(
-        F.sum(F.size("children")).alias("events"),
-        F.sum(ids).alias("ids"),
-        (F.count(F.lit(1)) > 1).alias("split"),
+    pairs = F.transform(
+        "children", lambda c: F.concat(c["event_id"].cast("string"), F.lit(":"), c["event_type"])
     )
+    return embedded.select("user_id", "segment", "offset", F.array_join(pairs, ",").alias("events"))

@@ -11,9 +11,10 @@ from tabletrust.session import fresh_path
 from tabletrust.sources.sinks import VersionedTable
 from tabletrust.streaming import heartbeat
 from tabletrust.streaming.copy import CopyJob
-from tabletrust.streaming.recurring import DriftSweep
+from tabletrust.streaming.recurring import DriftSweep, snapshot_rows
+from tabletrust.workload.drifting import CATALOGS, EVENTS_SQL
 from tabletrust.workload.registry import query
-from tabletrust.workload.scenario import table, with_views
+from tabletrust.workload.scenario import table, tables, with_views
 
 COPY_MAP = TableMap(
     "loose_events",
@@ -118,7 +119,7 @@ def _beats(spark, folder) -> DataFrame:
     "stale_sweep",
     f"""
     WITH beats AS (SELECT CAST(user_id AS VARCHAR) AS job, {STATUS_SQL.strip()} AS status, ts FROM events),
-    latest AS (SELECT job, max(ts) AS last_beat, arg_max(status, ts) AS status FROM beats GROUP BY job)
+    latest AS (SELECT job, max(ts) AS last_beat, arg_max(status, (ts, status)) AS status FROM beats GROUP BY job)
     SELECT job, last_beat,
       status IN ('analyzing', 'profiling', 'planning', 'executing', 'validating')
         AND last_beat < TIMESTAMP '2024-01-30 23:55:00' AS stale,
@@ -135,7 +136,7 @@ def stale_sweep(spark, folder):
     "job_totals",
     f"""
     WITH beats AS (SELECT user_id AS job, {STATUS_SQL.strip()} AS status, ts FROM events),
-    latest AS (SELECT job, arg_max(status, ts) AS status, count(*) AS n FROM beats GROUP BY job)
+    latest AS (SELECT job, arg_max(status, (ts, status)) AS status, count(*) AS n FROM beats GROUP BY job)
     SELECT count(*) FILTER (WHERE status IN ('analyzing', 'profiling', 'planning', 'executing', 'validating'))
         AS running,
       count(*) FILTER (WHERE status = 'completed') AS completed, CAST(sum(n) AS BIGINT) AS rows_migrated
@@ -145,7 +146,7 @@ def stale_sweep(spark, folder):
 def job_totals(spark, folder):
     """The dashboard line: every event is a row its user's job moved."""
     jobs = _beats(spark, folder).groupBy("job").agg(
-        F.max_by("status", "ts").alias("status"), F.count(F.lit(1)).alias("rows")
+        F.max_by("status", F.struct("ts", "status")).alias("status"), F.count(F.lit(1)).alias("rows")
     )
     return report.job_totals(jobs, heartbeat.ACTIVE)
 
@@ -154,7 +155,7 @@ def job_totals(spark, folder):
     "stale_watch",
     f"""
     WITH beats AS (SELECT CAST(user_id AS VARCHAR) AS job, {STATUS_SQL.strip()} AS status, ts FROM events),
-    latest AS (SELECT job, max(ts) AS last_beat, arg_max(status, ts) AS status FROM beats GROUP BY job)
+    latest AS (SELECT job, max(ts) AS last_beat, arg_max(status, (ts, status)) AS status FROM beats GROUP BY job)
     SELECT job, 'failed' AS status FROM latest
     WHERE status IN ('analyzing', 'profiling', 'planning', 'executing', 'validating')
       AND last_beat <= (SELECT max(ts) FROM beats) - INTERVAL 5 MINUTE
@@ -179,34 +180,66 @@ def stale_watch(spark, folder):
     return found.select("job", "status")
 
 
+# Brand#1 has lost everything, and says so; the others report as they are.
+_LIVE_SQL = EVENTS_SQL.replace("current_catalog", "live_catalog").replace(
+    "current_indexes", "live_indexes"
+)
+
+
 @query(
     "stream_drift",
     with_views(
-        """
-        SELECT monitor, 'column_dropped' AS kind, count(*) AS events FROM base_catalog b
-        WHERE NOT EXISTS (SELECT 1 FROM current_catalog c WHERE c.monitor = b.monitor
-            AND c."table" = b."table" AND c."column" = b."column")
-          AND EXISTS (SELECT 1 FROM current_catalog c WHERE c.monitor = b.monitor AND c."table" = b."table")
-        GROUP BY monitor
-        UNION ALL SELECT monitor, 'table_dropped', count(DISTINCT "table") FROM base_catalog b
-        WHERE NOT EXISTS (SELECT 1 FROM current_catalog c WHERE c.monitor = b.monitor AND c."table" = b."table")
-          AND EXISTS (SELECT 1 FROM current_catalog c WHERE c.monitor = b.monitor)
-        GROUP BY monitor
+        f"""
+        WITH live_catalog AS (SELECT * FROM current_catalog WHERE monitor <> 'Brand#1'),
+        live_indexes AS (SELECT * FROM current_indexes WHERE monitor <> 'Brand#1'),
+        {_LIVE_SQL.strip()}
+        SELECT monitor, kind, severity, count(*) AS events FROM events
+        WHERE monitor IN (SELECT monitor FROM base_catalog UNION SELECT monitor FROM base_indexes)
+        GROUP BY monitor, kind, severity
         """,
-        "base_catalog",
-        "current_catalog",
+        *CATALOGS,
     ),
 )
 def stream_drift(spark, folder):
+    sweep, _ = _sweep(spark, folder)
+    events = spark.read.parquet(sweep.events_path)
+    return events.groupBy("monitor", "kind", "severity").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _sweep(spark, folder):
     base = fresh_path(spark, "sweep")
     sweep = DriftSweep(
         VersionedTable(spark, f"{base}/baseline"), f"{base}/events", f"{base}/checks", f"{base}/checkpoint"
     )
-    sweep.rebaseline(table(spark, folder, "base_catalog"))
-    snapshot = table(spark, folder, "current_catalog")
-    snapshot.write.parquet(f"{base}/snapshots")
-    arriving = spark.readStream.schema(snapshot.schema).parquet(f"{base}/snapshots")
+    data = tables(spark, folder, *CATALOGS)
+    monitors = data["base_catalog"].select("monitor").union(data["base_indexes"].select("monitor"))
+    sweep.rebaseline(snapshot_rows(data["base_catalog"], data["base_indexes"], monitors))
+    alive = F.col("monitor") != "Brand#1"
+    live = snapshot_rows(
+        data["current_catalog"].where(alive), data["current_indexes"].where(alive), monitors
+    )
+    live.coalesce(1).write.parquet(f"{base}/snapshots")
+    arriving = spark.readStream.schema(live.schema).parquet(f"{base}/snapshots")
     sweep.start(arriving).awaitTermination()
-    events = spark.read.parquet(sweep.events_path)
-    dropped = events.where(F.col("kind").isin("column_dropped", "table_dropped"))
-    return dropped.groupBy("monitor", "kind").agg(F.count(F.lit(1)).alias("events"))
+    return sweep, live
+
+
+@query(
+    "rebaseline_one",
+    with_views(
+        """
+        SELECT monitor, count(*) AS "columns" FROM (
+          SELECT monitor FROM base_catalog WHERE monitor <> 'Brand#2'
+          UNION ALL SELECT monitor FROM current_catalog WHERE monitor = 'Brand#2')
+        GROUP BY monitor
+        """,
+        "base_catalog",
+        "current_catalog",
+    ),
+)
+def rebaseline_one(spark, folder):
+    """One of many monitors accepts its present catalog."""
+    sweep, live = _sweep(spark, folder)
+    sweep.rebaseline(live.where("monitor = 'Brand#2'"))
+    columns = sweep.baseline.read().where("table is not null and index is null")
+    return columns.groupBy("monitor").agg(F.count(F.lit(1)).alias("columns"))

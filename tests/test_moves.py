@@ -129,7 +129,7 @@ def copied(spark, shop):
     maps = table_maps(plan)
     order = migration.order_of(analysis)
     folder = fresh_path(spark, "shop")
-    copies = migration.copy_tables(shop, maps, folder, order, keys={"users": "id", "orders": "id"})
+    copies = migration.copy_tables(shop, maps, folder, order, declared=SAYS)
     return analysis, plan, maps, order, copies
 
 
