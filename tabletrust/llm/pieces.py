@@ -6,9 +6,9 @@ space marker, unigram scores or merges ranked by piece score, and byte fallback.
 batches by the library's threads; ids can be verified against the sentencepiece library, and decoding
 against the text.
 
-If no piece has the white space marker behind another character, words are independent. Then a text is
-encoded word by word, which lets the library reuse words it has met, and very long texts are cut at
-blanks so that no encoding of a whole long text is ever held.
+If no piece has the white space marker behind another character, words are independent. Then each
+distinct word goes through the library once per process and memory, and very long texts are cut at blanks
+so that no encoding of a whole long text is ever held.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Every input row gives
 one result row, also when rows repeat. A text that contains the marker itself does not round-trip
@@ -38,8 +38,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Threads of one task, characters in one call of the library, and per part of a long text.
 THREADS, CALL_CHARS, PART_CHARS = 2, 1 << 20, 1 << 16
-#: Words of which one task remembers that both libraries agree.
-REMEMBERED = 400_000
+#: Words that one process remembers.
+REMEMBERED = 500_000
+#: The coder of this process, kept over its tasks.
+_CODERS: dict[tuple, Coder] = {}
 
 
 @dataclass
@@ -188,53 +190,102 @@ def encode_all(texts: list[str], made, model: Model) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
 
 
-class Parity:
-    """Compares ids with the sentencepiece library's.
+class Coder:
+    """Encodes texts, remembers words, and tells how far ids can be trusted.
 
-    Where words are independent each distinct word is compared once per memory, and a text agrees if
-    all its words do. New words are compared many in one text. Texts with runs of blanks, or blanks at an end, are compared whole, and so is
-    every text of other models.
+    Where words are independent each distinct word goes through the library once, many of them in
+    one text, and a text's ids are its words' ids one behind another. With `other`, the
+    sentencepiece library, a word is compared when it is met first, and so is decoding. Texts with
+    runs of blanks, blanks at an end or markers, and all texts of other models, are encoded,
+    compared and decoded whole.
     """
 
-    def __init__(self, made, model: Model, other, threads: int) -> None:
+    def __init__(self, made, model: Model, other=None, threads: int = THREADS) -> None:
         self.made, self.model, self.other, self.threads = made, model, other, threads
-        self.good: set[str] = set()
-        self.bad: set[str] = set()
-
-    def _compare(self, words: list[str]) -> None:
-        """All words in one text; only if that differs, half of them at a time."""
-        text = " ".join(words)
-        same = self.made.encode(text, add_special_tokens=False).ids == self.other.encode(text)
-        if same:
-            self.good.update(words)
-        elif len(words) == 1:
-            self.bad.update(words)
-        else:
-            self._compare(words[: len(words) // 2])
-            self._compare(words[len(words) // 2 :])
-
-    def of(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
-        words: list[set[str] | None] = []
-        for text in texts:
+        self.known: dict[str, bytes] = {}
+        self.unlike: set[str] = set()
+        self.lossy: set[str] = set()
+
+    def code(self, texts: list[str]) -> list[tuple[np.ndarray, bool | None, bool]]:
+        """(ids, agrees with the other library, decodes to the text) of each text."""
+        out: list = [None] * len(texts)
+        simple, rest = [], []
+        for i, text in enumerate(texts):
             plain = self.model.words_independent and text and MARKER not in text
             plain = plain and "  " not in text and text[0] != " " != text[-1]
-            words.append(set(text.split(" ")) if plain else None)
-        if len(self.good) > REMEMBERED:
-            self.good.clear()
-        new = list(set().union(*(w for w in words if w)) - self.good - self.bad)
-        for start in range(0, len(new), 2_000):
-            self._compare(new[start : start + 2_000])
-        return [
-            self.bad.isdisjoint(w) if w
-            else np.array_equal(a, self.other.encode(text))
-            for text, a, w in zip(texts, ids, words)
-        ]
+            (simple if plain else rest).append(i)
+        for i in simple:
+            out[i] = self._by_words(texts[i])
+        ids = encode_all([texts[i] for i in rest], self.made, self.model)
+        back = _decode_all(ids, self.made)
+        for i, own, text in zip(rest, ids, back):
+            like = np.array_equal(own, self.other.encode(texts[i])) if self.other else None
+            out[i] = (own, like, text == texts[i])
+        return out
+
+    def _by_words(self, text: str) -> tuple[np.ndarray, bool | None, bool]:
+        found, like, whole = [], True, True
+        for part in parts_of(text, self.model, CALL_CHARS):
+            words = part.split(" ")
+            known = self.known
+            new = list(set(words).difference(known))
+            if new:
+                known = self._learn(new)
+                if known is not self.known:
+                    known = known | {w: self.known[w] for w in set(words).difference(known)}
+            found.append(b"".join(map(known.__getitem__, words)))
+            like = like and not (self.unlike and not self.unlike.isdisjoint(words))
+            whole = whole and not (self.lossy and not self.lossy.isdisjoint(words))
+        return np.frombuffer(b"".join(found), np.int32), like if self.other else None, whole
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new words; they are remembered while there is room."""
+        into = self.known if len(self.known) < REMEMBERED else {}
+        lists = [new[i : i + 2_000] for i in range(0, len(new), 2_000)]
+        joined = [" ".join(words) for words in lists]
+        coded = self.made.encode_batch(joined, add_special_tokens=False)
+        for words, text, code in zip(lists, joined, coded):
+            ids, owner = np.array(code.ids, np.int32), np.array(code.word_ids)
+            cuts = np.searchsorted(owner, np.arange(len(words) + 1))
+            into.update(
+                (w, ids[a:b].tobytes()) for w, a, b in zip(words, cuts.tolist(), cuts[1:].tolist())
+            )
+            if self.other:
+                self._mark(words, into, self.unlike, lambda t, x: self.other.encode(t) == x)
+            self._mark(words, into, self.lossy, lambda t, x: self.made.decode(x, False) == t)
+        return into
+
+    def _mark(self, words: list[str], ids: dict[str, bytes], bad: set[str], holds) -> None:
+        """Put the words for which `holds` fails into `bad`; all in one text, then half of them."""
+        own = np.frombuffer(b"".join(map(ids.__getitem__, words)), np.int32).tolist()
+        if not holds(" ".join(words), own):
+            if len(words) == 1:
+                bad.update(words)
+            else:
+                self._mark(words[: len(words) // 2], ids, bad, holds)
+                self._mark(words[len(words) // 2 :], ids, bad, holds)
 
 
 def _decode_all(ids: list[np.ndarray], made) -> list[str]:
     return made.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
+def _coder(data: bytes, threads: int, verify: bool) -> Coder:
+    key = (data, threads, verify)
+    if key not in _CODERS:
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        other = None
+        if verify:
+            import sentencepiece
+
+            other = sentencepiece.SentencePieceProcessor(model_proto=data)
+        model = parse_model(data)
+        _CODERS.clear()
+        _CODERS[key] = Coder(build(model), model, other, threads)
+    return _CODERS[key]
+
+
 def encode(
     docs: DataFrame, model_file: str = MODEL_FILE, threads: int = THREADS, verify: bool = True
 ) -> DataFrame:
@@ -247,30 +298,18 @@ def encode(
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["RAYON_NUM_THREADS"] = str(threads)
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        model = parse_model(data.value)
-        made = build(model)
-        is_byte = np.array([kind == BYTE for _, _, kind in model.pieces])
-        if verify:
-            import sentencepiece
-
-            check = Parity(
-                made, model, sentencepiece.SentencePieceProcessor(model_proto=data.value), threads
-            )
+        coder = _coder(data.value, threads, verify)
+        is_byte = np.array([kind == BYTE for _, _, kind in coder.model.pieces])
         for batch in small_batches(batches, "text"):
-            texts = as_texts(batch.column("text"))
-            ids = encode_all(texts, made, model)
-            same = check.of(texts, ids) if verify else None
-            back = _decode_all(ids, made)
+            ids, like, whole = zip(*coder.code(as_texts(batch.column("text"))))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
                     "ids": pa.array(ids, pa.list_(pa.int32())),
                     "n_ids": pa.array([len(x) for x in ids], pa.int64()),
                     "n_bytes": pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()),
-                    "round_trip": pa.array([a == b for a, b in zip(texts, back)]),
-                    "parity": pa.array(same or [None] * len(texts), pa.bool_()),
+                    "round_trip": pa.array(whole, pa.bool_()),
+                    "parity": pa.array(like, pa.bool_()),
                 }
             )
 
