@@ -22,8 +22,6 @@ from tabletrust.session import materialize
 
 #: One parameter of one tool; `type` is string, integer, number or boolean.
 SCHEMA_COLUMNS = "tool string, param string, type string, required boolean"
-#: Pointer doublings between two written tables.
-JUMPS_PER_TABLE = 4
 
 
 def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -91,17 +89,25 @@ def waves(links: DataFrame) -> DataFrame:
     )
     most = state.where("to is not null").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     longest = most.agg(F.max("n")).first()[0] or 0
-    for k in range(longest.bit_length()):
-        ahead = state.select(
+    done, moving = state.where("to is null"), state.where("to is not null")
+    for _ in range(longest.bit_length()):
+        # Only calls whose pointer has not ended yet are joined again.
+        ahead = done.unionByName(moving).select(
             "conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"),
             F.col("wave").alias("more"),
         )
-        state = state.join(ahead, ["conv_id", "to"], "left").select(
-            "conv_id", "call_id", F.col("next").alias("to"),
-            (F.col("wave") + F.coalesce("more", F.lit(0))).alias("wave"), "missing",
+        moved = materialize(
+            moving.join(ahead, ["conv_id", "to"]).select(
+                "conv_id", "call_id", F.col("next").alias("to"),
+                (F.col("wave") + F.col("more")).alias("wave"), "missing",
+            ),
+            "call-pointers",
         )
-        if (k + 1) % JUMPS_PER_TABLE == 0:
-            state = materialize(state, "call-pointers")
+        done = done.unionByName(moved.where("to is null"))
+        moving = moved.where("to is not null")
+        if moving.isEmpty():
+            break
+    state = done.unionByName(moving)
     cyclic = F.col("to").isNotNull()
     return state.select(
         "conv_id", "call_id", F.when(~cyclic, F.col("wave")).alias("wave"),
