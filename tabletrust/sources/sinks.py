@@ -84,16 +84,35 @@ class VersionedTable:
         self.spark = spark
         self.path = path
 
-    def _versions(self) -> list[str]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
+    def _folders(self, path: str) -> tuple:
+        """(file system, path maker, names of the folders in `path`)."""
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = make(path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-        done = [n for n in names if fs.exists(hadoop.Path(f"{self.path}/{n}/_SUCCESS"))]
+            return fs, make, []
+        return fs, make, [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
+
+    def _versions(self) -> list[str]:
+        fs, make, names = self._folders(self.path)
+        done = [n for n in names if fs.exists(make(f"{self.path}/{n}/_SUCCESS"))]
         return sorted(n for n in done if n.startswith("version="))
 
+    def expire(self, keep: int) -> list[str]:
+        """Delete all complete versions but the last `keep`; returns the paths of those."""
+        versions = self._versions()
+        fs, make, _ = self._folders(self.path)
+        for name in versions[:-keep]:
+            fs.delete(make(f"{self.path}/{name}"), True)
+        return [f"{self.path}/{name}" for name in versions[-keep:]]
+
+    def drop_others(self, path: str, prefix: str, named: set[str]) -> None:
+        """Delete the folders in `path` that start with `prefix` and are not in `named`."""
+        fs, make, names = self._folders(path)
+        for name in names:
+            if name.startswith(prefix) and name not in named:
+                fs.delete(make(f"{path}/{name}"), True)
+
     def exists(self) -> bool:
         return bool(self._versions())
 
@@ -115,38 +134,6 @@ class VersionedTable:
             self.replace(df)
 
 
-def write_keyed(
-    table: VersionedTable, new: DataFrame, key: str, strategy: str, sequence: str
-) -> int:
-    """Write `new` under `fail`, `skip` or `overwrite`; returns the rows written.
-
-    `sequence` is a column of `new` that says which of two rows with one key came first; it
-    is not stored unless the table has it.
-    """
-    if strategy not in ("fail", "skip", "overwrite"):
-        raise ValueError(f"unknown conflict strategy {strategy!r}")
-    if not table.exists():
-        table.replace(new.limit(0).drop(*_unstored(new, sequence)))
-    old = table.read()
-    stored = new.select(*old.columns)
-    if strategy == "fail":
-        if not conflicting_keys(old, new, key).isEmpty():
-            raise ConflictError(f"rows with an existing or repeated {key}")
-        table.append(stored)
-        return stored.count()
-    if strategy == "skip":
-        before = old.count()
-        table.append(skip_existing(old, new, key, sequence).select(*old.columns))
-        return table.read().count() - before
-    table.replace(overwrite_existing(old, new, key, sequence))
-    written = new.agg(F.count_distinct(key) + F.count_if(F.col(key).isNull()))
-    return written.first()[0]
-
-
-def _unstored(new: DataFrame, sequence: str) -> list[str]:
-    return [sequence] if sequence.startswith("_") else []
-
-
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
     """Rows to a database table, one transaction per partition, in batches."""
     df.write.format("jdbc").mode(mode).options(

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tabletrust.operators.mapping import TableMap, split_rows
-from tabletrust.sources.sinks import VersionedTable, skip_existing
+from tabletrust.sources.keyed import KeyedTable
+from tabletrust.sources.sinks import skip_existing
 
 
 class RejectedRows(RuntimeError):
@@ -37,6 +38,7 @@ class CopyJob:
     log: str | None = None
     skip_errors: bool = True
     files_per_batch: int = 64
+    buckets: int = 32
 
     def start(self, spark: SparkSession) -> StreamingQuery:
         rows = (
@@ -70,14 +72,13 @@ class CopyJob:
         bad = bad.unionByName(batch.where(~keyed))
         if not self.skip_errors and not bad.isEmpty():
             raise RejectedRows(f"batch {batch_id} of {self.mapping.source_table}")
-        table = VersionedTable(spark, self.target)
+        table = self.table(spark)
         if not table.exists():
-            table.replace(good.limit(0))
+            table.create(good.limit(0))
         order = "_arrival"
         numbered = good.withColumn(order, F.monotonically_increasing_id())
-        # Only the part of the target the batch's keys fall into is read.
-        low, high = good.agg(F.min(self.key), F.max(self.key)).first()
-        held = table.read().where(F.col(self.key).between(F.lit(low), F.lit(high)))
+        # Only the buckets of the target that the batch's keys fall into are read.
+        held = table.read(table.touched(good))
         fresh = skip_existing(held, numbered, self.key, order).drop(order)
         table.append(fresh)
         if self.rejects:
@@ -85,15 +86,17 @@ class CopyJob:
                 f"{self.rejects}/batch={batch_id}"
             )
         if self.log:
-            self._log(spark, batch, table, batch_id)
+            self._log(batch, table, batch_id)
 
-    def _log(self, spark: SparkSession, batch: DataFrame, table: VersionedTable, batch_id: int):
+    def table(self, spark: SparkSession) -> KeyedTable:
+        return KeyedTable(spark, self.target, self.key, self.buckets)
+
+    def _log(self, batch: DataFrame, table: KeyedTable, batch_id: int) -> None:
         entry = batch.agg(F.count(F.lit(1)).alias("rows_read")).select(
             F.lit(self.mapping.source_table).alias("table"),
             "rows_read",
             F.current_timestamp().alias("at"),
         )
-        held = table.read().agg(F.count(F.lit(1)).alias("rows_in_target"))
-        entry = entry.withColumn("rows_in_target", held.scalar())
+        entry = entry.withColumn("rows_in_target", F.lit(table.rows()).cast("bigint"))
         # A batch that runs again replaces its own entry.
         entry.write.mode("overwrite").parquet(f"{self.log}/batch={batch_id}")

@@ -17,7 +17,7 @@ from tabletrust.plans.migration import (
     validate_copy,
 )
 from tabletrust.session import fresh_path
-from tabletrust.sources import sinks
+from tabletrust.sources import keyed, sinks
 from tabletrust.sources.catalog import Declared, read_catalog
 from tabletrust.workload.registry import query
 from tabletrust.workload.scenario import DECLARED, table, tables, with_views
@@ -51,9 +51,9 @@ def _new(spark, folder) -> DataFrame:
 
 
 def _written(spark, folder, strategy: str) -> tuple[DataFrame, int]:
-    target = sinks.VersionedTable(spark, fresh_path(spark, strategy))
-    target.replace(_old(spark, folder))
-    written = sinks.write_keyed(target, _new(spark, folder), "o_orderkey", strategy, "_seq")
+    target = keyed.KeyedTable(spark, fresh_path(spark, strategy), "o_orderkey", buckets=8)
+    target.create(_old(spark, folder))
+    written = keyed.write_keyed(target, _new(spark, folder), strategy, "_seq")
     return target.read(), written
 
 

@@ -40,7 +40,7 @@ def _copy(spark, folder) -> CopyJob:
     late = events.where("flag IS NULL OR flag <> '0'")
     job = CopyJob(
         f"{base}/in", events.schema, f"{base}/out", f"{base}/checkpoint", COPY_MAP, "id",
-        rejects=f"{base}/rejects", log=f"{base}/log", files_per_batch=2,
+        rejects=f"{base}/rejects", log=f"{base}/log", files_per_batch=2, buckets=8,
     )
     _split_files(early, job.source, 3)
     job.run(spark)
@@ -62,7 +62,7 @@ def _copy(spark, folder) -> CopyJob:
     ),
 )
 def stream_copy_resume(spark, folder):
-    return VersionedTable(spark, _copy(spark, folder).target).read()
+    return _copy(spark, folder).table(spark).read()
 
 
 @query(

@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabletrust.operators import reshape, skew, validate
+from tabletrust.operators import mapping, reshape, skew, validate
 from tabletrust.operators.mapping import ColumnMap, TableMap, table_maps
 from tabletrust.plans import migration, upload
 from tabletrust.session import fresh_path, shared_dir
-from tabletrust.sources import delimited, sinks, tables
+from tabletrust.sources import delimited, keyed, sinks, tables
 from tabletrust.sources.catalog import Declared, relationship_census
 from tabletrust.streaming.copy import CopyJob, RejectedRows
 
@@ -18,8 +18,8 @@ def _rows(df):
 
 @pytest.fixture
 def target(spark):
-    table = sinks.VersionedTable(spark, fresh_path(spark, "target"))
-    table.replace(spark.createDataFrame([(1, "old"), (2, "old")], "id int, v string"))
+    table = keyed.KeyedTable(spark, fresh_path(spark, "target"), "id", buckets=4)
+    table.create(spark.createDataFrame([(1, "old"), (2, "old")], "id int, v string"))
     return table
 
 
@@ -29,13 +29,13 @@ NEW_SCHEMA = "id int, v string, _seq int"
 
 def test_skip_keeps_old_and_first(spark, target):
     new = spark.createDataFrame(NEW, NEW_SCHEMA)
-    assert sinks.write_keyed(target, new, "id", "skip", "_seq") == 2
+    assert keyed.write_keyed(target, new, "skip", "_seq") == 2
     assert _rows(target.read()) == [(1, "old"), (2, "old"), (3, "first"), (None, "nokey")]
 
 
 def test_overwrite_keeps_last(spark, target):
     new = spark.createDataFrame(NEW[:4], NEW_SCHEMA)
-    assert sinks.write_keyed(target, new, "id", "overwrite", "_seq") == 2
+    assert keyed.write_keyed(target, new, "overwrite", "_seq") == 2
     assert _rows(target.read()) == [(1, "old"), (2, "last"), (3, "last")]
 
 
@@ -43,26 +43,43 @@ def test_fail_refuses_and_changes_nothing(spark, target):
     for rows in (NEW[:1], NEW[2:4]):
         with pytest.raises(sinks.ConflictError):
             new = spark.createDataFrame(rows, NEW_SCHEMA)
-            sinks.write_keyed(target, new, "id", "fail", "_seq")
+            keyed.write_keyed(target, new, "fail", "_seq")
     assert _rows(target.read()) == [(1, "old"), (2, "old")]
     fresh = spark.createDataFrame([(7, "x", 1)], NEW_SCHEMA)
-    assert sinks.write_keyed(target, fresh, "id", "fail", "_seq") == 1
+    assert keyed.write_keyed(target, fresh, "fail", "_seq") == 1
     assert target.read().count() == 3
 
 
 def test_unknown_strategy(spark, target):
     with pytest.raises(ValueError):
-        sinks.write_keyed(target, spark.createDataFrame(NEW, NEW_SCHEMA), "id", "merge", "_seq")
+        keyed.write_keyed(target, spark.createDataFrame(NEW, NEW_SCHEMA), "merge", "_seq")
 
 
 def test_unfinished_version_is_not_read(spark, target):
-    target.read().write.parquet(f"{target.path}/half")
+    target.read().write.parquet(f"{target.path}/write=half")
     hadoop = spark._jvm.org.apache.hadoop.fs
-    half = hadoop.Path(f"{target.path}/version=999999999-dead")
+    half = hadoop.Path(f"{target.path}/manifest/version=999999999-dead")
     half.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(half)
     assert _rows(target.read()) == [(1, "old"), (2, "old")]
 
 
+def test_only_touched_buckets_are_read_and_old_files_go(spark, target):
+    more = spark.range(40).selectExpr("cast(id + 10 as int) id", "'x' v", "1 _seq")
+    assert keyed.write_keyed(target, more, "skip", "_seq") == 40
+    one = spark.createDataFrame([(11, "new", 1)], NEW_SCHEMA)
+    files = set(target.read(target.touched(one)).inputFiles())
+    assert files and files < set(target.read().inputFiles())
+    before = set(target.read().inputFiles())
+    for _ in range(4):
+        assert keyed.write_keyed(target, one, "overwrite", "_seq") == 1
+    rows = target.read()
+    assert rows.count() == target.rows() == 42 and rows.where("id = 11").first()["v"] == "new"
+    assert len(before & set(rows.inputFiles())) >= len(before) - len(files)
+    for _ in range(keyed.MOST_PARTS + 2):
+        keyed.write_keyed(target, one.withColumn("id", F.lit(None).cast("int")), "skip", "_seq")
+    assert target.read().count() == target.rows() == 42 + keyed.MOST_PARTS + 2
+
+
 def test_one_per_key_limits_before_the_shuffle(spark):
     df = spark.createDataFrame([(1, i) for i in range(1000)] + [(2, 5)], "k int, s int").repartition(4)
     kept = sinks.one_per_key(df, "k", "s", "last")
@@ -264,7 +281,7 @@ def test_copy_resumes_without_loss_or_repeat(spark):
     _arrive(spark, job, [(i, str(i)) for i in range(50, 120)])
     job.run(spark)
     job.run(spark)
-    got = sinks.VersionedTable(spark, job.target).read()
+    got = job.table(spark).read()
     assert _rows(got) == [(i, i) for i in range(120)]
 
 
@@ -273,10 +290,53 @@ def test_batch_run_twice_adds_nothing(spark):
     batch = spark.createDataFrame([(1, "1"), (2, "x"), (3, "3"), (None, "4")], "id int, v string")
     for _ in range(2):
         job.write_batch(batch, 0)
-    assert _rows(sinks.VersionedTable(spark, job.target).read()) == [(1, 1), (3, 3)]
+    assert _rows(job.table(spark).read()) == [(1, 1), (3, 3)]
     assert _rows(spark.read.parquet(job.rejects).select("id", "v")) == [(2, "x"), (None, "4")]
 
 
+def test_log_of_a_batch_run_twice_counts_once(spark):
+    job = _job(spark)
+    batch = spark.createDataFrame([(1, "1"), (2, "2")], "id int, v string")
+    for _ in range(2):
+        job.write_batch(batch, 0)
+    log = spark.read.parquet(job.log).collect()
+    assert [(r["rows_read"], r["rows_in_target"]) for r in log] == [(2, 2)]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "cells.csv"
+    path.write_text('a,b\n1,"two\nlines"\n')
+    rows = delimited.read_delimited(spark, str(path), multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [("1", "two\nlines")]
+
+
+def test_a_tie_goes_to_the_first_table_of_the_catalog(spark):
+    heads = spark.createDataFrame([("f", 0, "id"), ("f", 1, "x")], "upload string, position int, header string")
+    columns = spark.createDataFrame([("b", "id"), ("a", "id")], "table string, column string")
+    best, _ = mapping.match_header(heads, columns, ["b", "a"])
+    assert best.first()["table"] == "b"
+    best, _ = mapping.match_header(heads, columns)
+    assert best.first()["table"] == "a"
+
+
+def test_all_targets_missing_is_scored(spark):
+    source = {"t": spark.createDataFrame([(1,)], "id int")}
+    maps = {"t": TableMap("t", "t2", (ColumnMap("id", "id"),))}
+    row = migration.validate_copy(source, {}, maps, {}).first()
+    assert (row["match_ratio"], row["target_rows"]) == (0.0, 0)
+    assert row["score"] == pytest.approx(0.1)
+
+
+def test_equal_children_of_a_hot_parent_are_split(spark):
+    child = spark.range(40).selectExpr("1L AS p", "'same' AS c")
+    parent = spark.createDataFrame([(1,)], "p bigint")
+    rows = reshape.embed_children(parent, "p", child, "p", ["c"], per_document=10)
+    got = sorted((r["segment"], r["offset"], len(r["children"])) for r in rows.collect())
+    assert got == [(i, 10 * i, 10) for i in range(4)]
+    items = reshape.child_table(rows, "p", "children").select("position").collect()
+    assert sorted(r[0] for r in items) == list(range(40))
+
+
 def test_fail_fast(spark):
     job = _job(spark, skip_errors=False)
     with pytest.raises(RejectedRows):
