@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tabletrust.llm.text import as_bytes, text_mark
 
 #: Text per chunk, and how many chunks share one range of the key space.
-CHUNK_BYTES, CHUNKS_PER_BUCKET = 8 << 20, 4
+CHUNK_BYTES, CHUNKS_PER_BUCKET = 4 << 20, 2
 #: Keys are compared by their upper 48 bits when they are only counted.
 KEY_BITS = 48
 

@@ -5,9 +5,9 @@
 2. Sets are put in one global order, frequent shingles first. Two sets that link must share one of
    the rarest `n - ceil(0.75 n) + 1` shingles of each, so a document whose rarest ones are all its own
    has no partner and goes no further. Equal sets are one class from here on.
-3. Classes that share a rare shingle meet at a pivot first: the links found this way join most
-   classes into components. Rounds with other pivots follow, and at last all pairs that share a rare
-   shingle, lie in different components and fit by length and position.
+3. Classes that share a rare shingle meet at a pivot first, the most widely shared set: the links
+   found this way join most classes into components. A round with other pivots follows, and at last all
+   pairs that share a rare shingle, lie in different components and fit by length and position.
 4. Pairs are verified per pivot: the sorted set sequences of its partners form a trie. The walk keeps
    the overlap of the path with the pivot, so a common beginning is counted once, and leaves a
    subtree when the overlap and the remaining length cannot reach the bound.
@@ -38,7 +38,7 @@ WORDS = 5
 #: Two sets link when PERCENT * union <= 100 * intersection.
 PERCENT = 75
 #: Rounds with one pivot per shingle before all remaining pairs are tried.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Partners of one pivot that are verified in one task.
 PARTNERS = 1024
 #: Tokens of the trie that are looked up at once.
@@ -73,7 +73,7 @@ def _least_common(n: int, percent: int) -> int:
 
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("tokens", pa.binary()),
-     ("rare", pa.list_(pa.int64()))]
+     ("own", pa.int64()), ("weight", pa.int64()), ("rare", pa.list_(pa.int64()))]
 )
 
 
@@ -88,33 +88,39 @@ def _order(percent: int):
             tokens = shingles(text)
             n = len(tokens)
             if not n or not len(keys):
-                out.append((doc_id, n, None, None, None))
+                out.append((doc_id, n, *[None] * 5))
                 continue
             counted = short(tokens)
             at = np.minimum(np.searchsorted(keys, counted), len(keys) - 1)
             seen = np.where(keys[at] == counted, counts[at], 1)
             sure = n - _least_common(n, percent) + 1
-            if (seen == 1).sum() >= sure:
-                out.append((doc_id, n, None, None, None))
+            own = int((seen == 1).sum())
+            if own >= sure:
+                out.append((doc_id, n, *[None] * 5))
                 continue
             order = np.lexsort((tokens, seen))[::-1]
             tokens, seen = tokens[order], seen[order]
             key = xxhash.xxh3_128_digest(tokens.tobytes())
             if key in met:
-                out.append((doc_id, n, key, None, None))
+                out.append((doc_id, n, key, *[None] * 4))
                 continue
             met.add(key)
-            rare = tokens[n - sure :][seen[n - sure :] > 1]
-            out.append((doc_id, n, key, tokens.tobytes(), rare.view(np.int64)))
+            weight = int(1000 * np.log2(seen).mean())
+            shared = tokens[: n - own]
+            rare = shared[n - sure :][::-1].view(np.int64)
+            out.append((doc_id, n, key, shared.tobytes(), own, weight, rare))
         return table_of(out, _SETS)
 
     return order
 
 
 def ordered_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, key, tokens, rare) of every row; key is null where no partner is possible.
+    """(doc_id, n, key, tokens, own, weight, rare) of every row; key is null without a partner.
 
-    `tokens` and `rare` are there for one row of each key in a chunk.
+    `tokens` are the shingles that other documents have too, in the global order, `own` is the number
+    of the others, `weight` says how widely shared the set is, and `rare` are the rarest of
+    `tokens`, the rarest first, at places `own` and on of the whole set. All four are there for one
+    row of each key in a chunk.
     """
     n = chunks.chunk_count(docs)
     texts = chunks.chunked(docs, n)
@@ -123,8 +129,11 @@ def ordered_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return both.applyInArrow(_order(percent), sql_type(_SETS))
 
 
-def trie_links(pivot: np.ndarray, partners: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """Which of `partners` link to `pivot`; all sets in the same global order.
+def trie_links(
+    pivot: np.ndarray, n_pivot: int, partners: list[np.ndarray], sizes: list[int],
+    percent: int = PERCENT,
+) -> list[int]:
+    """Which of `partners` link to `pivot`; shared shingles in global order, and whole set sizes.
 
     Partners in order of their sequences are the leaves of a trie from left to right. `overlap[d]` is
     the intersection of the pivot with the current path down to depth d; the next leaf keeps the part
@@ -135,7 +144,7 @@ def trie_links(pivot: np.ndarray, partners: list[np.ndarray], percent: int = PER
     out, path, overlap, known = [], np.zeros(0, np.uint64), np.zeros(1, np.int64), 0
     for i in sorted(range(len(partners)), key=sequences.__getitem__):
         own = partners[i]
-        n, total = len(own), len(own) + len(inside)
+        n, total = len(own), sizes[i] + n_pivot
         need = -(-percent * total // (100 + percent))
         common = min(len(path), n, known)
         branch = np.flatnonzero(path[:common] != own[:common])
@@ -144,8 +153,8 @@ def trie_links(pivot: np.ndarray, partners: list[np.ndarray], percent: int = PER
         grown[: depth + 1] = overlap[: depth + 1]
         while depth < n and grown[depth] + n - depth >= need:
             ahead = own[depth : depth + STEP]
-            at = np.minimum(np.searchsorted(inside, ahead), len(inside) - 1)
-            grown[depth + 1 : depth + 1 + len(ahead)] = grown[depth] + np.cumsum(inside[at] == ahead)
+            hits = np.cumsum(chunks.found_in(ahead, inside))
+            grown[depth + 1 : depth + 1 + len(ahead)] = grown[depth] + hits
             depth += len(ahead)
         overlap, known = grown, depth
         if depth == n and 100 * grown[n] >= percent * (total - grown[n]):
@@ -153,124 +162,124 @@ def trie_links(pivot: np.ndarray, partners: list[np.ndarray], percent: int = PER
     return out
 
 
-_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _verify(pivots: pa.Table, partners: pa.Table) -> pa.Table:
-    if not pivots.num_rows or not partners.num_rows:
-        return _LINKS.emptytable_of()
-    pivot = np.frombuffer(pivots.column("tokens")[0].as_py(), np.uint64)
-    names = partners.column("b").to_pylist()
-    sets = [np.frombuffer(t, np.uint64) for t in partners.column("tokens").to_pylist()]
-    a = pivots.column("a")[0].as_py()
-    return table_of([(a, names[i]) for i in trie_links(pivot, sets)], _LINKS)
+def _verify(percent: int):
+    def verify(pivots: pa.Table, partners: pa.Table) -> pa.Table:
+        if not pivots.num_rows or not partners.num_rows:
+            return _LINKS.empty_table()
+        a, n = pivots.column("a")[0].as_py(), pivots.column("n")[0].as_py()
+        pivot = np.frombuffer(pivots.column("tokens")[0].as_py(), np.uint64)
+        names, sizes = partners.column("b").to_pylist(), partners.column("n").to_pylist()
+        sets = [np.frombuffer(t, np.uint64) for t in partners.column("tokens").to_pylist()]
+        return table_of([(a, names[i]) for i in trie_links(pivot, n, sets, sizes, percent)], _LINKS)
 
+    return verify
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, found by one trie walk for each pivot and block of partners."""
+
+def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that link, found by one trie walk for each pivot and block of partners.
+
+    `classes` has (id, n, tokens), also of classes that no pair names.
+    """
     blocks = pairs.groupBy("a").agg((F.count(F.lit(1)) / PARTNERS).cast("int").alias("most"))
-    sets = classes.select("key", "tokens")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(classes.join(named, "id", "left_semi"), "paired-sets")
     pivots = (
-        blocks.join(sets.withColumnRenamed("key", "a"), "a")
-        .select("a", F.explode(F.sequence(F.lit(0), "most")).alias("block"), "tokens")
-        .toDF("a", "block", "tokens")
+        blocks.join(sets.withColumnRenamed("id", "a"), "a")
+        .select("a", F.explode(F.sequence(F.lit(0), "most")).alias("block"), "n", "tokens")
+        .toDF("a", "block", "n", "tokens")
     )
     partners = (
         pairs.join(blocks, "a")
         .select("a", "b", F.pmod(F.xxhash64("b"), F.col("most") + 1).cast("int").alias("block"))
-        .join(sets.withColumnRenamed("key", "b"), "b")
-        .toDF("b", "a", "block", "tokens")
+        .join(sets.withColumnRenamed("id", "b"), "b")
+        .toDF("b", "a", "block", "n", "tokens")
     )
     both = pivots.groupBy("a", "block").cogroup(partners.groupBy("a", "block"))
-    return both.applyInArrow(_verify, sql_type(_LINKS))
+    return both.applyInArrow(_verify(percent), sql_type(_LINKS))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, label) of every linked key: the smallest key of its component.
+    """(id, label) of every linked id: the smallest id of its component.
 
     Each round takes the smallest label among neighbours and then the label's own label.
     """
     edges = materialize(
-        links.select("a", "b").union(links.select("b", "a")).distinct().toDF("key", "to"), "links"
+        links.select("a", "b").union(links.select("b", "a")).distinct().toDF("id", "to"), "links"
     )
     labels = materialize(
-        edges.groupBy("key").agg(F.least(F.min("to"), F.col("key")).alias("label")), "labels"
+        edges.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("label")), "labels"
     )
     while True:
         ahead = labels.toDF("to", "next")
-        near = edges.join(ahead, "to").groupBy("key").agg(F.min("next").alias("near"))
-        lower = labels.join(near, "key").select(
-            "key", "label", F.least("label", "near").alias("lower")
+        near = edges.join(ahead, "to").groupBy("id").agg(F.min("next").alias("near"))
+        lower = labels.join(near, "id").select(
+            "id", "label", F.least("label", "near").alias("lower")
         )
-        jump = lower.select(F.col("key").alias("lower"), F.col("lower").alias("lowest"))
+        jump = lower.select(F.col("id").alias("lower"), F.col("lower").alias("lowest"))
         new = materialize(
             lower.join(jump, "lower", "left").select(
-                "key", F.col("label").alias("was"),
+                "id", F.col("label").alias("was"),
                 F.least("lower", F.coalesce("lowest", "lower")).alias("label"),
             ),
             "labels",
         )
         if new.where("was <> label").isEmpty():
-            return new.select("key", "label")
-        labels = new.select("key", "label")
+            return new.select("id", "label")
+        labels = new.select("id", "label")
+
 
+def class_labels(rare: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, label) of the classes that link to others.
 
-def class_labels(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, label) of the classes that link to others."""
+    `rare(id, n, weight, token, pos)` are the rare shingles of each class with their places in the
+    whole set, `classes` as in `verified`. Each round keeps only shingles that still have classes of
+    different components.
+    """
     spark = classes.sparkSession
-    rare = materialize(
-        classes.select("key", "n", F.posexplode(F.reverse("rare")).alias("pos", "token")), "rare"
-    )
-    single = rare.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rare = materialize(rare.join(single.select("token"), "token"), "rare-shared")
     links = spark.createDataFrame([], sql_type(_LINKS))
-    tested = spark.createDataFrame([], sql_type(_LINKS))
-    labels = spark.createDataFrame([], "key binary, label binary")
+    tested, labels = links, spark.createDataFrame([], "id bigint, label bigint")
+    rare = rare.withColumn("label", F.col("id"))
     for k in range(PIVOT_ROUNDS + 1):
-        marked = rare.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = (
-            marked.groupBy("token")
-            .agg(
-                F.min("label").alias("low"), F.max("label").alias("high"),
-                F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "label", "n", "pos"))
-                .alias("p"),
-            )
-            .where("low <> high")
-        )
+        ends = rare.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = ends.where("low <> high").select("token")
+        rare = materialize(rare.join(mixed, "token", "left_semi"), "mixed-shingles")
         if k < PIVOT_ROUNDS:
-            p = mixed.select(
-                "token", F.col("p.key").alias("a"), F.col("p.label").alias("a_label"),
-                F.col("p.n").alias("a_n"), F.col("p.pos").alias("a_pos"),
-            )
+            first = F.col("weight") if k == 0 else F.xxhash64("id", F.lit(k))
+            place = F.struct(first.alias("first"), "id", "label", "n", "pos")
+            p = rare.groupBy("token").agg(F.max(place).alias("p")).select("token", "p.*").drop("first")
         else:
-            p = marked.join(mixed.select("token"), "token").select(
-                "token", F.col("key").alias("a"), F.col("label").alias("a_label"),
-                F.col("n").alias("a_n"), F.col("pos").alias("a_pos"),
-            )
+            p = rare.select("token", "id", "label", "n", "pos")
+        p = p.toDF("token", "a", "a_label", "a_n", "a_pos")
         fits = (
             (F.col("label") != F.col("a_label"))
             & (F.least("n", "a_n") * 100 >= F.greatest("n", "a_n") * percent)
             & (
-                F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos"))
-                * (100 + percent)
+                F.least(F.col("n") - F.col("pos"), F.col("a_n") - F.col("a_pos")) * (100 + percent)
                 >= (F.col("n") + F.col("a_n")) * percent
             )
         )
-        met = marked.join(p, "token").where(fits)
-        pairs = met.select(
-            F.least("a", "key").alias("x"), F.greatest("a", "key").alias("y"), "a"
-        ).groupBy("x", "y").agg(F.min("a").alias("a"))
-        pairs = pairs.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+        pairs = (
+            rare.join(p, "token").where(fits)
+            .select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y"), "a")
+            .groupBy("x", "y").agg(F.min("a").alias("a"))
+            .select("a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
+        )
         done = tested.union(tested.select("b", "a"))
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        found = materialize(verified(pairs, classes), "verified")
-        tested = materialize(tested.union(pairs), "tested") if k < PIVOT_ROUNDS else tested
-        links = links.union(found)
+        tested = tested.union(pairs)
+        found = materialize(verified(pairs, classes, percent), "verified")
         if found.isEmpty():
             continue
+        links = links.union(found)
         labels = components(links)
+        if k < PIVOT_ROUNDS:
+            new = labels.withColumnRenamed("label", "new")
+            rare = rare.join(new, "id", "left").withColumn("label", F.coalesce("new", "id")).drop("new")
     return labels
 
 
@@ -279,16 +288,23 @@ def document_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = materialize(ordered_sets(docs, percent), "ordered-sets")
     keyed = sets.where("key is not null")
     classes = materialize(
-        keyed.groupBy("key").agg(
-            F.min("doc_id").alias("least"), F.first("n").alias("n"),
-            F.first("tokens", ignorenulls=True).alias("tokens"),
-            F.first("rare", ignorenulls=True).alias("rare"),
-        ),
+        keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
+        .withColumn("id", F.monotonically_increasing_id()),
         "set-classes",
     )
-    labels = class_labels(classes, percent)
-    named = classes.select("key", "least").join(labels, "key", "left").select(
-        "key", "least", F.coalesce("label", "key").alias("label")
+    # A key has a row with its shingles in every chunk that has the set.
+    whole = sets.where("tokens is not null").select("key", "n", "own", "weight", "rare", "tokens")
+    named = whole.join(classes.select("key", "id"), "key")
+    rare = materialize(
+        named.select("id", "n", "own", "weight", F.posexplode("rare").alias("at", "token"))
+        .select("id", "n", "weight", "token", (F.col("own") + F.col("at")).alias("pos"))
+        .distinct(),
+        "rare-shingles",
+    )
+    shared = named.select("id", "n", "tokens").dropDuplicates(["id"])
+    labels = class_labels(rare, shared, percent)
+    named = classes.join(labels, "id", "left").select(
+        "key", "least", F.coalesce("label", "id").alias("label")
     )
     roots = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = materialize(named.join(roots, "label").select("key", "component_id"), "class-components")

@@ -42,7 +42,7 @@ WINDOW, ANCHOR = 50, 24
 SPAN = WINDOW - ANCHOR + 1
 BESIDE = SPAN // 2
 #: Text per chunk, windows handled at once, and ranges of segments per chunk.
-CHUNK_BYTES, BLOCK, RANGES_PER_CHUNK = 4 << 20, 1 << 20, 1
+CHUNK_BYTES, BLOCK, RANGES_PER_CHUNK = 4 << 20, 1 << 18, 4
 _LAST = np.iinfo(np.int64).max
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 

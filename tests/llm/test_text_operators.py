@@ -228,7 +228,8 @@ def test_trie_walk_is_exact():
             i for i, o in enumerate(others)
             if 100 * len(set(pivot) & set(o)) >= 75 * len(set(pivot) | set(o))
         }
-        assert set(ngram_join.trie_links(pivot, others)) == right
+        sizes = [len(o) for o in others]
+        assert set(ngram_join.trie_links(pivot, len(pivot), others, sizes)) == right
 
 
 # Quality rules
