@@ -126,10 +126,12 @@ def mapping_plan(
     skip: tuple[str, ...] = (),
     only: tuple[str, ...] | None = None,
     overrides: DataFrame | None = None,
+    foreign_keys: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (table, column): target type, conversion, warning.
 
-    `columns` is a catalog's columns frame; `profile` a profile of the same tables.
+    `columns` is a catalog's columns frame; `profile` a profile of the same tables. With
+    `foreign_keys(table, ref_table)` a `note` says which tables must be loaded before.
     """
     kept = columns.where(~F.col("table").isin(*skip)) if skip else columns
     if only is not None:
@@ -137,7 +139,16 @@ def mapping_plan(
     typed = with_target_types(kept, source, target, overrides=overrides)
     facts = profile.select("table", "column", "rows", "implicit_boolean", "pii_suspected")
     flag = F.coalesce("implicit_boolean", F.lit(False)) & (F.col("canonical") != "boolean")
-    return typed.join(facts, ["table", "column"], "left").select(
+    planned = typed.join(facts, ["table", "column"], "left")
+    noted = []
+    if foreign_keys is not None:
+        parents = foreign_keys.where("table <> ref_table").groupBy("table").agg(
+            F.array_join(F.sort_array(F.collect_set("ref_table")), ", ").alias("_parents")
+        )
+        planned = planned.join(parents, "table", "left")
+        noted = [F.concat(F.lit("load after "), "_parents").alias("note")]
+    return planned.select(
+        *noted,
         "table",
         "ordinal",
         F.col("column").alias("source_column"),

@@ -83,8 +83,13 @@ def catalog_from_information_schema(
     `columns`: table_name, column_name, ordinal_position, data_type, is_nullable,
     column_default. `constraints`: constraint_name, table_name, constraint_type. `usage`:
     constraint_name, table_name, column_name, ordinal_position. `references`:
-    constraint_name, table_name (the referenced one), column_name.
+    constraint_name, table_name (the referenced one), column_name. Keys of several columns are
+    paired by position if `references` has ordinal_position, the place in the referenced key, and
+    `usage` may name that place in position_in_unique_constraint.
     """
+    paired = "ordinal_position" in references.columns
+    place = "position_in_unique_constraint"
+    place = place if place in usage.columns else "ordinal_position"
     key_parts = (
         constraints.where(F.col("constraint_type") == "PRIMARY KEY")
         .select("constraint_name", "table_name")
@@ -113,16 +118,22 @@ def catalog_from_information_schema(
         constraints.where(F.col("constraint_type") == "FOREIGN KEY")
         .select("constraint_name", "table_name")
         .join(usage, ["constraint_name", "table_name"])
-        .select("constraint_name", F.col("table_name").alias("table"), F.col("column_name").alias("column"))
+        .select(
+            "constraint_name",
+            F.col("table_name").alias("table"),
+            F.col("column_name").alias("column"),
+            F.col(place).alias("place"),
+        )
         .join(
             references.select(
                 "constraint_name",
                 F.col("table_name").alias("ref_table"),
                 F.col("column_name").alias("ref_column"),
+                *([F.col("ordinal_position").alias("place")] if paired else []),
             ),
-            "constraint_name",
+            ["constraint_name", "place"] if paired else ["constraint_name"],
         )
-        .drop("constraint_name")
+        .drop("constraint_name", "place")
     )
     return cols, keys, fks
 

@@ -490,3 +490,72 @@ def adapt_bigquery(spark, folder):
         F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("kind")).alias("who"),
     )
     return adapt_rows(rows, "bigquery")
+
+
+def _sampler(spark, folder):
+    """One column of every kind that families treat in their own way."""
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    return table(spark, folder, "orders").select(
+        "o_orderkey",
+        price.cast("decimal(18,2)").alias("exact"),
+        price.alias("price"),
+        F.col("o_orderdate").alias("placed"),
+        F.when(status != "P", status).otherwise("").alias("state"),
+        F.encode("o_orderpriority", "UTF-8").alias("raw"),
+        F.struct(F.col("o_custkey").alias("who"), status.alias("state")).alias("nested"),
+    )
+
+
+def _kinds(df, *columns):
+    found = dict(df.dtypes)
+    return F.lit(" ".join(found[c] for c in columns)).alias("kinds")
+
+
+@query(
+    "target_adapt_mongodb",
+    """
+    SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS exact, o_totalprice AS price, o_custkey AS who,
+      CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS state,
+      strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS placed, 'double timestamp binary' AS kinds
+    FROM orders
+    """,
+)
+def adapt_mongodb(spark, folder):
+    rows = adapt_rows(_sampler(spark, folder), "mongodb")
+    return rows.select(
+        "o_orderkey", "exact", "price", F.col("nested.who").alias("who"), "state",
+        F.date_format("placed", "yyyy-MM-dd HH:mm:ss").alias("placed"),
+        _kinds(rows, "exact", "placed", "raw"),
+    )
+
+
+@query(
+    "target_adapt_dynamodb",
+    """
+    SELECT o_orderkey, o_totalprice AS price, o_custkey AS who,
+      CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS state,
+      strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS placed, 'decimal(18,2) decimal(38,10) string' AS kinds
+    FROM orders
+    """,
+)
+def adapt_dynamodb(spark, folder):
+    rows = adapt_rows(_sampler(spark, folder), "dynamodb")
+    return rows.select(
+        "o_orderkey", F.col("price").cast("double").alias("price"), F.col("nested.who").alias("who"),
+        "state", "placed", _kinds(rows, "exact", "price", "placed"),
+    )
+
+
+@query(
+    "target_adapt_neo4j",
+    """
+    SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS exact, o_orderpriority AS raw,
+      CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS state,
+      '{"who":' || o_custkey || ',"state":"' || o_orderstatus || '"}' AS nested,
+      strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS placed
+    FROM orders
+    """,
+)
+def adapt_neo4j(spark, folder):
+    rows = adapt_rows(_sampler(spark, folder), "neo4j")
+    return rows.select("o_orderkey", "exact", "raw", "state", "nested", "placed")

@@ -343,3 +343,27 @@ def plan_for_postgres(spark, folder):
             "warning": F.coalesce("warning", F.lit("-")),
         }
     )
+
+
+@query(
+    "mapping_plan_spark",
+    _facts_sql(
+        """
+        SELECT "table", ordinal, "column" AS source_column, declared_type AS source_type,
+          CASE declared_type WHEN 'BIGINT' THEN 'BIGINT' WHEN 'DOUBLE' THEN 'DOUBLE PRECISION'
+            WHEN 'TIMESTAMP_NTZ' THEN 'TIMESTAMPTZ' WHEN 'STRING' THEN 'TEXT' END AS target_type,
+          'load after customer' AS note
+        FROM facts WHERE "table" = 'orders'
+        """
+    ),
+)
+def plan_of_spark_tables(spark, folder):
+    """Types by the names Spark gives them, for one table, with its parents."""
+    data = tables(spark, folder, *REPORTED)
+    profile = profile_dataset(data, SAYS, samples=False)
+    catalog = read_catalog(spark, {**data, **tables(spark, folder, "customer")}, SAYS)
+    plan = mapping_plan(
+        catalog.columns, profile, "spark", "postgres", only=("orders",),
+        foreign_keys=catalog.foreign_keys,
+    )
+    return plan.select("table", "ordinal", "source_column", "source_type", "target_type", "note")

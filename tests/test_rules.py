@@ -373,6 +373,27 @@ def test_information_schema(spark):
     assert [tuple(r) for r in fks.collect()] == [("o", "u", "u", "id")]
 
 
+def test_composite_foreign_keys_are_paired_by_position(spark):
+    columns = spark.createDataFrame(
+        [], "table_name string, column_name string, ordinal_position int, data_type string, "
+        "is_nullable string, column_default string",
+    )
+    constraints = spark.createDataFrame(
+        [("fk", "o", "FOREIGN KEY")], "constraint_name string, table_name string, constraint_type string"
+    )
+    usage = spark.createDataFrame(
+        [("fk", "o", "a", 1, 2), ("fk", "o", "b", 2, 1)],
+        "constraint_name string, table_name string, column_name string, ordinal_position int, "
+        "position_in_unique_constraint int",
+    )
+    references = spark.createDataFrame(
+        [("fk", "u", "x", 1), ("fk", "u", "y", 2)],
+        "constraint_name string, table_name string, column_name string, ordinal_position int",
+    )
+    _, _, fks = catalog_from_information_schema(columns, constraints, usage, references)
+    assert sorted(tuple(r) for r in fks.collect()) == [("o", "a", "u", "y"), ("o", "b", "u", "x")]
+
+
 def test_document_census(spark):
     docs = [f'{{"_id": {i}, "orders": [1], "full_name": {"null" if i % 7 == 0 else chr(34) + "n" + chr(34)}'
             + (', "loyalty_tier": "gold"' if i % 5 == 0 else "") + "}" for i in range(100)]
