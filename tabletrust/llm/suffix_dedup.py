@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ SPAN = WINDOW - ANCHOR + 1
 BESIDE = SPAN // 2
 #: Text per chunk, windows handled at once, and ranges of segments per chunk.
 CHUNK_BYTES, BLOCK, RANGES_PER_CHUNK = 4 << 20, 1 << 18, 4
+#: Segments of a range overlap much; packed, they take far less than the shuffle's own compression gets.
+LEVEL = 6
 _LAST = np.iinfo(np.int64).max
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -251,8 +254,8 @@ def _ask(n_ranges: int):
             segments = [found.segments[i] for i in own.tolist()]
             sizes = np.array([len(s) for s in segments], np.uint16)
             out.append(
-                (int(ranges[a]), chunk, b"".join(segments), sizes.tobytes(),
-                 found.least[own].tobytes())
+                (int(ranges[a]), chunk, zstandard.compress(b"".join(segments), LEVEL),
+                 sizes.tobytes(), found.least[own].tobytes())
             )
         return table_of(out, _ASKED)
 
@@ -266,7 +269,7 @@ def _tell(rows: pa.Table) -> pa.Table:
     numbers = []
     columns = (rows.column(c).to_pylist() for c in ("bytes", "sizes", "docs"))
     for data, sizes, docs in zip(*columns):
-        own, at = [], 0
+        own, at, data = [], 0, zstandard.decompress(data)
         docs = np.frombuffer(docs, np.int64).tolist()
         for size, doc in zip(np.frombuffer(sizes, np.uint16).tolist(), docs):
             number = index.setdefault(data[at : at + size], len(index))
