@@ -34,7 +34,7 @@ _TO_WORDS = bytes(
     ord(chr(b).lower()) if b < 0x80 and b in _WORD_BYTES else b if b in _WORD_BYTES else 0x20
     for b in range(256)
 )
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(rb"[^ ]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "array<struct<start:bigint,length:bigint>>"
 
@@ -188,7 +188,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, most: float = 0.5) -> DataFr
                     runs, _ = index.value.find(words)
                     keep.append(sum(n for _, n in runs) <= most * len(words))
                     if runs and keep[-1]:
-                        spans = [m.span() for m in _WORD.finditer(text)]
+                        spans = [m.span() for m in _WORD.finditer(text.translate(_TO_WORDS))]
                         at, left = 0, []
                         for start, n in runs:
                             left.append(text[at : spans[start][0]])

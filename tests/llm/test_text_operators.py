@@ -151,6 +151,15 @@ def test_spans_are_cut(spark, docs):
     assert left.where("n_chars <> length(coalesce(text, ''))").isEmpty()
 
 
+def test_spans_behind_words_in_capitals(spark):
+    item = " ".join(f"Item{k} of THE test," for k in range(6))
+    before, behind = "SHOUTED words LIKE these! ÉTÉ " * 20, " and THIS comes behind it. OK" * 20
+    docs = spark.createDataFrame([(1, before + item + behind)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    left = decontaminate.remove_spans(docs, bench).first().text
+    assert left == before + "," + behind
+
+
 # Line dedup
 
 
