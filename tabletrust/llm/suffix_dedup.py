@@ -180,8 +180,11 @@ class Segments:
         self.owner = np.concatenate([np.zeros(0, np.int64), *owners])
         self.least = np.full(len(known), _LAST)
         np.minimum.at(self.least, self.number, doc_ids[self.owner])
-        #: Segment numbers, range by range.
-        self.order = np.argsort(np.array(self.ranges, np.int64), kind="stable")
+        #: Segment numbers by range and bytes. Answers are told in this order, and a shuffle may bring
+        #: a chunk's rows in another order each time, so it must not depend on theirs.
+        by_bytes = np.array(sorted(range(len(known)), key=self.segments.__getitem__), np.int64)
+        ranges = np.array(self.ranges, np.int64)[by_bytes]
+        self.order = by_bytes[np.argsort(ranges, kind="stable")]
 
 
 class RunIndex:

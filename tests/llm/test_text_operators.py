@@ -104,6 +104,34 @@ def test_long_texts_are_cut_into_blocks_without_loss(monkeypatch):
     assert whole == {(int(k), int(p)) for b in parts for k, p in zip(b.key, b.anchor - b.base)}
 
 
+def test_suffix_answers_do_not_depend_on_the_order_of_a_chunks_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    from tabletrust.llm import chunks
+
+    texts = mixed()
+    rows = pa.table(
+        {"chunk": pa.array([0] * len(texts), pa.int32()), "doc_id": [r[0] for r in texts], "text": [r[1] for r in texts]}
+    )
+    keys = np.concatenate(list(suffix_dedup.anchors(chunks.texts_of(rows))))
+    keys = chunks.distinct(chunks.short(keys))
+    ones = np.ones(len(keys), np.uint32)
+    shared = chunks.table_of([(0, chunks.pack(keys), ones.tobytes())], chunks._SHARED)
+    asked = suffix_dedup._ask(3)(rows, shared)
+    told = [suffix_dedup._tell(asked.slice(i, 1)) for i in range(asked.num_rows)]
+    heard = pa.concat_tables([*told, shared], promote_options="default")
+    cut = suffix_dedup._cut(3)
+    expected = sorted((x[0], x[2]) for x in brute.suffix(texts))
+    for seed in range(4):
+        order = list(range(len(texts)))
+        if seed:
+            random.Random(seed).shuffle(order)
+        got = cut(rows.take(order), heard).to_pylist()
+        removed = [(r["doc_id"], sum(r["ends"]) - sum(r["starts"])) for r in got]
+        assert sorted(removed) == expected
+
+
 def test_run_index_compresses_repetition():
     import numpy as np
 
