@@ -37,6 +37,8 @@ _TO_WORDS = bytes(
 _WORD = re.compile(rb"[^ ]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "array<struct<start:bigint,length:bigint>>"
+#: Hit stretches of earlier slices, beside the columns of a table whose names are not known.
+_RUNS = "__hit_runs"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -88,8 +90,8 @@ class ItemIndex:
         return list(zip(edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist())), items
 
 
-def _slices(items: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in driver-sized slices, so that what is broadcast is bounded."""
+def _slices(items: DataFrame, slice_bytes: int) -> Iterator[tuple[list[tuple[str, bytes]], bool]]:
+    """The items in driver-sized slices, so that what is broadcast is bounded; and which is the last."""
     rows = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -98,7 +100,7 @@ def _slices(items: DataFrame, slice_bytes: int) -> Iterator[list[tuple[str, byte
     n = max(1, math.ceil(total / slice_bytes))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r.item, r.text.encode()) for r in part.toLocalIterator()]
+        yield [(r.item, r.text.encode()) for r in part.toLocalIterator()], k == n - 1
 
 
 def scan(
@@ -115,7 +117,7 @@ def scan(
         F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast(FOUND).alias("runs"), F.array().cast("array<string>").alias("items"),
     )
-    for part in _slices(items, slice_bytes):
+    for part, _ in _slices(items, slice_bytes):
         index = sc.broadcast(ItemIndex(part, window))
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -170,22 +172,38 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     )
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, most: float = 0.5) -> DataFrame:
+def remove_spans(
+    docs: DataFrame, items: DataFrame, most: float = 0.5, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """`docs` with hit stretches cut out of `text`; rows with more than `most` of their words hit go.
 
     Keeps all columns and brings `n_chars` up to date where there is one. A stretch is cut from its
-    first word's first byte to its last word's last byte.
+    first word's first byte to its last word's last byte. Every slice of the test items looks at the
+    whole text; the pass of the last one judges and cuts by the stretches of all.
     """
     sc = docs.sparkSession.sparkContext
-    for part in _slices(items, SLICE_BYTES):
+    plain = docs.schema
+    docs = docs.withColumn(_RUNS, F.array().cast(FOUND))
+    for part, last in _slices(items, slice_bytes):
         index = sc.broadcast(ItemIndex(part))
 
-        def cut(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def cut(
+            batches: Iterator[pa.RecordBatch], index=index, last=last
+        ) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches, "text"):
-                place, texts, keep = batch.schema.get_field_index("text"), [], []
-                for text, null in zip(as_bytes(batch.column(place)), batch.column(place).is_null()):
+                place, at_runs = (batch.schema.get_field_index(c) for c in ("text", _RUNS))
+                texts, keep, all_runs = [], [], []
+                for text, null, had in zip(
+                    as_bytes(batch.column(place)), batch.column(place).is_null(),
+                    batch.column(at_runs).to_pylist(),
+                ):
                     words = words_of(text)
                     runs, _ = index.value.find(words)
+                    if had:
+                        runs = merge([(r["start"], r["length"]) for r in had] + runs)
+                    if not last:
+                        all_runs.append([{"start": s, "length": n} for s, n in runs])
+                        continue
                     keep.append(sum(n for _, n in runs) <= most * len(words))
                     if runs and keep[-1]:
                         spans = [m.span() for m in _WORD.finditer(text.translate(_TO_WORDS))]
@@ -195,12 +213,15 @@ def remove_spans(docs: DataFrame, items: DataFrame, most: float = 0.5) -> DataFr
                             at = spans[start + n - 1][1]
                         text = b"".join([*left, text[at:]])
                     texts.append(None if null.as_py() else text.decode())
+                if not last:
+                    field = batch.schema.field(at_runs)
+                    yield batch.set_column(at_runs, field, pa.array(all_runs, field.type))
+                    continue
                 field = batch.schema.field(place)
-                yield batch.set_column(place, field, pa.array(texts, field.type)).filter(
-                    pa.array(keep, pa.bool_())
-                )
+                done = batch.set_column(place, field, pa.array(texts, field.type))
+                yield done.drop_columns([_RUNS]).filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(cut, docs.schema)
+        docs = docs.mapInArrow(cut, plain if last else docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         docs = docs.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(kind))

@@ -188,6 +188,26 @@ def test_spans_behind_words_in_capitals(spark):
     assert left == before + "," + behind
 
 
+def test_spans_of_all_slices_are_judged_and_cut_together(spark):
+    first, second = (" ".join(f"{c}{k}" for k in range(24)) for c in "ab")
+    crossing = " ".join([*first.split()[-6:], *second.split()[:6]])
+    rest = " ".join(f"own{k}" for k in range(40))
+    texts = [
+        (1, f"{rest} {first} and {second}"),
+        (2, f"{rest} {first} {second} {rest} {rest}"),
+        (3, rest),
+        (4, None),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame(
+        [(1, first), (2, second), (3, crossing)], "item_id bigint, text string"
+    )
+    whole = odd.plain(decontaminate.remove_spans(docs, bench))
+    assert whole == [(2, f"{rest}  {rest} {rest}"), (3, rest), (4, None)]
+    for slice_bytes in (10, 60, 150):
+        assert odd.plain(decontaminate.remove_spans(docs, bench, slice_bytes=slice_bytes)) == whole
+
+
 # Line dedup
 
 
