@@ -26,11 +26,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabletrust.llm import chunks
 from tabletrust.llm.chunks import distinct, short, sql_type, table_of, texts_of
+from tabletrust.llm.text import text_mark
 from tabletrust.operators.skew import join_by_key
 from tabletrust.session import materialize
 
@@ -75,6 +76,7 @@ _SETS = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("tokens", pa.binary()),
      ("own", pa.int64()), ("weight", pa.int64()), ("rare", pa.list_(pa.int64()))]
 )
+_MARK = pa.field("mark", pa.int64())
 
 
 def _order(percent: int):
@@ -109,24 +111,29 @@ def _order(percent: int):
             shared = tokens[: n - own]
             rare = shared[n - sure :][::-1].view(np.int64)
             out.append((doc_id, n, key, shared.tobytes(), own, weight, rare))
-        return table_of(out, _SETS)
+        found = table_of(out, _SETS)
+        if "mark" in rows.column_names:
+            found = found.append_column(_MARK, rows.column("mark"))
+        return found
 
     return order
 
 
-def ordered_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def ordered_sets(docs: DataFrame, percent: int = PERCENT, marked: bool = False) -> DataFrame:
     """(doc_id, n, key, tokens, own, weight, rare) of every row; key is null without a partner.
 
     `tokens` are the shingles that other documents have too, in the global order, `own` is the number
     of the others, `weight` says how widely shared the set is, and `rare` are the rarest of
     `tokens`, the rarest first, at places `own` and on of the whole set. All four are there for one
-    row of each key in a chunk.
+    row of each key in a chunk. `marked` adds the text_mark of each row as `mark`.
     """
     n = chunks.chunk_count(docs)
     texts = chunks.chunked(docs, n)
     shared = chunks.shared_keys(texts, n, lambda found: map(shingles, found))
+    if marked:
+        texts = texts.withColumn("mark", text_mark(F.col("text")))
     both = texts.groupBy("chunk").cogroup(shared.groupBy("chunk"))
-    return both.applyInArrow(_order(percent), sql_type(_SETS))
+    return both.applyInArrow(_order(percent), sql_type(_SETS.append(_MARK) if marked else _SETS))
 
 
 def trie_links(
@@ -283,9 +290,8 @@ def class_labels(rare: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
     return labels
 
 
-def document_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    sets = materialize(ordered_sets(docs, percent), "ordered-sets")
+def class_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key, label and component_id of every class of equal sets; a label names one component."""
     keyed = sets.where("key is not null")
     classes = materialize(
         keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
@@ -307,7 +313,14 @@ def document_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "key", "least", F.coalesce("label", "id").alias("label")
     )
     roots = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(roots, "label").select("key", "component_id"), "class-components")
+    return named.join(roots, "label").select("key", "label", "component_id")
+
+
+def document_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    sets = materialize(ordered_sets(docs, percent), "ordered-sets")
+    named = class_components(sets, percent).select("key", "component_id")
+    named = materialize(named, "class-components")
     return join_by_key(sets.select("doc_id", "n", "key"), named, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -315,11 +328,37 @@ def document_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """`docs` with only the smallest doc_id of each component; all columns as they are.
+    """`docs` with one row of each component; all columns as they are.
 
-    Rows that repeat under the staying doc_id all stay.
+    It is the row with the smallest doc_id, a null one last, then with the smallest mark of its text;
+    of rows equal in both, one. Texts without words have no component, and all stay.
     """
-    found = document_components(docs, percent)
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
-
+    sets = materialize(ordered_sets(docs, percent, marked=True), "ordered-sets")
+    named = class_components(sets, percent).select("key", "label")
+    named = materialize(named, "class-components")
+    rows = materialize(
+        join_by_key(sets.select("doc_id", "mark", "key"), named, "key")
+        .groupBy("label", F.col("doc_id").alias("id"), "mark").agg(F.count("*").alias("times")),
+        "component-rows",
+    )
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "times")
+    stays = materialize(
+        rows.groupBy("label").agg(F.min(place).alias("row")).select(
+            F.col("row.id").alias("as_id"), F.col("row.mark").alias("as_mark"), "row.times"
+        ),
+        "component-firsts",
+    )
+    same = F.col("id").eqNullSafe(F.col("as_id")) & (F.col("mark") == F.col("as_mark"))
+    gone = rows.join(stays, same, "left_anti").select("id", "mark").toDF("as_id", "as_mark")
+    gone = materialize(gone, "component-others")
+    repeated = stays.where("times > 1").select("as_id", "as_mark")
+    whole = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"),
+        text_mark(F.col("text")).alias("mark"),
+    )
+    if repeated.isEmpty():
+        return whole.join(gone, same, "left_anti").select("row.*")
+    nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.to_json("row")))
+    first = whole.join(repeated, same, "left_semi").withColumn("nth", nth).where("nth = 1")
+    others = whole.join(gone.union(repeated), same, "left_anti")
+    return others.unionByName(first.drop("nth")).select("row.*")

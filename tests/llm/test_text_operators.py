@@ -273,6 +273,25 @@ def test_components_odd_rows(docs, nothing):
     assert left.where("doc_id = 6").isEmpty() and left.where("doc_id = 5").count() == 1
 
 
+def test_one_row_of_each_component_stays(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    far, alone, no_id = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    rows = [
+        (1, near, 1), (1, near, 1), (2, near + " again", 1), (None, near + " too", 1),
+        (None, no_id, 1), (None, no_id + " too", 1), (None, no_id, 1),
+        (2, far, 1), (9, far, 1), (2, alone, 1), (3, "", 1), (3, "", 1), (None, None, 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, mark int").repartition(4)
+    left = ngram_join.one_of_each(docs)
+    assert left.schema == docs.schema
+    left = odd.plain(left)
+    of_no_id = [r for r in left if r[1] and r[1].startswith(no_id)]
+    assert len(of_no_id) == 1 and of_no_id[0][0] is None
+    expected = [(1, near, 1), (2, far, 1), (2, alone, 1), (3, "", 1), (3, "", 1), (None, None, 1)]
+    assert sorted(set(left) - set(of_no_id), key=repr) == sorted(set(expected), key=repr)
+    assert len(left) == len(expected) + 1
+
+
 def test_trie_walk_is_exact():
     import numpy as np
 
