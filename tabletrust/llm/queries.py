@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabletrust.llm import (
+    chat_repair,
     decontaminate,
+    hard_negatives,
     line_crf,
     line_dedup,
     line_rules,
     link_trust,
     ngram_join,
     pieces,
+    simhash_trees,
     suffix_dedup,
     token_counts,
     tool_calls,
@@ -111,3 +114,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(line_crf.held_out(F.col("doc.doc_id")), F.lit(False)).alias("held_out"),
         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op11_hard_negatives", texts.HARD_NEGATIVES)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The first negatives in the window of each anchor's first positives."""
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
+
+
+@query("op12_simhash_trees")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of each document, and its component under near fingerprints."""
+    return simhash_trees.document_components(table(spark, folder, "documents"))
+
+
+@query("op13_chat_repair", texts.CHAT_REPAIR)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of each damaged conversation, and the digest of its cheapest repair."""
+    return chat_repair.report(table(spark, folder, "conversations"))

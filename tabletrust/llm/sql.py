@@ -176,3 +176,133 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, first AS component_id
 FROM d LEFT JOIN n USING (doc_id)
   JOIN (SELECT x AS doc_id, min(y) AS first FROM reach GROUP BY x) USING (doc_id)
 """
+
+HARD_NEGATIVES = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0)
+      AS BIGINT) AS score
+  FROM e a JOIN e b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score,
+    n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score,
+  negative_score
+FROM ranked WHERE rank <= 5
+"""
+
+
+def _grown(state: int, cost: str, move: str, line: str) -> str:
+    """A state's best so far, as (padded cost and audit, lines), with one more edit."""
+    key = f"acc[{state}].k"
+    more = f"lpad(CAST(CAST(substr({key}, 1, 9) AS INT) + {cost} AS VARCHAR), 9, '0')"
+    lines = f"acc[{state}].t || [{line}]" if line else f"acc[{state}].t"
+    return f"{{'k': {more} || substr({key}, 10) || '{move}', 't': {lines}}}"
+
+
+#: States: 1 nothing written, 2 a system turn, 3 ends in user, 4 ends in assistant.
+_WRITES = {1: 3, 2: 3, 3: 4, 4: 3}
+_ROLE = {3: "user", 4: "assistant"}
+_DEAD = "{'k': '900000000', 't': CAST([] AS VARCHAR[])}"
+
+
+def _read_turn() -> str:
+    """The four states after a turn: every edit of it, then up to three insertions."""
+    ways: dict[int, list[str]] = {s: [] for s in _WRITES}
+    for s, to in _WRITES.items():
+        ways[s].append(_grown(s, "4", "D", ""))
+        ways[to].append(
+            f"CASE WHEN fault < 2 THEN {_grown(s, '3 + 3 * fault', 'R', repr(_ROLE[to] + ':') + ' || text')}"
+            f" ELSE {_DEAD} END"
+        )
+    kept = {"s": [(1, 2)], "u": [(1, 3), (2, 3), (4, 3)], "a": [(3, 4)]}
+    for initial, moves in kept.items():
+        for s, to in moves:
+            best = _grown(s, "3 * fault", "K", "role || ':' || text")
+            ways[to].append(f"CASE WHEN fault < 2 AND role[1] = '{initial}' THEN {best} ELSE {_DEAD} END")
+    return "[" + ", ".join(f"list_min([{', '.join(w)}])" for w in ways.values()) + "]"
+
+
+def _inserted(acc: str) -> str:
+    """The four states with one insertion more, where that is better."""
+    grown: dict[int, list[str]] = {s: [f"acc[{s}]"] for s in _WRITES}
+    for s, to in _WRITES.items():
+        grown[to].append(_grown(s, "3", "I", repr(_ROLE[to] + ":")))
+    new = "[" + ", ".join(f"list_min([{', '.join(w)}])" for w in grown.values()) + "]"
+    return f"list_transform([{acc}], lambda acc: {new})[1]"
+
+
+CHAT_REPAIR = f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(
+      list_prepend(4294967295, list_transform(
+        string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+          || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda crc, byte: list_reduce(
+        list_prepend(xor(crc, byte), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+        lambda x, ignored: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS damage
+  FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN damage = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM named WHERE damage <> 0
+), placed AS (
+  SELECT *, trim(text, {_BLANKS}) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY
+    turn NULLS FIRST, role,
+    sha256(coalesce(CAST(conv_id AS VARCHAR), '') || ':' || length(role) || ':' || role || text), copy)
+    AS place
+  FROM hurt
+), faulty AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (
+      PARTITION BY conv_id, role, text ORDER BY place) > 1 AS duplicate,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY place) AS before
+  FROM placed
+), turns AS (
+  SELECT *, CASE WHEN blank OR duplicate THEN 2 WHEN bare[-1] IN ('.', '!', '?') THEN 0 ELSE 1 END
+    AS fault
+  FROM faulty
+), walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS place,
+    {_inserted(_inserted("[{'k': '000000000', 't': CAST([] AS VARCHAR[])}, " + ", ".join([_DEAD] * 3) + "]"))}
+    AS states
+  FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, place, {_inserted(_inserted("states"))} AS states
+  FROM (
+    SELECT w.conv_id, t.place, {_read_turn()} AS states
+    FROM (SELECT conv_id, place, states AS acc FROM walk) w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.place = w.place + 1)
+), best AS (
+  SELECT conv_id, list_min([states[1], states[4]]) AS b FROM walk
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+    count(*) FILTER (WHERE fault = 1) AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au'))
+      AS illegal
+  FROM turns GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(substr(b.k, 1, 9), '0') AS BIGINT) AS cost,
+  coalesce(substr(b.k, 10), '') AS audit,
+  sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+  LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN best t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

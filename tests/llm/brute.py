@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -132,3 +136,117 @@ def ranks(seeds, edges, damping, rounds):
             new[b] += damping * score.get(a, 0) * w / out[a]
         score = new
     return score
+
+
+def negatives(rows):
+    """Result rows of (vec_id, vector, label) rows, from all pairs."""
+    use = []
+    for i, v, label in rows:
+        if label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        use.append((i, (label + 1) % 10 if i is not None and i % 7 == 0 else label,
+                    [math.floor(256 * x) for x in v]))
+    most = 1 << 62
+    out = []
+    anchors = {(i, label, tuple(v)) for i, label, v in use if i is not None and i % 100 == 0}
+    for a, label, v in anchors:
+        score = lambda w: max(-most, min(most, sum(x * y for x, y in zip(v, w))))  # noqa: B023, E731
+        pairs = sorted(
+            (-score(w), i is None, i or 0, mine == label, i)
+            for i, mine, w in use if i != a and len(w) == len(v)
+        )
+        for p in [x for x in pairs if x[3]][:5]:
+            fits = [n for n in pairs if not n[3] and 80 * -p[0] <= 100 * -n[0] <= 100 * -p[0]]
+            out += [(a, p[4], k, n[4], -p[0], -n[0]) for k, n in enumerate(fits[:5], 1)]
+    return out
+
+
+def simhash(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if w]
+    if not words:
+        return 0
+    n = min(3, len(words))
+    hashes = [
+        xxhash.xxh64_intdigest(" ".join(words[i : i + n]), 42) for i in range(len(words) - n + 1)
+    ]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash_components(rows, radius=3):
+    prints = [simhash(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if label[x] != label[y] and (prints[x] ^ prints[y]).bit_count() <= radius:
+                old = label[x]
+                label = [label[y] if k == old else k for k in label]
+    least = {}
+    for (i, _), k in zip(rows, label):
+        if i is not None:
+            least[k] = min(i, least.get(k, i))
+    return [(i, f"{p:016x}", least.get(k)) for (i, _), p, k in zip(rows, prints, label)]
+
+
+def chats(rows):
+    """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired) of turns.
+
+    Keeps the best (cost, audit) of each state, which no later edit can change: of two audits of one
+    cost and state none begins with the other.
+    """
+    convs = {}
+    for c, turn, role, text in rows:
+        own = convs.setdefault(c, [])
+        name = ":".join(" " if x is None else str(x) for x in (c, turn))
+        damage = zlib.crc32(name.encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if damage == 1:
+            text = ""
+        if damage == 2:
+            text = re.sub("[.!?]", "", text)
+        if damage == 4:
+            role = "user"
+        own += [(turn, role, text)] * (0 if damage == 0 else 2 if damage == 3 else 1)
+    after, full = {"": "u", "s": "u", "u": "a", "a": "u"}, {"u": "user", "a": "assistant"}
+    out = []
+    for c, own in convs.items():
+        mark = lambda r, t: sha(f"{'' if c is None else c}:{len(r)}:{r}{t}")  # noqa: B023, E731
+        own.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], mark(x[1], x[2])))
+        faults, seen = [], set()
+        for _, role, text in own:
+            body = re.findall(r"[^\x20\x09-\x0D]", text)
+            bad = "duplicate" if (role, text) in seen else "" if body and body[-1] in ".!?" else "cut"
+            faults.append(bad if body else "blank")
+            seen.add((role, text))
+
+        def best_of(ways):
+            best = {}
+            for state, way in ways:
+                if state not in best or way[:2] < best[state][:2]:
+                    best[state] = way
+            return best
+
+        def with_inserts(best):
+            for _ in range(4):
+                more = [(after[s], (n + 3, a + "I", t + [full[after[s]] + ":"])) for s, (n, a, t) in best.items()]
+                best = best_of([*best.items(), *more])
+            return best
+
+        best = with_inserts({"": (0, "", [])})
+        for (_, role, text), bad in zip(own, faults):
+            ways = []
+            for s, (n, a, t) in best.items():
+                ways.append((s, (n + 4, a + "D", t)))
+                if bad in ("blank", "duplicate"):
+                    continue
+                n += 3 * (bad == "cut")
+                if role[:1] == after[s] or (role[:1], s) == ("s", ""):
+                    ways.append((role[:1], (n, a + "K", [*t, f"{role}:{text}"])))
+                ways.append((after[s], (n + 3, a + "R", [*t, f"{full[after[s]]}:{text}"])))
+            best = with_inserts(best_of(ways))
+        cost, audit, lines = min(best[s] for s in ("", "a") if s in best)
+        turns = [x[0] for x in own if x[0] is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        odd = sum((a[1][:1] + b[1][:1]) not in ("su", "ua", "au") for a, b in zip(own, own[1:]))
+        count = [faults.count(x) for x in ("blank", "duplicate", "cut")]
+        out.append((c, gaps, *count, odd, cost, audit, sha("\n".join(lines))))
+    return out
