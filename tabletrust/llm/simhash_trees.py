@@ -129,14 +129,16 @@ def _signed(mask: int) -> int:
 def _bucketed(rows: DataFrame, used: list[int], radius: int) -> tuple[DataFrame, list[int]]:
     """Each row once per part of its unused bits: (path, bits, print), and the masks by path.
 
-    `used` has the bits behind each path so far. The table of masks holds a row per path, which follow
-    from the number of rounds alone.
+    `used` has the bits behind each path so far; the masks follow from the number of rounds alone.
     """
     finer = [(k, mask | part) for k, mask in enumerate(used) for part in part_masks(mask, radius + 1)]
-    masks = rows.sparkSession.createDataFrame(
-        [(k, to, _signed(mask)) for to, (k, mask) in enumerate(finer)], "path int, next int, mask bigint"
-    )
-    rows = rows.join(F.broadcast(masks), "path")
+    masks = [(k, to, _signed(mask)) for to, (k, mask) in enumerate(finer)]
+    if len(used) == 1:
+        each = F.array(*(F.struct(F.lit(to).alias("next"), F.lit(m).alias("mask")) for _, to, m in masks))
+        rows = rows.select("print", F.inline(each))
+    else:
+        known = rows.sparkSession.createDataFrame(masks, "path int, next int, mask bigint")
+        rows = rows.join(F.broadcast(known), "path")
     bits = F.col("print").bitwiseAND(F.col("mask"))
     return rows.select(F.col("next").alias("path"), bits.alias("bits"), "print"), [m for _, m in finer]
 
