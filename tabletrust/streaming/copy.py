@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tabletrust.operators.mapping import TableMap, split_rows
-from tabletrust.sources.keyed import KeyedTable
-from tabletrust.sources.sinks import skip_existing
+from tabletrust.sources.keyed import ROWS_PER_BUCKET, KeyedTable, write_keyed
 
 
 class RejectedRows(RuntimeError):
@@ -38,7 +38,8 @@ class CopyJob:
     log: str | None = None
     skip_errors: bool = True
     files_per_batch: int = 64
-    buckets: int = 32
+    rows_per_bucket: int = ROWS_PER_BUCKET
+    _table: KeyedTable | None = field(default=None, init=False, repr=False)
 
     def start(self, spark: SparkSession) -> StreamingQuery:
         rows = (
@@ -59,44 +60,49 @@ class CopyJob:
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # The rows are counted by the job that reads them, not by one of its own.
+        seen = Observation("read")
+        batch = batch.observe(seen, F.count(F.lit(1)).alias("rows_read"))
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self._write(spark, batch, batch_id)
+            self._write(spark, batch, batch_id, seen)
         finally:
             batch.unpersist()
 
-    def _write(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
+    def _write(
+        self, spark: SparkSession, batch: DataFrame, batch_id: int, seen: Observation
+    ) -> None:
         source_key = next(m.source for m in self.mapping.columns if m.target == self.key)
         keyed = F.col(source_key).isNotNull()
         good, bad = split_rows(batch.where(keyed), self.mapping.columns)
         bad = bad.unionByName(batch.where(~keyed))
-        if not self.skip_errors and not bad.isEmpty():
+        # Any first job must read the whole batch, or `seen` would count a part of it.
+        if not self.skip_errors and bad.agg(F.count(F.lit(1))).first()[0]:
             raise RejectedRows(f"batch {batch_id} of {self.mapping.source_table}")
         table = self.table(spark)
         if not table.exists():
-            table.create(good.limit(0))
+            table.create(spark.createDataFrame([], good.schema))
         order = "_arrival"
         numbered = good.withColumn(order, F.monotonically_increasing_id())
-        # Only the buckets of the target that the batch's keys fall into are read.
-        held = table.read(table.touched(good))
-        fresh = skip_existing(held, numbered, self.key, order).drop(order)
-        table.append(fresh)
+        write_keyed(table, numbered, "skip", order)
         if self.rejects:
             bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
                 f"{self.rejects}/batch={batch_id}"
             )
         if self.log:
-            self._log(batch, table, batch_id)
+            self._log(spark, seen.get["rows_read"], table.rows(), batch_id)
 
     def table(self, spark: SparkSession) -> KeyedTable:
-        return KeyedTable(spark, self.target, self.key, self.buckets)
-
-    def _log(self, batch: DataFrame, table: KeyedTable, batch_id: int) -> None:
-        entry = batch.agg(F.count(F.lit(1)).alias("rows_read")).select(
-            F.lit(self.mapping.source_table).alias("table"),
-            "rows_read",
-            F.current_timestamp().alias("at"),
-        )
-        entry = entry.withColumn("rows_in_target", F.lit(table.rows()).cast("bigint"))
+        """The target; one object, which knows the newest manifest without reading it again."""
+        if self._table is None or self._table.spark is not spark:
+            self._table = KeyedTable(spark, self.target, self.key, self.rows_per_bucket)
+        return self._table
+
+    def _log(self, spark: SparkSession, rows_read: int, rows_in_target: int, batch_id: int) -> None:
+        line = {
+            "table": [self.mapping.source_table], "rows_read": [rows_read],
+            "rows_in_target": [rows_in_target],
+        }
+        entry = spark.createDataFrame(pa.table(line)).withColumn("at", F.current_timestamp())
         # A batch that runs again replaces its own entry.
-        entry.write.mode("overwrite").parquet(f"{self.log}/batch={batch_id}")
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{self.log}/batch={batch_id}")

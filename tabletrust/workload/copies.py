@@ -51,7 +51,7 @@ def _new(spark, folder) -> DataFrame:
 
 
 def _written(spark, folder, strategy: str) -> tuple[DataFrame, int]:
-    target = keyed.KeyedTable(spark, fresh_path(spark, strategy), "o_orderkey", buckets=8)
+    target = keyed.KeyedTable(spark, fresh_path(spark, strategy), "o_orderkey", rows_per_bucket=1 << 16)
     target.create(_old(spark, folder))
     written = keyed.write_keyed(target, _new(spark, folder), strategy, "_seq")
     return target.read(), written
@@ -97,6 +97,56 @@ def write_counts(spark, folder):
     return spark.createDataFrame(rows, "strategy string, written bigint")
 
 
+def _grown(spark, folder) -> tuple[keyed.KeyedTable, DataFrame]:
+    """A table that outgrew its first bucket in three writes, and a thin batch for it."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    target = keyed.KeyedTable(spark, fresh_path(spark, "grown"), "o_orderkey", rows_per_bucket=1 << 13)
+    part = F.col("o_orderkey") % 8
+    target.create(orders.where(part < 4))
+    for low, high in ((4, 5), (6, 7)):
+        batch = orders.where(part.between(low, high)).withColumn("_seq", F.lit(1))
+        keyed.write_keyed(target, batch, "skip", "_seq")
+    known = orders.where("o_orderkey % 1999 = 7").selectExpr("o_orderkey", "o_totalprice + 1 AS o_totalprice")
+    unknown = orders.where("o_orderkey % 1999 = 8").selectExpr("-o_orderkey - 1", "o_totalprice")
+    return target, known.unionAll(unknown).withColumn("_seq", F.lit(1))
+
+
+@query(
+    "write_thin_batch",
+    """
+    SELECT o_orderkey, o_totalprice + CASE WHEN o_orderkey % 1999 = 7 THEN 1 ELSE 0 END AS o_totalprice
+    FROM orders
+    UNION ALL SELECT -o_orderkey - 1, o_totalprice FROM orders WHERE o_orderkey % 1999 = 8
+    """,
+)
+def write_thin_batch(spark, folder):
+    """A few known and unknown keys for a table whose buckets have been split."""
+    target, batch = _grown(spark, folder)
+    keyed.write_keyed(target, batch, "overwrite", "_seq")
+    return target.read()
+
+
+@query(
+    "write_buckets",
+    """
+    SELECT count(*) AS "rows", true AS bounded, true AS every_key_in_its_bucket FROM orders
+    """,
+)
+def write_buckets(spark, folder):
+    """Rows by the manifest; whether every bucket keeps its bound and holds no key of another."""
+    target, _ = _grown(spark, folder)
+    parts = target.parts()
+    sizes = {b: sum(p.rows for p in parts if p.bucket == b) for b in target.leaves()}
+    bounded = F.lit(max(sizes.values()) <= 1.1 * (1 << 13))
+    rows = target.read().select(target.bucket().alias("b"), "o_orderkey")
+    stored = F.regexp_extract(F.input_file_name(), f"{keyed.BUCKET}=([0-9]+)", 1).cast("bigint")
+    rows = rows.withColumn("stored", stored)
+    return rows.agg(
+        F.lit(target.rows()).alias("rows"), bounded.alias("bounded"),
+        F.bool_and(F.col("b") == F.col("stored")).alias("every_key_in_its_bucket"),
+    )
+
+
 @query(
     "write_fail_conflicts",
     f"""

@@ -40,7 +40,7 @@ def _copy(spark, folder) -> CopyJob:
     late = events.where("flag IS NULL OR flag <> '0'")
     job = CopyJob(
         f"{base}/in", events.schema, f"{base}/out", f"{base}/checkpoint", COPY_MAP, "id",
-        rejects=f"{base}/rejects", log=f"{base}/log", files_per_batch=2, buckets=8,
+        rejects=f"{base}/rejects", log=f"{base}/log", files_per_batch=2, rows_per_bucket=1 << 14,
     )
     _split_files(early, job.source, 3)
     job.run(spark)
@@ -67,11 +67,18 @@ def stream_copy_resume(spark, folder):
 
 @query(
     "stream_rejects",
-    with_views("SELECT DISTINCT event_id, amount FROM loose_events WHERE amount = 'n/k'", "loose_events"),
+    with_views(
+        """
+        SELECT event_id, amount FROM loose_events WHERE amount = 'n/k' AND flag IN ('Yes', '0')
+        UNION ALL SELECT event_id, amount FROM loose_events
+        WHERE amount = 'n/k' AND (flag IS NULL OR flag <> '0')
+        """,
+        "loose_events",
+    ),
 )
 def stream_rejects(spark, folder):
-    rejects = spark.read.parquet(_copy(spark, folder).rejects)
-    return rejects.select("event_id", "amount").distinct()
+    """Every rejected row, as often as it arrived."""
+    return spark.read.parquet(_copy(spark, folder).rejects).select("event_id", "amount")
 
 
 @query(

@@ -18,7 +18,7 @@ def _rows(df):
 
 @pytest.fixture
 def target(spark):
-    table = keyed.KeyedTable(spark, fresh_path(spark, "target"), "id", buckets=4)
+    table = keyed.KeyedTable(spark, fresh_path(spark, "target"), "id", rows_per_bucket=8)
     table.create(spark.createDataFrame([(1, "old"), (2, "old")], "id int, v string"))
     return table
 
