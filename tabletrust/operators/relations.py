@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from tabletrust.functions import rules
 from tabletrust.functions.predicates import INTEGRAL
+from tabletrust.operators import peeling
+from tabletrust.session import materialize
 from tabletrust.sources.catalog import Declared
 
 CANDIDATE_SCHEMA = (
@@ -38,7 +40,9 @@ def reference_matches(
 
     Column values are first reduced to (value, count), keys to (value, tables holding it); both
     meet on the value in one grouping. A value that fills a third of a column is one row by
-    then, and a group holds at most one entry per candidate column and per table.
+    then, and a group holds at most one entry per candidate column and per table. The rows of a column
+    are summed for each set of tables that hold a value, and only these few sums are dealt out to the
+    tables: columns of dense numbers meet many tables in every value, but in few different sets.
     """
     spark = next(iter(tables.values())).sparkSession
     parents, children = [], []
@@ -79,13 +83,18 @@ def reference_matches(
             held.select("cls", "value", F.lit(None).cast("struct<child:int,n:bigint>"), "parent")
         )
         .groupBy("cls", "value")
-        .agg(F.collect_list("use").alias("uses"), F.collect_set("parent").alias("parents"))
+        .agg(
+            F.collect_list("use").alias("uses"),
+            F.sort_array(F.collect_set("parent")).alias("parents"),
+        )
         .where(F.size("uses") > 0)
     )
     # Parent -1 stands for all rows of the column.
     sums = (
         met.select("parents", F.explode("uses").alias("use"))
-        .select("use.child", "use.n", F.explode(F.array_append("parents", -1)).alias("parent"))
+        .groupBy("use.child", "parents")
+        .agg(F.sum("use.n").alias("n"))
+        .select("child", "n", F.explode(F.array_append("parents", -1)).alias("parent"))
         .groupBy("child", "parent")
         .agg(F.sum("n").alias("rows"))
         .groupBy("child")
@@ -185,34 +194,20 @@ def load_order(tables: DataFrame, foreign_keys: DataFrame) -> DataFrame:
     """Parents before children: level, position, and drop position of every table.
 
     `tables(table)`, `foreign_keys(table, ref_table)`. A table's level is the longest chain of
-    references below it. Self references are ignored; tables in or below a cycle go last, with
-    level -1. The driver gets one row per table and per reference of the catalog, no data.
+    references below it. Self references are ignored; tables on or below a cycle go last, with
+    level -1 and `in_cycle`, and `on_cycle` marks those on one. Drop positions run the other way.
     """
-    names = sorted(r[0] for r in tables.select("table").distinct().collect())
-    known = set(names)
-    links = {
-        (r[0], r[1])
-        for r in foreign_keys.select("table", "ref_table").distinct().collect()
-        if r[0] != r[1] and r[0] in known and r[1] in known
-    }
-    waits = dict.fromkeys(names, 0)
-    children: dict[str, list[str]] = {}
-    for table, parent in links:
-        waits[table] += 1
-        children.setdefault(parent, []).append(table)
-    levels = {t: 0 for t in names if not waits[t]}
-    ready = list(levels)
-    for parent in ready:  # grows while it is walked
-        for table in children.get(parent, ()):
-            waits[table] -= 1
-            levels[table] = max(levels.get(table, 0), levels[parent] + 1)
-            if not waits[table]:
-                ready.append(table)
-    settled = {t: levels[t] for t in ready}
-    load = sorted(names, key=lambda t: (t not in settled, settled.get(t, 0), t))
-    drop = sorted(names, key=lambda t: (t not in settled, settled.get(t, 0), t), reverse=True)
-    place = {t: i for i, t in enumerate(drop, 1)}
-    return tables.sparkSession.createDataFrame(
-        [(t, settled.get(t, -1), t not in settled, i, place[t]) for i, t in enumerate(load, 1)],
-        "table string, level int, in_cycle boolean, load_position int, drop_position int",
-    )
+    nodes = materialize(tables.select(F.col("table").alias("node")).distinct(), "tables")
+    links = foreign_keys.select(F.col("table").alias("node"), F.col("ref_table").alias("to"))
+    links = peeling.inside(links.where("node <> to").distinct(), nodes)
+    links = materialize(links, "table-links")
+    found = materialize(peeling.levels(nodes, links), "table-levels")
+    on_cycle = peeling.on_cycles_of_stuck(found, links).withColumn("on_cycle", F.lit(True))
+    rows = found.join(on_cycle, "node", "left").select(
+        F.col("node").alias("table"), F.coalesce("level", F.lit(-1)).cast("int").alias("level"),
+        F.col("level").isNull().alias("in_cycle"),
+        F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"),
+    )
+    placed = peeling.numbered(rows, ["in_cycle", "level", "table"], "load_position")
+    last = F.lit(found.count()) + 1
+    return placed.withColumn("drop_position", (last - F.col("load_position")).cast("int"))

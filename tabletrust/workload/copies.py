@@ -142,7 +142,7 @@ def write_buckets(spark, folder):
     stored = F.regexp_extract(F.input_file_name(), f"{keyed.BUCKET}=([0-9]+)", 1).cast("bigint")
     rows = rows.withColumn("stored", stored)
     return rows.agg(
-        F.lit(target.rows()).alias("rows"), bounded.alias("bounded"),
+        F.lit(target.rows()).cast("bigint").alias("rows"), bounded.alias("bounded"),
         F.bool_and(F.col("b") == F.col("stored")).alias("every_key_in_its_bucket"),
     )
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabletrust.functions import rules
 from tabletrust.operators import quality, relations
 from tabletrust.sources.catalog import Declared, row_counts
 from tabletrust.workload.registry import query
-from tabletrust.workload.scenario import tables, with_views
+from tabletrust.workload.scenario import table, tables, with_views
 
 SAYS = {
     "dirty_orders": Declared(
@@ -221,3 +223,34 @@ WHERE n = (SELECT max(n) FROM cand c WHERE c."table" = w."table" AND c."column"
 @query("implicit_fk", with_views(FOLD_SQL, "dirty_customer"))
 def implicit_fk(spark, folder):
     return relations.implicit_foreign_keys(tables(spark, folder, *LINKED), LINK_SAYS)
+
+
+# Every value of 200 dense columns is a key of up to eight tables.
+WIDE_COLUMNS, WIDE_TABLES = 200, 8
+
+
+@query(
+    "implicit_fk_wide",
+    f"""
+    WITH used AS (SELECT 'c' || k || '_id' AS col, 1 + p_partkey % (5 * (k + 1)) AS v
+      FROM part, range({WIDE_COLUMNS}) t(k)),
+    held AS (SELECT j, c_custkey AS v FROM customer, range({WIDE_TABLES}) t(j)
+      WHERE c_custkey BETWEEN 1 AND 100 * (j + 1)),
+    counts AS (SELECT col, v, count(*) AS n FROM used GROUP BY ALL),
+    totals AS (SELECT col, sum(n) AS total FROM counts GROUP BY col),
+    shares AS (SELECT col, j, sum(n) AS n FROM counts JOIN held USING (v) GROUP BY col, j)
+    SELECT 'wide' AS "table", col AS "column", 'parent_' || j || '.k' AS likely_references,
+      round(100.0 * n / total, 1) AS match_pct, false AS name_match
+    FROM shares JOIN totals USING (col) WHERE n >= 0.95 * total
+    QUALIFY row_number() OVER (PARTITION BY col ORDER BY round(100.0 * n / total, 1) DESC, j) = 1
+    """,
+)
+def implicit_fk_wide(spark, folder):
+    key = F.col("p_partkey")
+    wide = table(spark, folder, "part").select(
+        *((1 + key % (5 * (k + 1))).alias(f"c{k}_id") for k in range(WIDE_COLUMNS))
+    )
+    keys = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
+    data = {f"parent_{j}": keys.where(F.col("k").between(1, 100 * (j + 1))) for j in range(WIDE_TABLES)}
+    says = {name: Declared(key=("k",)) for name in data}
+    return relations.implicit_foreign_keys({"wide": wide} | data, says)
