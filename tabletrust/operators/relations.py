@@ -58,23 +58,20 @@ def reference_matches(
             if f.name.lower().endswith(suffixes) and f.name not in known:
                 children.append((table, f.name, cls))
 
-    def values(table: str, column: str, cls: str, tag: str, i: int) -> DataFrame:
-        c = F.col(f"`{column}`")
-        return tables[table].where(c.isNotNull()).select(
-            F.lit(cls).alias("cls"), c.cast("string").alias("value"), F.lit(i).alias(tag)
-        )
-
-    def together(frames: list[DataFrame], schema: str) -> DataFrame:
-        return reduce(DataFrame.unionAll, frames) if frames else spark.createDataFrame([], schema)
-
-    held = together(
-        [values(*p, "parent", i) for i, p in enumerate(parents)],
-        "cls string, value string, parent int",
-    )
-    used = together(
-        [values(*c, "child", i) for i, c in enumerate(children)],
-        "cls string, value string, child int",
-    )
+    def values(columns: list[tuple], tag: str) -> DataFrame:
+        """(cls, value, number) of all these columns; each table is scanned once."""
+        frames = []
+        for table in dict.fromkeys(t for t, _, _ in columns):
+            each = [
+                F.struct(F.lit(cls).alias("cls"), F.col(f"`{c}`").cast("string").alias("value"),
+                         F.lit(i).alias(tag))
+                for i, (t, c, cls) in enumerate(columns) if t == table
+            ]
+            frames.append(tables[table].select(F.inline(F.array(*each))).where("value IS NOT NULL"))
+        empty = spark.createDataFrame([], f"cls string, value string, {tag} int")
+        return reduce(DataFrame.unionAll, frames, empty)
+
+    held, used = values(parents, "parent"), values(children, "child")
     used = used.groupBy("cls", "value", "child").agg(F.count(F.lit(1)).alias("n"))
     nothing = F.lit(None).cast("int")
     met = (
