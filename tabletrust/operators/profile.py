@@ -1,5 +1,9 @@
 """What the data in each column looks like, from every row.
 
+`distinct_count` is exact: always where the caller asks for it, otherwise for columns of at most
+`FEW_DISTINCT` values, and null for others. `distinct_estimate` and its bounds come from a sketch that
+the profile keeps, so profiles of parts of a table can be merged.
+
 One pass computes all measures of a table's columns. Later passes read only the columns that
 need them: exact distinct counts, JSON parsing, and sample values the head of the table did not
 supply. What reaches the driver is one row of counters per column.
@@ -10,7 +14,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,21 +23,24 @@ from tabletrust.functions import rules
 from tabletrust.functions.conversions import as_text
 from tabletrust.sources.catalog import Declared, type_name
 
-EXACT_BELOW = 200  # estimated distinct values under which the exact count is taken anyway
+#: Up to so many distinct values of a column are counted exactly; more are estimated only.
+FEW_DISTINCT = 200
+#: Binary logarithm of the registers in a sketch, and its bounds in standard errors.
+SKETCH_LG, SKETCH_ERRORS = 12, 4
 HEAD_ROWS = 256
 COUNTERS_PER_JOB = 60
 SAMPLES = 5
 
 COUNTERS = [
-    "rows", "non_null", "approx_distinct", "zero_one", "email", "uuid", "url", "iso_date",
+    "rows", "non_null", "zero_one", "email", "uuid", "url", "iso_date",
     "phone", "digits", "leading_zero", "opens_json", "date_bits", "epoch_s", "epoch_ms",
     "two_decimals", "cents",
 ]
 METRICS_SCHEMA = (
     "table string, ordinal int, column string, declared_type string, kind string, "
     + ", ".join(f"{name} bigint" for name in COUNTERS)
-    + ", json bigint, distinct_count bigint, distinct_exact boolean, enum_values array<string>, "
-    "sample_values array<string>"
+    + ", json bigint, distinct_count bigint, distinct_estimate bigint, distinct_sketch binary, "
+    "enum_values array<string>, sample_values array<string>"
 )
 
 
@@ -92,8 +99,22 @@ def _side_by_side(jobs: list) -> list:
 
 def _estimates(c: Column, dtype: T.DataType) -> dict[str, Column]:
     """Kept apart from the counters: a sketch in an aggregate rules out generated code for it."""
-    value = as_text(c, dtype) if isinstance(dtype, P.NESTED) else c
-    return {"approx_distinct": F.approx_count_distinct(value)}
+    if kind_of(dtype) == "integer":
+        value = c.cast("bigint")
+    elif kind_of(dtype) == "float":
+        value = (c + F.lit(0.0)).cast("string")  # -0.0 equals 0.0
+    else:
+        value = as_text(c, dtype)
+    return {"distinct_sketch": F.hll_sketch_agg(value, F.lit(SKETCH_LG))}
+
+
+def distinct_bounds(estimate: Column) -> tuple[Column, Column]:
+    """Least and greatest number of distinct values behind an estimate of a sketch."""
+    error = SKETCH_ERRORS * 1.04 / 2 ** (SKETCH_LG / 2)
+    return (
+        F.floor(estimate * (1 - error)).alias("distinct_low"),
+        F.ceil(estimate * (1 + error)).alias("distinct_high"),
+    )
 
 
 def _measure(df: DataFrame, estimate: bool = True) -> list[dict[str, int]]:
@@ -118,7 +139,12 @@ def _measure(df: DataFrame, estimate: bool = True) -> list[dict[str, int]]:
         aggregates = [F.count(F.lit(1)).alias("rows")]
         for i, exprs in chunk:
             aggregates += [expr.alias(f"{i}:{name}") for name, expr in exprs.items()]
-        frame = df.agg(*aggregates)
+        sketches = [i for i, exprs in chunk if "distinct_sketch" in exprs]
+        read = [
+            F.hll_sketch_estimate(f"`{i}:distinct_sketch`").alias(f"{i}:distinct_estimate")
+            for i in sketches
+        ]
+        frame = df.agg(*aggregates).select("*", *read)
         return lambda: frame.first()
 
     found = {}
@@ -127,6 +153,8 @@ def _measure(df: DataFrame, estimate: bool = True) -> list[dict[str, int]]:
     measured = [{**dict.fromkeys(COUNTERS, 0), "rows": found["rows"]} for _ in fields]
     for i, exprs in plan:
         measured[i] |= {name: found[f"{i}:{name}"] or 0 for name in exprs}
+        if "distinct_sketch" in exprs:
+            measured[i]["distinct_estimate"] = found[f"{i}:distinct_estimate"]
     return measured
 
 
@@ -175,21 +203,30 @@ def _first_values(df: DataFrame, keys: list[str], non_null: list[int]) -> dict[i
                 if row[i] is not None and len(values) < SAMPLES:
                     values.append(row[i])
     short = [i for i, v in found.items() if len(v) < min(SAMPLES, non_null[i])]
-    tops = []
-    for i in short:
-        f = fields[i]
-        c = F.col(f"`{f.name}`")
-        text = as_text(c, f.dataType)
-        order = keys or [text]
-        top = df.where(c.isNotNull()).orderBy(*order).limit(SAMPLES)
-        tops.append(top.select(F.lit(i).alias("ordinal"), text.alias("value")))
-    if tops:
+    if short:
         found |= {i: [] for i in short}
-        for r in reduce(DataFrame.unionAll, tops).collect():
+        for r in sorted(_tops(df, keys, short).collect(), key=lambda r: r["place"]):
             found[r["ordinal"]].append(r["value"])
     return found
 
 
+def _tops(df: DataFrame, keys: list[str], columns: list[int]) -> DataFrame:
+    """(ordinal, value, place): the first SAMPLES values of each of these columns.
+
+    All columns are read in one scan; the rank limit holds inside each task before the one shuffle.
+    """
+    fields = df.schema.fields
+    cells = [
+        F.struct(F.lit(i).alias("ordinal"), as_text(F.col(f"`{f.name}`"), f.dataType).alias("value"))
+        for i, f in ((i, fields[i]) for i in columns)
+    ]
+    order = [f"_key{k}" for k in range(len(keys))] or ["value"]
+    rows = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keys, order)), F.inline(F.array(*cells)))
+    rank = F.row_number().over(Window.partitionBy("ordinal").orderBy(*order))
+    rows = rows.where("value IS NOT NULL").withColumn("place", rank)
+    return rows.where(F.col("place") <= SAMPLES).select("ordinal", "value", "place")
+
+
 def measure_table(
     df: DataFrame,
     table: str,
@@ -206,10 +243,11 @@ def measure_table(
         count_all += [partial(_distinct_count, df, i, False) for i in everything]
         measured, *exact_counts = _side_by_side(count_all)
         for m, d in zip(measured, exact_counts):
-            m["approx_distinct"] = d
+            m |= {"distinct_estimate": d, "distinct_sketch": None}
     else:
         measured = _measure(df)
-    few = [m["approx_distinct"] < EXACT_BELOW for m in measured]
+    # Far enough above the limit that no column with few values is missed.
+    few = [m["distinct_estimate"] <= 2 * FEW_DISTINCT for m in measured]
     wanted = [] if exact_distinct else [i for i in everything if few[i]]
     texts = [i for i in everything if kind_of(fields[i].dataType) == "string"]
     maybe_enum = [i for i in texts if few[i] and measured[i]["non_null"]]
@@ -229,9 +267,11 @@ def measure_table(
     firsts = done.get("first", {})
     rows = []
     for i, (f, m) in enumerate(zip(fields, measured)):
-        exact = exact_distinct or ("distinct", i) in done
-        distinct = done.get(("distinct", i), m["approx_distinct"])
-        values = done.get(("values", i)) if distinct < rules.ENUM_LIMIT else None
+        distinct = m["distinct_estimate"] if exact_distinct else done.get(("distinct", i))
+        if not exact_distinct and distinct is not None and distinct > FEW_DISTINCT:
+            distinct = None
+        is_small = distinct is not None and distinct < rules.ENUM_LIMIT
+        values = done.get(("values", i)) if is_small else None
         rows.append(
             Row(
                 table,
@@ -242,7 +282,8 @@ def measure_table(
                 *[m[name] for name in COUNTERS],
                 done.get(("json", i), 0),
                 distinct,
-                exact,
+                m["distinct_estimate"],
+                m["distinct_sketch"],
                 values,
                 firsts.get(i, []),
             )
@@ -313,7 +354,7 @@ def describe(metrics: DataFrame) -> DataFrame:
         )
     )
     d = F.col("distinct_count")
-    small = (F.col("kind") == "string") & (d < rules.ENUM_LIMIT) & F.col("distinct_exact") & (d > 0)
+    small = (F.col("kind") == "string") & F.coalesce(d.between(1, rules.ENUM_LIMIT - 1), F.lit(False))
     described = metrics.select(
         "table",
         "ordinal",
@@ -325,9 +366,12 @@ def describe(metrics: DataFrame) -> DataFrame:
         .otherwise(F.round(100.0 * (F.col("rows") - n) / F.col("rows"), 1))
         .alias("null_pct"),
         "distinct_count",
-        "distinct_exact",
+        "distinct_estimate",
+        *(F.when(F.col("distinct_sketch").isNull(), d).otherwise(b).alias(name)
+          for name, b in zip(("distinct_low", "distinct_high"), distinct_bounds(F.col("distinct_estimate")))),
+        "distinct_sketch",
         ((n > 0) & (F.col("zero_one") == n)).alias("implicit_boolean"),
-        (small & (n > d)).alias("implicit_enum"),
+        F.coalesce(small & (n > d), F.lit(False)).alias("implicit_enum"),
         F.when(small, F.col("enum_values")).alias("enum_values"),
         F.sort_array(formats).alias("date_formats"),
         "sample_values",
@@ -367,6 +411,22 @@ def profile_dataset(
     return describe(reduce(DataFrame.unionByName, parts))
 
 
+def merged_distinct(profiles: DataFrame) -> DataFrame:
+    """(table, column, rows, nulls, distinct_estimate, distinct_low, distinct_high, distinct_sketch).
+
+    `profiles` has one row per column and part of a table. Sketches are united, so a value that several
+    parts hold counts once; no data is read.
+    """
+    united = profiles.groupBy("table", "column").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"),
+        F.hll_union_agg("distinct_sketch").alias("distinct_sketch"),
+    )
+    united = united.withColumn("distinct_estimate", F.hll_sketch_estimate("distinct_sketch"))
+    return united.withColumns({
+        name: b for name, b in zip(("distinct_low", "distinct_high"), distinct_bounds(F.col("distinct_estimate")))
+    })
+
+
 def personal_columns(profile: DataFrame) -> DataFrame:
     """Columns suspected to hold personal data, with a category."""
     return profile.where("pii_suspected").select(

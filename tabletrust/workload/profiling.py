@@ -69,23 +69,64 @@ def profile_lineitem(spark, folder):
 
 FAST_SQL = f"""
 SELECT "table", "column", "rows", nulls, implicit_boolean, implicit_enum, enum_values,
-  semantic_type, CASE WHEN distinct_count < 100 THEN distinct_count ELSE -1 END AS few_values
+  semantic_type, CASE WHEN distinct_count <= 200 THEN distinct_count END AS distinct_count,
+  true AS estimated
 FROM ({profile_sql("lineitem", "customer", "orders", "documents", "labels")})
 """
 
 
 @query("profile_fast", FAST_SQL)
 def profile_fast(spark, folder):
-    """Five tables with estimated distinct counts; only small counts are made exact."""
+    """Five tables with estimated distinct counts; exact ones where there are at most 200."""
     names = ["lineitem", "customer", "orders", "documents", "labels"]
-    found = flat(_profile(spark, folder, *names, samples=False), "distinct_exact")
-    few = F.col("distinct_exact") & (F.col("distinct_count") < 100)
+    low, high = F.col("distinct_low"), F.col("distinct_high")
+    # An exact count lies inside the bounds, and a count of more than 200 inside none below.
+    sound = F.coalesce(F.col("distinct_count").between(low, high), high > 200)
+    found = flat(_profile(spark, folder, *names, samples=False).withColumn("estimated", sound), "estimated")
     return found.select(
         "table", "column", "rows", "nulls", "implicit_boolean", "implicit_enum", "enum_values",
-        "semantic_type", F.when(few, F.col("distinct_count")).otherwise(-1).alias("few_values"),
+        "semantic_type", "distinct_count", "estimated",
     )
 
 
+MEASURED = ["lineitem", "customer", "orders"]
+
+
+def _distinct_sql() -> str:
+    return f"""
+    SELECT "table", "column", "rows", distinct_count, true AS in_bounds
+    FROM ({profile_sql(*MEASURED)})
+    """
+
+
+def _against_exact(spark, folder, estimates: DataFrame) -> DataFrame:
+    exact = _profile(spark, folder, *MEASURED, exact_distinct=True, samples=False)
+    exact = exact.select("table", "column", "distinct_count")
+    bounds = estimates.select("table", "column", "rows", "distinct_low", "distinct_high")
+    return exact.join(bounds, ["table", "column"]).select(
+        "table", "column", "rows", "distinct_count",
+        F.col("distinct_count").between(F.col("distinct_low"), F.col("distinct_high")).alias("in_bounds"),
+    )
+
+
+@query("distinct_estimates", _distinct_sql())
+def distinct_estimates(spark, folder):
+    """Exact distinct counts against the bounds of the sketches."""
+    return _against_exact(spark, folder, _profile(spark, folder, *MEASURED, samples=False))
+
+
+@query("distinct_merged", _distinct_sql())
+def distinct_merged(spark, folder):
+    """Sketches of three overlapping parts of each table, united without reading the tables again."""
+    data = tables(spark, folder, *MEASURED)
+    parts = []
+    for k in range(3):
+        cut = {t: df.where(F.pmod(F.xxhash64(df.columns[0], df.columns[1]), F.lit(3)) == k) for t, df in data.items()}
+        parts.append(profile_dataset(cut, SAYS, samples=False))
+    united = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _against_exact(spark, folder, profiling.merged_distinct(united))
+
+
 @query(
     "semantic_types",
     with_views(

@@ -145,3 +145,38 @@ def test_pii_categories(spark):
     ).collect()
     assert all(r["flag"] for r in got)
     assert {r["column"]: r["category"] for r in got} == names
+
+
+def test_samples_of_a_wide_table_without_key_are_one_scan(spark):
+    from tabletrust.operators import profile
+
+    rows = spark.range(3_000).select(
+        *(F.when(F.col("id") % 7 != k % 7, F.col("id") * 31 % (100 + k)).alias(f"c{k}") for k in range(50))
+    )
+    tops = profile._tops(rows, [], list(range(50)))
+    plan = tops._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and plan.count("WindowGroupLimit") == 2
+    got = {r["column"]: r["sample_values"] for r in profile_table(rows, "wide").collect()}
+    data = rows.collect()
+    for k in range(50):
+        assert got[f"c{k}"] == sorted(str(r[k]) for r in data if r[k] is not None)[:5]
+
+
+def test_distinct_counts_are_exact_up_to_the_limit_and_sketches_merge(spark):
+    from tabletrust.operators import profile
+
+    rows = spark.range(20_000).select(
+        (F.col("id") % 200).alias("few"), (F.col("id") % 201).alias("more"), F.col("id").alias("all"),
+        F.when(F.col("id") % 2 == 0, 0.0).otherwise(-0.0).alias("zero"),
+        F.array(F.col("id") % 1_000).alias("nested"), F.lit(None).cast("date").alias("none"),
+    )
+    exact = {"few": 200, "more": 201, "all": 20_000, "zero": 1, "nested": 1_000, "none": 0}
+    got = {r["column"]: r for r in profile_table(rows, "t", samples=False).collect()}
+    assert {c: r["distinct_count"] for c, r in got.items()} == {
+        c: n if n <= 200 else None for c, n in exact.items()
+    }
+    assert all(got[c]["distinct_low"] <= n <= got[c]["distinct_high"] for c, n in exact.items())
+    parts = [profile_table(rows.where(f"id % 4 <= {k} or id % 3 = 0"), "t", samples=False) for k in (0, 3)]
+    merged = {r["column"]: r for r in profile.merged_distinct(parts[0].union(parts[1])).collect()}
+    assert all(merged[c]["distinct_low"] <= n <= merged[c]["distinct_high"] for c, n in exact.items())
+    assert merged["all"]["distinct_high"] < 25_000
