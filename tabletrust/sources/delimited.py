@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabletrust.functions import rules
 from tabletrust.functions.predicates import is_number_text
+from tabletrust.session import materialize
 
 # Narrowest first.
 LADDER = ["boolean", "bigint", "float", "string"]
+#: Lines with more quotes are judged by their number alone: odd ones open or close a cell.
+MOST_QUOTES = 1_000
 SPARK_NAMES = {"boolean": "boolean", "bigint": "bigint", "float": "double", "string": "string"}
 
 
@@ -21,17 +26,137 @@ def cell_text(c: Column) -> Column:
     return F.when(~F.lower(text).isin(rules.NULL_WORDS), text)
 
 
+def _quote_patterns(separator: str) -> tuple[str, str]:
+    """Lines that end inside a quoted cell: those that begin outside one, and those that begin in one."""
+    s = re.escape(separator)
+    text = r'[^"]*+(?:""[^"]*+)*+'  # of a quoted cell; a doubled quote is a quote
+    cells = rf'(?:(?:"{text}"[^{s}]*+|[^"{s}][^{s}]*+|){s})*+'
+    return rf'^{cells}"{text}\z', rf'^{text}(?:\z|"[^{s}]*+{s}{cells}"{text}\z)'
+
+
+def _quoted_lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """(file, block, n, line, opens, stays): the lines of all files, and what they do to quotes.
+
+    `opens`: a line that begins outside of a quoted cell ends inside one; `stays`: one that begins
+    inside ends inside.
+    """
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    outside, inside = (F.col("value").rlike(p) for p in _quote_patterns(separator))
+    odd = quotes % 2 == 1
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"),
+        F.when(quotes == 0, False).when(quotes > MOST_QUOTES, odd).otherwise(outside).alias("opens"),
+        F.when(quotes == 0, True).when(quotes > MOST_QUOTES, ~odd).otherwise(inside).alias("stays"),
+    )
+    return lines
+
+
+class OpenQuoteError(ValueError):
+    """A quoted cell that its file does not close."""
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """(file, block, record, text) of lines that quoted cells may join.
+
+    Each block of a file first reports what it does to the state it is entered with; a prefix over the
+    blocks, one row each, gives every block its state, and from then on blocks are independent. The
+    state after a line is that of the last line before it that sets one whatever came before,
+    turned by every line between them that swaps inside and outside.
+    """
+    order = Window.partitionBy("file", "block").orderBy("n")
+    swaps = F.sum((F.col("opens") & ~F.col("stays")).cast("bigint"))
+    fixed = F.when(F.col("opens") == F.col("stays"), F.struct("opens", "swaps"))
+    lines = lines.withColumn("swaps", swaps.over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumn("fixed", F.last(fixed, ignorenulls=True).over(order))
+    flips = (F.col("swaps") - F.coalesce("fixed.swaps", F.lit(0))) % 2 == 1
+    # The state after the line, if the block is entered outside; `kept` where that matters.
+    lines = lines.withColumn("after", F.coalesce("fixed.opens", F.lit(False)) != flips)
+    lines = lines.withColumn("kept", F.col("fixed").isNull())
+    before = lambda c, first: F.lag(c, 1, first).over(order)
+    lines = lines.withColumn("before", before("after", False)).withColumn("follows", before("kept", True))
+    lines = materialize(lines.drop("opens", "stays", "swaps", "fixed"), "quoted-lines")
+
+    end = lines.groupBy("file", "block").agg(
+        F.max_by("after", "n").alias("after"), F.max_by("kept", "n").alias("kept"),
+        F.count_if(~F.col("before")).alias("outside"), F.count_if(F.col("before")).alias("inside"),
+        F.count_if(~F.col("before") & ~F.col("follows")).alias("sure"),
+        F.count_if(F.col("before") & F.col("follows")).alias("turned"),
+    )
+    blocks = Window.partitionBy("file").orderBy("block")
+    swap = (F.col("kept") & F.col("after")).cast("bigint")
+    so_far = F.sum(swap).over(blocks.rowsBetween(Window.unboundedPreceding, 0))
+    end = end.withColumn("so_far", so_far)
+    known = F.when(~F.col("kept"), F.struct("after", "so_far"))
+    end = end.withColumn("known", F.last(known, ignorenulls=True).over(blocks))
+    turned = (F.col("so_far") - F.coalesce("known.so_far", F.lit(0))) % 2 == 1
+    end = end.withColumn("leaves", F.coalesce("known.after", F.lit(False)) != turned)
+    end = end.withColumn("enters", F.lag("leaves", 1, False).over(blocks))
+    # Records that begin in a block: its lines that begin outside, in the state it is entered with.
+    begun = F.when(F.col("enters"), F.col("sure") + F.col("turned")).otherwise(F.col("outside"))
+    end = end.withColumn("begun", begun)
+    owner = F.last(F.when(F.col("begun") > 0, F.struct("block", "begun")), ignorenulls=True)
+    owner = owner.over(blocks.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"))) == 1
+    end = materialize(end.withColumn("owner", owner).withColumn("last", last), "quoted-blocks")
+    open_at_end = end.where("last AND leaves").select("file").first()
+    if open_at_end:
+        raise OpenQuoteError(f"a quoted cell of {open_at_end.file} does not end")
+
+    lines = lines.join(end.select("file", "block", "enters", "owner"), ["file", "block"])
+    flip = F.col("enters") & F.col("follows")
+    lines = lines.withColumn("starts", (F.col("before") != flip) == F.lit(False))
+    ends = (F.col("after") != (F.col("enters") & F.col("kept"))) == F.lit(False)
+    number = F.sum(F.col("starts").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("record", number)
+    # A block's first lines may belong to the last record of an earlier one.
+    place = F.when(F.col("record") > 0, F.struct("block", "record")).otherwise(
+        F.struct(F.col("owner.block").alias("block"), F.col("owner.begun").alias("record"))
+    )
+    lines = lines.select(
+        "file", place.alias("place"), "block", "n", "line", (F.col("starts") & ends).alias("whole")
+    )
+    single = lines.where("whole").select("file", "place.*", F.col("line").alias("text"))
+    rows = F.sort_array(F.collect_list(F.struct("block", "n", "line")))
+    joined = lines.where(~F.col("whole")).groupBy("file", "place").agg(rows.alias("rows"))
+    return single.unionByName(
+        joined.select("file", "place.*", F.array_join("rows.line", "\n").alias("text"))
+    )
+
+
+def _header(record: str, separator: str) -> list[str]:
+    """Column names of a header record; missing and repeated ones get their number, as Spark gives."""
+    cells = next(csv.reader([record], delimiter=separator), [])
+    low = [c.lower() for c in cells]
+    return [
+        f"_c{i}" if not c else f"{c}{i}" if low.count(c.lower()) > 1 else c for i, c in enumerate(cells)
+    ]
+
+
 def read_delimited(
-    spark: SparkSession, path: str, separator: str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, separator: str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """All cells as cleaned text. Header names are trimmed; blank rows are dropped.
 
-    With `multi_line` a quoted cell may hold line breaks; a file is then read by one task, so very
-    large files are better without. Without it such a cell would be taken apart.
+    Quoted cells may hold line breaks, in files of any number of splits. Where no line opens a cell
+    that it does not close, lines are read as records. Without `multi_line` such a line is an error.
     """
     separator = separator or ("\t" if path.lower().endswith(".tsv") else ",")
-    raw = spark.read.csv(path, header=True, sep=separator, multiLine=multi_line, quote='"', escape='"')
-    names = [c.lstrip("﻿").strip() for c in raw.columns]
+    lines = _quoted_lines(spark, path, separator)
+    broken = lines.where("opens").select("file").limit(1).collect()
+    if broken and not multi_line:
+        raise OpenQuoteError(f"a line of {broken[0].file} ends inside a quoted cell")
+    if not broken:
+        raw = spark.read.csv(path, header=True, sep=separator, quote='"', escape='"')
+        names = raw.columns
+    else:
+        records = materialize(_records(lines), "records")
+        first = (F.col("block") == 0) & (F.col("record") == 1)
+        names = _header(records.where(first).orderBy("file").select("text").first().text, separator)
+        cells = ", ".join(f"c{i} string" for i in range(len(names)))
+        options = {"sep": separator, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+        raw = records.where(~first).select(F.from_csv("text", cells, options).alias("cells")).select("cells.*")
+    names = [c.lstrip("\ufeff").strip() for c in names]
     raw = raw.toDF(*names)
     filled = reduce(
         lambda a, b: a | b, [F.coalesce(F.trim(f"`{c}`") != "", F.lit(False)) for c in names]

@@ -421,6 +421,34 @@ def csv_rows(spark, folder):
     )
 
 
+@query(
+    "csv_breaks",
+    """
+    SELECT doc_id, source, sha256(CASE WHEN lower(trim(text)) IN ('', 'null', 'none', 'n/a') THEN ''
+      ELSE coalesce(trim(text), '') END) AS text_sha256
+    FROM documents
+    """,
+)
+def csv_breaks(spark, folder):
+    """Texts with line breaks and quotes, from files that are read in many splits."""
+    path = fresh_path(spark, "texts")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    docs.repartition(3).write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    split = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    spark.conf.set(split, str(256 << 10))
+    try:
+        cells = delimited.read_delimited(spark, path)
+    finally:
+        spark.conf.set(split, before)
+    return cells.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "source",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 @query(
     "upload_insert",
     """

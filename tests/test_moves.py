@@ -359,3 +359,48 @@ def test_shared_dir_is_the_clusters_own():
     assert shared_dir(_Session("hdfs://shared/checkpoints")) == "hdfs://shared/checkpoints"
     with pytest.raises(RuntimeError):
         shared_dir(_Session(None))
+
+
+def test_quoted_line_breaks_over_many_splits(spark, tmp_path):
+    """Cells with breaks, separators and doubled quotes, in files cut into splits of 100 bytes."""
+    import csv
+    import random
+
+    rnd = random.Random(9)
+    words = ["a", "two words", "x,y", 'say "hi"', "line\nbreak", "\n\n", '"', "", 'end"\n,"', "ü", "long " * 40]
+    want = []
+    for k in range(3):
+        rows = [[f"{k}-{i}", rnd.choice(words), rnd.choice(words)] for i in range(200)]
+        want += rows
+        with open(tmp_path / f"f{k}.csv", "w", newline="") as f:
+            writer = csv.writer(f, lineterminator="\n")
+            writer.writerows([["id", "text\nbroken", "more"], *rows])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        got = delimited.read_delimited(spark, str(tmp_path))
+        assert got.columns == ["id", "text\nbroken", "more"]
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 100
+        got = sorted(tuple(r) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # Spaces at the ends go; nothing else of white space does.
+    clean = lambda c: c.strip(" ") or None
+    assert [(a, b or None, c or None) for a, b, c in got] == sorted(
+        (a, clean(b), clean(c)) for a, b, c in want
+    )
+
+
+def test_stray_quotes_do_not_swallow_lines(spark, tmp_path):
+    path = tmp_path / "pipes.csv"
+    path.write_text('id,size,note\n1,5" pipe,x\n2,"a\nb",6" pipe\n3,7",y\n')
+    rows = sorted(tuple(r) for r in delimited.read_delimited(spark, str(path)).collect())
+    assert rows == [("1", '5" pipe', "x"), ("2", "a\nb", '6" pipe'), ("3", '7"', "y")]
+
+
+def test_quotes_that_do_not_close_are_refused(spark, tmp_path):
+    path = tmp_path / "open.csv"
+    path.write_text('id,note\n1,"never closed\n2,x\n3,y\n')
+    for multi_line in (True, False):
+        with pytest.raises(delimited.OpenQuoteError):
+            delimited.read_delimited(spark, str(path), multi_line=multi_line)
