@@ -211,6 +211,55 @@ def document_census(
     )
 
 
+def path_census(docs: DataFrame, text_column: str, kinds: str = "mongodb") -> DataFrame:
+    """Every path inside JSON documents: `$`, `$.field`, `$.list[]`, `$.list[].field` and so on.
+
+    `present` counts the values at a path, `parents` the objects or lists around them, and `unparsed`
+    the texts that are no JSON. The counts per (path, kind) are sums, so censuses of parts of a
+    collection merge by addition. Each round opens the objects and lists of one depth; only these
+    go on to the next.
+    """
+    spark = docs.sparkSession
+    text = F.col(text_column)
+    texts = docs.where(text.isNotNull()).select(F.try_parse_json(text).alias("value"))
+    unparsed = texts.agg(F.count_if(F.col("value").isNull()).alias("n"))
+    level = texts.where(F.col("value").isNotNull()).select(
+        F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), "value"
+    )
+    counts = spark.createDataFrame([], "path string, parent string, kind string, holds boolean, n bigint")
+    while True:
+        schema = F.schema_of_variant("value")
+        holds = schema.startswith("OBJECT") | schema.startswith("ARRAY")
+        level = level.withColumns({"kind": _kind(schema, kinds), "holds": holds})
+        level = materialize(level, "paths")
+        counts = counts.union(
+            level.groupBy("path", "parent", "kind", "holds").agg(F.count(F.lit(1)).alias("n"))
+        )
+        opened = level.where("holds").lateralJoin(
+            spark.tvf.variant_explode(F.col("value").outer()).select(
+                F.col("key"), F.col("value").alias("inner")
+            )
+        )
+        step = F.coalesce(F.concat(F.lit("."), "key"), F.lit("[]"))
+        level = opened.select(
+            F.concat("path", step).alias("path"), F.col("path").alias("parent"), F.col("inner").alias("value")
+        )
+        if level.isEmpty():
+            break
+    counts = materialize(counts, "path-kinds")
+    around = counts.where("holds").groupBy(F.col("path").alias("parent")).agg(F.sum("n").alias("parents"))
+    per_path = counts.groupBy("path", "parent").agg(
+        F.sum("n").alias("present"), F.max_by("kind", F.struct("n", "kind")).alias("type"),
+        F.bool_or(F.col("kind") == "null").alias("nullable"),
+        F.sum((F.col("kind") != "null").cast("int")).alias("kinds"),
+    )
+    return per_path.join(around, "parent", "left").select(
+        "path", "type", "nullable", "present", "parents", (F.col("kinds") > 1).alias("mixed_types"),
+        F.when(F.col("kinds") > 1, "string").otherwise(F.col("type")).alias("target_kind"),
+        unparsed.scalar().alias("unparsed"),
+    )
+
+
 # --- Fixed values: what each store calls a JSON value's type -------------------------------
 KIND_NAMES = {
     "mongodb": ["null", "bool", "long", "double", "string", "object", "array"],

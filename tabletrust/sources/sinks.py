@@ -116,6 +116,10 @@ class VersionedTable:
     def exists(self) -> bool:
         return bool(self._versions())
 
+    def holds(self, path: str, name: str) -> bool:
+        """Whether the folder `path` has a folder of that name."""
+        return name in self._folders(path)[2]
+
     def current_path(self) -> str:
         return f"{self.path}/{self._versions()[-1]}"
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tabletrust.operators import drift
 from tabletrust.session import materialize
 from tabletrust.sources.sinks import VersionedTable
+from tabletrust.streaming import heartbeat
 
 
 def run_check(
@@ -81,9 +82,33 @@ def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+#: Kinds of the events that are no drift.
+FIRST_SIGHT, OVERDUE = "baseline_created", "sweep_overdue"
+
+
+def overdue(reports: DataFrame, every: int, delay: str = "0 seconds") -> DataFrame:
+    """A stream of overdue events from `reports(monitor, ts)`: monitors silent for `every` seconds.
+
+    Each monitor has a timer in keyed state, in event time, that its reports set anew; a monitor that
+    reports again after its event can become overdue again.
+    """
+    beats = reports.select(F.col("monitor").alias("job"), F.lit("executing").alias("status"), "ts")
+    late = heartbeat.watch(beats, delay, every)
+    return late.select(
+        F.col("job").alias("monitor"), F.lit("warning").alias("severity"),
+        F.lit(OVERDUE).alias("kind"), F.lit(f"no snapshot for {every} seconds").alias("detail"),
+        "last_beat",
+    )
+
+
 @dataclass
 class DriftSweep:
-    """Compares each arriving catalog snapshot with the stored baselines."""
+    """Compares each arriving catalog snapshot with the stored baselines.
+
+    The first snapshot of a monitor becomes its baseline, and is reported as such. The baselines are the
+    sweep's state per monitor; they are replaced only after the batch's events are written, and a
+    batch that runs again finds by its own events which monitors were new to it.
+    """
 
     baseline: VersionedTable  # rows as in `snapshot_rows`
     events_path: str
@@ -104,16 +129,42 @@ class DriftSweep:
 
     def check_batch(self, snapshot: DataFrame, batch_id: int) -> None:
         # Only the monitors that sent a snapshot in this batch are compared.
-        arrived = snapshot.select("monitor").distinct()
-        base = self.baseline.read().join(arrived, "monitor", "left_semi")
+        arrived = materialize(snapshot.select("monitor").distinct(), "arrived-monitors")
+        new = materialize(self._new_monitors(arrived, batch_id), "new-monitors")
+        old = arrived.join(new, "monitor", "left_anti")
+        base = snapshot.limit(0)
+        if self.baseline.exists():
+            base = self.baseline.read().join(old, "monitor", "left_semi")
         base_columns, base_indexes = _parts(base)
-        columns, indexes = _parts(snapshot)
+        columns, indexes = _parts(snapshot.join(old, "monitor", "left_semi"))
+        now = F.current_timestamp()
         events, checks = run_check(
-            as_monitors(base), base_columns, columns, base_indexes, indexes, F.current_timestamp()
+            as_monitors(base), base_columns, columns, base_indexes, indexes, now
         )
+        first = _parts(snapshot.join(new, "monitor", "left_semi"))[0].groupBy("monitor").count()
+        first = new.join(first, "monitor", "left").select(
+            "monitor", F.lit("info").alias("severity"), F.lit(FIRST_SIGHT).alias("kind"),
+            F.format_string("baseline of %s columns taken", F.coalesce("count", F.lit(0))).alias("detail"),
+        )
+        events = events.unionByName(first, allowMissingColumns=True)
+        none = drift.check_results(new, events.limit(0), now)
+        checks = checks.unionByName(none, allowMissingColumns=True)
         # A batch that runs again replaces its own folder, so nothing is counted twice.
         events.write.mode("overwrite").parquet(f"{self.events_path}/batch={batch_id}")
         checks.write.mode("overwrite").parquet(f"{self.checks_path}/batch={batch_id}")
+        if not new.isEmpty():
+            self.rebaseline(snapshot.join(new, "monitor", "left_semi"))
+
+    def _new_monitors(self, arrived: DataFrame, batch_id: int) -> DataFrame:
+        """Monitors without a baseline, or whose baseline an earlier run of this batch took."""
+        new = arrived
+        if self.baseline.exists():
+            new = arrived.join(self.baseline.read().select("monitor").distinct(), "monitor", "left_anti")
+        if self.baseline.holds(self.events_path, f"batch={batch_id}"):
+            before = arrived.sparkSession.read.parquet(f"{self.events_path}/batch={batch_id}")
+            taken = before.where(F.col("kind") == FIRST_SIGHT).select("monitor")
+            new = new.unionByName(taken.join(arrived, "monitor", "left_semi")).distinct()
+        return new
 
     def rebaseline(self, snapshot: DataFrame) -> None:
         """Accept the snapshots of these monitors as the new normal; others keep their baselines."""

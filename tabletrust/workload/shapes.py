@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabletrust.operators import reshape
-from tabletrust.sources.catalog import document_census
+from tabletrust.sources.catalog import document_census, path_census
 from tabletrust.workload.registry import query
 from tabletrust.workload.scenario import table, with_views
 
@@ -62,6 +62,45 @@ def json_field_census_wide_column(spark, folder):
     return document_census(table(spark, folder, "documents_json"), "doc", "dynamodb")
 
 
+# One document per chat: a head with a list of turns, each with a list of numbers; some are cut off.
+CHAT_DOC = """
+'{"id":' || conv_id || ',"head":{"role":"' || role || '","n":' ||
+  CASE WHEN turn % 2 = 0 THEN CAST(turn AS STRING) ELSE '"' || turn || '"' END ||
+  '},"turns":[{"size":' || length(text) || ',"marks":[' || turn || ',null,1.5]},' ||
+  CASE WHEN turn % 3 = 0 THEN '[]' ELSE '{"size":null,"deep":{"ok":true}}' END || ']' ||
+  CASE WHEN conv_id % 7 = 0 THEN '' ELSE '}' END
+"""
+
+
+@query(
+    "json_path_census",
+    f"""
+    WITH docs AS (SELECT {CHAT_DOC.replace("STRING", "VARCHAR")} AS doc FROM conversations),
+    good AS (SELECT doc FROM docs WHERE json_valid(doc)),
+    nodes AS (SELECT regexp_replace(t.fullkey, '\[[0-9]+\]', '[]', 'g') AS path,
+      regexp_replace(t.path, '\[[0-9]+\]', '[]', 'g') AS parent,
+      CASE t.type WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'UBIGINT' THEN 'long'
+        WHEN 'BIGINT' THEN 'long' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+        WHEN 'OBJECT' THEN 'object' ELSE 'array' END AS kind
+      FROM good, json_tree(doc) t),
+    counted AS (SELECT path, parent, kind, count(*) AS n FROM nodes GROUP BY ALL),
+    inside AS (SELECT path AS parent, CAST(sum(n) AS BIGINT) AS parents FROM counted
+      WHERE kind IN ('object', 'array') GROUP BY path),
+    folded AS (SELECT path, CASE WHEN path = '$' THEN NULL ELSE parent END AS parent,
+      CAST(sum(n) AS BIGINT) AS present,
+      arg_max(kind, struct_pack(n := n, kind := kind)) AS "type", bool_or(kind = 'null') AS nullable,
+      count(*) FILTER (WHERE kind <> 'null') AS kinds FROM counted GROUP BY ALL)
+    SELECT path, "type", nullable, present, parents, kinds > 1 AS mixed_types,
+      CASE WHEN kinds > 1 THEN 'string' ELSE "type" END AS target_kind,
+      (SELECT count(*) FROM docs WHERE NOT json_valid(doc)) AS unparsed
+    FROM folded LEFT JOIN inside USING (parent)
+    """,
+)
+def json_path_census(spark, folder):
+    docs = table(spark, folder, "conversations").select(F.expr(CHAT_DOC).alias("doc"))
+    return path_census(docs, "doc")
+
+
 # Conversations as documents with their turns inside, three to a segment.
 def _talks(spark, folder):
     turns = table(spark, folder, "conversations")

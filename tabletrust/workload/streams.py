@@ -11,7 +11,7 @@ from tabletrust.session import fresh_path
 from tabletrust.sources.sinks import VersionedTable
 from tabletrust.streaming import heartbeat
 from tabletrust.streaming.copy import CopyJob
-from tabletrust.streaming.recurring import DriftSweep, snapshot_rows
+from tabletrust.streaming.recurring import FIRST_SIGHT, DriftSweep, overdue, snapshot_rows
 from tabletrust.workload.drifting import CATALOGS, EVENTS_SQL
 from tabletrust.workload.registry import query
 from tabletrust.workload.scenario import table, tables, with_views
@@ -213,14 +213,16 @@ def stream_drift(spark, folder):
     return events.groupBy("monitor", "kind", "severity").agg(F.count(F.lit(1)).alias("events"))
 
 
-def _sweep(spark, folder):
+def _sweep(spark, folder, unknown: tuple[str, ...] = ()):
+    """A sweep over the present catalogs; `unknown` monitors have no baseline yet."""
     base = fresh_path(spark, "sweep")
     sweep = DriftSweep(
         VersionedTable(spark, f"{base}/baseline"), f"{base}/events", f"{base}/checks", f"{base}/checkpoint"
     )
     data = tables(spark, folder, *CATALOGS)
     monitors = data["base_catalog"].select("monitor").union(data["base_indexes"].select("monitor"))
-    sweep.rebaseline(snapshot_rows(data["base_catalog"], data["base_indexes"], monitors))
+    known = snapshot_rows(data["base_catalog"], data["base_indexes"], monitors)
+    sweep.rebaseline(known.where(~F.col("monitor").isin(*unknown)))
     alive = F.col("monitor") != "Brand#1"
     live = snapshot_rows(
         data["current_catalog"].where(alive), data["current_indexes"].where(alive), monitors
@@ -231,6 +233,58 @@ def _sweep(spark, folder):
     return sweep, live
 
 
+@query(
+    "stream_first_sight",
+    with_views(
+        f"""
+        WITH live_catalog AS (SELECT * FROM current_catalog WHERE monitor <> 'Brand#1'),
+        live_indexes AS (SELECT * FROM current_indexes WHERE monitor <> 'Brand#1'),
+        {_LIVE_SQL.strip()}
+        SELECT monitor, kind, severity, '-' AS detail, count(*) AS events FROM events
+        WHERE monitor IN (SELECT monitor FROM base_catalog UNION SELECT monitor FROM base_indexes)
+          AND monitor NOT IN ('Brand#2', 'Brand#3')
+        GROUP BY ALL
+        UNION ALL
+        SELECT monitor, 'baseline_created', 'info', 'baseline of ' || count(*) || ' columns taken', 1
+        FROM live_catalog WHERE monitor IN ('Brand#2', 'Brand#3') GROUP BY monitor
+        """,
+        *CATALOGS,
+    ),
+)
+def stream_first_sight(spark, folder):
+    """Two monitors are new: they are reported, and the next sweep compares them like the others."""
+    sweep, live = _sweep(spark, folder, ("Brand#2", "Brand#3"))
+    sweep.check_batch(live, 7)
+    events = spark.read.parquet(sweep.events_path).where("batch < 7 OR monitor IN ('Brand#2', 'Brand#3')")
+    detail = F.when(F.col("kind") == FIRST_SIGHT, F.col("detail")).otherwise("-").alias("detail")
+    return events.groupBy("monitor", "kind", "severity", detail).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(
+    "stream_overdue",
+    """
+    SELECT CAST(user_id AS VARCHAR) AS monitor, 'warning' AS severity, 'sweep_overdue' AS kind,
+      'no snapshot for 21600 seconds' AS detail
+    FROM events GROUP BY user_id
+    HAVING max(ts) <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR
+    """,
+)
+def stream_overdue(spark, folder):
+    """Each event is a snapshot of its user's monitor; those silent for six hours are overdue."""
+    base = fresh_path(spark, "reports")
+    reports = table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("monitor"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    reports.write.parquet(f"{base}/in")
+    late = overdue(spark.readStream.schema(reports.schema).parquet(f"{base}/in"), 6 * 3600)
+    run = (
+        late.writeStream.format("parquet").option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.schema(late.schema).parquet(f"{base}/out").drop("last_beat")
+
+
 @query(
     "rebaseline_one",
     with_views(

@@ -419,3 +419,44 @@ def test_catalog_of_tables(spark, dirty):
     rows = {(r["table"], r["column"]): r for r in catalog.columns.collect()}
     assert rows[("users", "id")]["primary_key"] and not rows[("users", "email")]["nullable"]
     assert [r["index"] for r in catalog.indexes.collect()] == ["users_email_key"]
+
+
+def test_path_census(spark):
+    from tabletrust.sources.catalog import path_census
+
+    texts = ['{"a": 1, "b": {"c": [1, null, {"d": "x"}]}}', '{"a": "1", "b": {}}', "[]", "3", "{cut", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "doc string")
+    got = {r["path"]: r for r in path_census(df, "doc").collect()}
+    assert {p: (r["type"], r["present"], r["parents"]) for p, r in got.items()} == {
+        "$": ("object", 4, None), "$.a": ("string", 2, 3), "$.b": ("object", 2, 3),
+        "$.b.c": ("array", 1, 2), "$.b.c[]": ("object", 3, 1), "$.b.c[].d": ("string", 1, 1),
+    }
+    assert got["$.a"]["mixed_types"] and got["$.a"]["target_kind"] == "string"
+    assert got["$.b.c[]"]["nullable"] and {r["unparsed"] for r in got.values()} == {2}
+    assert path_census(df.limit(0), "doc").collect() == []
+
+
+def test_first_sight_of_a_monitor_survives_a_second_run(spark):
+    from tabletrust.session import fresh_path
+    from tabletrust.sources.sinks import VersionedTable
+    from tabletrust.streaming.recurring import DriftSweep, snapshot_rows
+
+    base = fresh_path(spark, "sweep")
+    sweep = DriftSweep(VersionedTable(spark, f"{base}/b"), f"{base}/e", f"{base}/c", f"{base}/k")
+    columns = "monitor string, table string, column string, type string, nullable boolean, default string"
+    rows = lambda kind: spark.createDataFrame([("m", "t", "c", kind, True, None)], columns)
+    none = spark.createDataFrame([], "monitor string, table string, index string, unique boolean")
+    names = spark.createDataFrame([("m",), ("bare",)], "monitor string")
+    for _ in range(2):
+        sweep.check_batch(snapshot_rows(rows("BIGINT"), none, names), 0)
+    sweep.check_batch(snapshot_rows(rows("SMALLINT"), none, names), 1)
+    events = spark.read.parquet(f"{base}/e").orderBy("batch", "monitor").collect()
+    assert [(e["batch"], e["monitor"], e["kind"], e["detail"]) for e in events[:2]] == [
+        (0, "bare", "baseline_created", "baseline of 0 columns taken"),
+        (0, "m", "baseline_created", "baseline of 1 columns taken"),
+    ]
+    assert [(e["batch"], e["monitor"], e["severity"]) for e in events[2:]] == [(1, "m", "critical")]
+    checks = spark.read.parquet(f"{base}/c").orderBy("batch", "monitor").collect()
+    assert [(c["monitor"], c["has_drift"], c["health_score"]) for c in checks] == [
+        ("bare", False, 100), ("m", False, 100), ("bare", False, 100), ("m", True, 75)
+    ]
