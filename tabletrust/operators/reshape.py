@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tabletrust.functions import rules
 from tabletrust.session import materialize
 
+#: Parents with more children are numbered by ranges over several tasks, others in one window.
+WINDOW_ROWS = 100_000
+
 
 def array_size(df: DataFrame, column: str, key: str) -> DataFrame:
     """One row: average array length per `key` and the shape it calls for.
@@ -42,6 +45,12 @@ def json_column(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.to_json(column))
 
 
+def _window_ranked(child: DataFrame, foreign_key: str) -> DataFrame:
+    """As `_ranked`, for parents whose children fit in one task."""
+    rank = F.row_number().over(Window.partitionBy(foreign_key).orderBy("child")) - 1
+    return child.select(foreign_key, "child", rank.cast("bigint").alias("rank"))
+
+
 def _ranked(child: DataFrame, foreign_key: str) -> DataFrame:
     """Children with `rank`, their place among their parent's children, from 0.
 
@@ -76,6 +85,7 @@ def embed_children(
     foreign_key: str,
     fields: list[str],
     per_document: int = 10_000,
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Parents with their children as an array of structs in the order of `fields`.
 
@@ -86,17 +96,19 @@ def embed_children(
     used = child.where(F.col(foreign_key).isNotNull()).select(
         foreign_key, F.struct(*fields).alias("child")
     )
-    large = used.groupBy(foreign_key).agg(F.count(F.lit(1)).alias("n"))
-    large = materialize(large.where(F.col("n") > per_document).select(foreign_key), "large-parents")
-    whole = F.lit(0).cast("bigint")
-    if large.isEmpty():
-        numbered = used.withColumn("segment", whole)
+    counts = used.groupBy(foreign_key).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    segment = F.floor(F.col("rank") / per_document).alias("segment")
+    if most <= per_document:
+        numbered = used.withColumn("segment", F.lit(0).cast("bigint"))
+    elif most <= max(window_rows, per_document):
+        numbered = _window_ranked(used, foreign_key).select(foreign_key, "child", segment)
     else:
-        many = _ranked(used.join(large, foreign_key, "left_semi"), foreign_key).select(
-            foreign_key, "child", F.floor(F.col("rank") / per_document).alias("segment")
-        )
-        few = used.join(large, foreign_key, "left_anti").withColumn("segment", whole)
-        numbered = few.unionByName(many)
+        large = counts.where(F.col("n") > max(window_rows, per_document)).select(foreign_key)
+        large = materialize(large, "large-parents")
+        many = _ranked(used.join(large, foreign_key, "left_semi"), foreign_key)
+        few = _window_ranked(used.join(large, foreign_key, "left_anti"), foreign_key)
+        numbered = few.unionByName(many).select(foreign_key, "child", segment)
     grouped = (
         numbered.groupBy(foreign_key, "segment")
         .agg(F.sort_array(F.collect_list("child")).alias("children"))

@@ -404,3 +404,18 @@ def test_quotes_that_do_not_close_are_refused(spark, tmp_path):
     for multi_line in (True, False):
         with pytest.raises(delimited.OpenQuoteError):
             delimited.read_delimited(spark, str(path), multi_line=multi_line)
+
+
+@pytest.mark.parametrize("window_rows", [0, 100, 10_000])
+def test_children_are_numbered_alike_by_window_and_ranges(spark, window_rows):
+    child = spark.range(1_500).selectExpr("CASE WHEN id < 900 THEN 1L ELSE 2 + id % 9 END AS p", "id % 700 AS c")
+    parent = spark.range(1, 13).selectExpr("id AS p")
+    rows = reshape.embed_children(parent, "p", child, "p", ["c"], 40, window_rows)
+    got = {(r["p"], r["segment"]): (r["offset"], [c["c"] for c in r["children"]]) for r in rows.collect()}
+    data = sorted((r["p"], r["c"]) for r in child.collect())
+    want = {}
+    for p in range(1, 13):
+        own = [c for q, c in data if q == p]
+        for k in range(0, max(1, len(own)), 40):
+            want[p, k // 40] = (k, own[k : k + 40])
+    assert got == want
