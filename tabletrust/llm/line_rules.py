@@ -24,7 +24,7 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 #: A line in more documents of one host than this counts as removed.
-MOST_DOCUMENTS = 100
+MOST_DOCUMENTS = 10
 #: A document that loses more than this percentage of its words is depleted.
 MOST_REMOVED = 50
 
@@ -80,7 +80,7 @@ def base_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def host_lines(docs: DataFrame) -> DataFrame:
-    """(d, m, h, w, first): normalised lines of each row, hashed with their host, and their words.
+    """(d, m, host, h, w, first): normalised lines of each row, hashed with their host, and their words.
 
     Equal lines of one row are sorted together inside the row; `first` marks one of them.
     """
@@ -90,9 +90,10 @@ def host_lines(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("d"), text_mark(F.col("text")).alias("m"),
         F.col("source").alias("host"), F.filter(lines, lambda x: x != "").alias("lines"),
     )
-    sorted_lines = rows.select("d", "m", F.sort_array(F.transform("lines", line)).alias("lines"))
+    in_order = F.sort_array(F.transform("lines", line)).alias("lines")
+    sorted_lines = rows.select("d", "m", "host", in_order)
     return sorted_lines.select(
-        "d", "m",
+        "d", "m", "host",
         F.inline(
             F.transform(
                 "lines",
@@ -106,11 +107,11 @@ def host_lines(docs: DataFrame) -> DataFrame:
 
 
 def removed_words(docs: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
-    """(d, m, n_removed): words of each row in lines that too many documents of its host have.
+    """(d, m, host, n_removed): words of each row in lines that too many documents of its host have.
 
     Documents per line are counted with partial sums, and lines of very many documents meet their
-    rows where they are, so no line's rows all go to one task. Rows that repeat whole, of which each
-    has one `first` line per hash, share one result.
+    rows where they are, so no line's rows all go to one task. Rows that repeat whole under one host,
+    of which each has one `first` line per hash, share one result.
     """
     lines = materialize(host_lines(docs), "host-lines")
     often = (
@@ -120,9 +121,9 @@ def removed_words(docs: DataFrame, most_documents: int = MOST_DOCUMENTS) -> Data
     often = materialize(often, "frequent-lines")
     return (
         join_by_key(lines, often, "h")
-        .groupBy("d", "m", "h")
+        .groupBy("d", "m", "host", "h")
         .agg((F.sum("w") / F.sum(F.col("first").cast("int"))).alias("w"))
-        .groupBy("d", "m")
+        .groupBy("d", "m", "host")
         .agg(F.sum("w").cast("bigint").alias("n_removed"))
     )
 
@@ -137,8 +138,9 @@ def judge(
         F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED
     )
     joined = base.join(
-        removed.toDF("rd", "rm", "n_removed"),
-        F.col("d").eqNullSafe(F.col("rd")) & (F.col("m") == F.col("rm")), "left",
+        removed.toDF("rd", "rm", "rh", "n_removed"),
+        F.col("d").eqNullSafe(F.col("rd")) & (F.col("m") == F.col("rm"))
+        & F.col("host").eqNullSafe(F.col("rh")), "left",
     )
     n_removed = F.coalesce("n_removed", F.lit(0))
     return joined.select(

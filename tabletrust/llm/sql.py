@@ -72,7 +72,7 @@ WITH d AS (
   SELECT doc_id, source, trim({_LOWER.format("line")}, {_BLANKS}) AS key FROM l
 ), often AS (
   SELECT source, key FROM k WHERE key <> ''
-  GROUP BY source, key HAVING count(DISTINCT doc_id) > 100
+  GROUP BY source, key HAVING count(DISTINCT doc_id) > 10
 ), gone AS (
   SELECT doc_id, CAST(sum(len({_WORDS.format("key")})) AS BIGINT) AS n_removed
   FROM k JOIN often USING (source, key) GROUP BY doc_id
