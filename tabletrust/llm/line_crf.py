@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tabletrust.llm.text import as_bytes, small_batches
+from tabletrust.session import materialize
 
 #: The fit reads at most so many labelled documents, and uses at most so many of their lines.
 MOST_DOCS, MOST_LINES = 6_000, 300_000
+#: A document with a larger share of these lines is left out of the fit.
+SHARE_OF_LINES = 0.05
 ROUNDS, RATE, PENALTY = 200, 0.1, 1e-3
 FOLDS, HELD_OUT = 3, 1
 
@@ -200,15 +203,18 @@ def fit(
 ) -> Crf:
     """Fit on at most `most_docs` labelled documents outside the held-out fold, by hash order.
 
-    Their texts are read in the tasks; only line figures come to the driver, and documents that
-    would take the sample over `most_lines` lines are left out of the fit.
+    Their texts are read in the tasks; only line figures come to the driver. Documents are taken by
+    hash, whatever their length, until `most_lines` lines are used; a document that alone would use
+    more than `SHARE_OF_LINES` of them is left out, so that no few texts make up the fit.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     )
+    longest = int(most_lines * SHARE_OF_LINES)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +226,11 @@ def fit(
                     "doc_id": batch.column("doc_id"), "label": batch.column("label"),
                     "n": pa.array(counts, pa.int64()),
                     "x": pa.array(
-                        [a.astype(np.float32).tobytes() if len(a) <= most_lines else b""
+                        [a.astype(np.float32).tobytes() if len(a) <= longest else b""
                          for a in np.split(features, cuts)], pa.binary(),
                     ),
                     "sizes": pa.array(
-                        [a.astype(np.int32).tobytes() if len(a) <= most_lines else b""
+                        [a.astype(np.int32).tobytes() if len(a) <= longest else b""
                          for a in np.split(sizes, cuts)], pa.binary(),
                     ),
                 }
@@ -233,8 +239,9 @@ def fit(
     sample = texts.mapInArrow(
         figures, "doc_id bigint, label int, n bigint, x binary, sizes binary"
     )
+    sample = materialize(sample.where(F.col("n") <= longest), "labelled-lines")
     rows, lines = [], 0
-    for r in sample.orderBy("n", F.xxhash64("doc_id")).toLocalIterator():
+    for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").toLocalIterator():
         if lines + r.n > most_lines:
             break
         rows.append(r)

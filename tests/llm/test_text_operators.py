@@ -318,6 +318,25 @@ def test_rules_brute_force(spark):
     same(line_rules.judge(frame, most_documents=5), brute.rules(rows, most=5))
 
 
+def test_rules_of_one_text_under_two_hosts(spark):
+    """The host with enough copies loses the line, the other keeps it, and nothing counts twice."""
+    line = "a line of boilerplate that many pages of one host have, nothing more " * 2
+    rows = [(i, line + f"\nown words of page {i} " + "and so on " * 8, "s0") for i in range(6)]
+    rows += [(7, rows[0][1], "s0"), (7, rows[0][1], "s1"), (7, rows[0][1], None), (7, rows[0][1], None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for most in (1, 5, 6, 7):
+        same(line_rules.judge(frame, most_documents=most), brute.rules(rows, most=most))
+
+
+def test_rules_with_the_registered_limit_remove_lines(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(i, f"{text}\n{i} ends with a few words of its own", "s0") for i in range(11)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = line_rules.judge(frame).collect()
+    assert all(r.n_removed > 30 and not r.base_failed and not r.kept for r in got)
+    assert all(r.kept and not r.n_removed for r in line_rules.judge(frame.where("doc_id < 10")).collect())
+
+
 def test_rules_odd_rows(docs, nothing):
     rows = [(r[0], r[1], r[3]) for r in odd.TEXTS]
     same(line_rules.judge(docs, most_documents=2), brute.rules(rows, most=2))
@@ -523,3 +542,19 @@ def test_odd_turns(spark):
     assert {r.conv_id for r in rows} == {1, 2, None}
     empty = tool_calls.calls_of_turns(turns.where("false"))
     assert tool_calls.formatted(*empty, tool_calls.CHAT_TOOLS).count() == 0
+
+
+def test_quality_sample_follows_the_hash_and_not_the_length(spark, monkeypatch):
+    """Short and long documents are in the fit alike; labels without a document use up no places."""
+    rows = [(i, "\n".join([f"line {k} of {i}" for k in range(2 if i % 2 else 40)])) for i in range(900)]
+    rows.append((5_000, "x\n" * 2_000))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(8_000)], "doc_id bigint, quality int")
+    used = {}
+    fit = line_crf.fit_arrays
+    monkeypatch.setattr(line_crf, "fit_arrays", lambda x, s, counts, m: used.update(n=counts) or fit(x, s, counts, m))
+    line_crf.fit(docs, labels, most_docs=500, most_lines=4_000)
+    long = (used["n"] >= 40).mean()
+    assert 0.35 < long < 0.65 and used["n"].max() < 200 and 3_900 < used["n"].sum() <= 4_000
+    line_crf.fit(docs, labels, most_docs=500)
+    assert len(used["n"]) == 500
