@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +39,10 @@ def _quote_patterns(separator: str) -> tuple[str, str]:
 
 
 def _quoted_lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """(file, block, n, line, opens, stays): the lines of all files, and what they do to quotes.
+    """(file, block, line, opens, stays): the lines of all files, and what they do to quotes.
+
+    A file is named by the hash of its path, a block by where its split of the file begins; a
+    split's lines come in order, in one task.
 
     `opens`: a line that begins outside of a quoted cell ends inside one; `stays`: one that begins
     inside ends inside.
@@ -43,84 +50,148 @@ def _quoted_lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
     quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
     outside, inside = (F.col("value").rlike(p) for p in _quote_patterns(separator))
     odd = quotes % 2 == 1
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"),
+    return spark.read.text(path).select(
+        F.xxhash64("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"),
         F.when(quotes == 0, False).when(quotes > MOST_QUOTES, odd).otherwise(outside).alias("opens"),
         F.when(quotes == 0, True).when(quotes > MOST_QUOTES, ~odd).otherwise(inside).alias("stays"),
     )
-    return lines
 
 
 class OpenQuoteError(ValueError):
     """A quoted cell that its file does not close."""
 
 
+def _after(opens: np.ndarray, stays: np.ndarray, inside: bool) -> np.ndarray:
+    """Whether each line ends inside a quoted cell, if the first begins `inside` one.
+
+    A line that sets the state whatever came before decides, turned by every line after it that swaps
+    inside and outside.
+    """
+    at = np.arange(len(opens))
+    swaps = np.cumsum(opens & ~stays)
+    last = np.maximum.accumulate(np.where(opens == stays, at, -1))
+    since = swaps - np.where(last >= 0, swaps[last], 0)
+    return np.where(last >= 0, opens[last], inside) ^ (since % 2 == 1)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int]]:
+    """((file, block), start, end) of a batch's lines."""
+    files, blocks = (batch.column(c).to_numpy() for c in ("file", "block"))
+    cuts = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(files)]):
+        if b > a:
+            yield (int(files[a]), int(blocks[a])), a, b
+
+
+_EFFECT = "file bigint, block bigint, after_out boolean, after_in boolean, begun_out bigint, begun_in bigint"
+
+
+def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each block does to the state it is entered with, and how many records begin in it then."""
+    found: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        opens, stays = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("opens", "stays"))
+        for key, a, b in _runs(batch):
+            now = found.setdefault(key, [False, True, 0, 0])
+            for k in range(2):
+                after = _after(opens[a:b], stays[a:b], now[k])
+                now[2 + k] += int((~np.append(now[k], after[:-1])).sum())
+                now[k] = bool(after[-1])
+    names = [f.split()[0] for f in _EFFECT.split(", ")]
+    rows = [dict(zip(names, (*key, *now))) for key, now in found.items()]
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows)
+
+
+_PIECES = "file bigint, block bigint, record bigint, part bigint, text string, whole boolean"
+
+
+def _pieces(entered: Broadcast):
+    """Records of each block; those that cross its ends as parts, named by where they begin.
+
+    `entered` has the blocks that begin inside a cell, with the block and number of its record.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, inside, record, held, out = None, False, 0, [], []
+
+        def close(whole: bool) -> None:
+            if held:
+                owner = (key[1], record) if record else entered.value[key]
+                out.append((key[0], *owner, key[1], "\n".join(held), whole and record > 0))
+                held.clear()
+
+        for batch in batches:
+            opens, stays = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("opens", "stays"))
+            lines = batch.column("line").to_pylist()
+            for now, a, b in _runs(batch):
+                if now != key:
+                    close(not inside)
+                    key, inside, record = now, now in entered.value, 0
+                after = _after(opens[a:b], stays[a:b], inside)
+                starts = np.flatnonzero(~np.append(inside, after[:-1])) + a
+                edges = [a, *starts.tolist(), b]
+                held.extend(lines[a : edges[1]])
+                for start, end in zip(edges[1:], edges[2:]):
+                    close(True)
+                    record += 1
+                    held.extend(lines[start:end])
+                inside = bool(after[-1])
+            if out:
+                yield _piece_batch(out)
+                out.clear()
+        close(not inside)
+        if out:
+            yield _piece_batch(out)
+
+    return cut
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [f.split()[0] for f in _PIECES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+
+
 def _records(lines: DataFrame) -> DataFrame:
     """(file, block, record, text) of lines that quoted cells may join.
 
     Each block of a file first reports what it does to the state it is entered with; a prefix over the
-    blocks, one row each, gives every block its state, and from then on blocks are independent. The
-    state after a line is that of the last line before it that sets one whatever came before,
-    turned by every line between them that swaps inside and outside.
+    blocks, one row each, gives every block its state; then all blocks are cut into records in
+    parallel, and only records that cross blocks are put together by a shuffle. The driver gets
+    three numbers for each block that begins inside a cell.
     """
-    order = Window.partitionBy("file", "block").orderBy("n")
-    swaps = F.sum((F.col("opens") & ~F.col("stays")).cast("bigint"))
-    fixed = F.when(F.col("opens") == F.col("stays"), F.struct("opens", "swaps"))
-    lines = lines.withColumn("swaps", swaps.over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lines = lines.withColumn("fixed", F.last(fixed, ignorenulls=True).over(order))
-    flips = (F.col("swaps") - F.coalesce("fixed.swaps", F.lit(0))) % 2 == 1
-    # The state after the line, if the block is entered outside; `kept` where that matters.
-    lines = lines.withColumn("after", F.coalesce("fixed.opens", F.lit(False)) != flips)
-    lines = lines.withColumn("kept", F.col("fixed").isNull())
-    before = lambda c, first: F.lag(c, 1, first).over(order)
-    lines = lines.withColumn("before", before("after", False)).withColumn("follows", before("kept", True))
-    lines = materialize(lines.drop("opens", "stays", "swaps", "fixed"), "quoted-lines")
-
-    end = lines.groupBy("file", "block").agg(
-        F.max_by("after", "n").alias("after"), F.max_by("kept", "n").alias("kept"),
-        F.count_if(~F.col("before")).alias("outside"), F.count_if(F.col("before")).alias("inside"),
-        F.count_if(~F.col("before") & ~F.col("follows")).alias("sure"),
-        F.count_if(F.col("before") & F.col("follows")).alias("turned"),
-    )
-    blocks = Window.partitionBy("file").orderBy("block")
-    swap = (F.col("kept") & F.col("after")).cast("bigint")
-    so_far = F.sum(swap).over(blocks.rowsBetween(Window.unboundedPreceding, 0))
-    end = end.withColumn("so_far", so_far)
-    known = F.when(~F.col("kept"), F.struct("after", "so_far"))
-    end = end.withColumn("known", F.last(known, ignorenulls=True).over(blocks))
-    turned = (F.col("so_far") - F.coalesce("known.so_far", F.lit(0))) % 2 == 1
-    end = end.withColumn("leaves", F.coalesce("known.after", F.lit(False)) != turned)
-    end = end.withColumn("enters", F.lag("leaves", 1, False).over(blocks))
-    # Records that begin in a block: its lines that begin outside, in the state it is entered with.
-    begun = F.when(F.col("enters"), F.col("sure") + F.col("turned")).otherwise(F.col("outside"))
-    end = end.withColumn("begun", begun)
-    owner = F.last(F.when(F.col("begun") > 0, F.struct("block", "begun")), ignorenulls=True)
-    owner = owner.over(blocks.rowsBetween(Window.unboundedPreceding, -1))
-    last = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("block"))) == 1
-    end = materialize(end.withColumn("owner", owner).withColumn("last", last), "quoted-blocks")
-    open_at_end = end.where("last AND leaves").select("file").first()
-    if open_at_end:
-        raise OpenQuoteError(f"a quoted cell of {open_at_end.file} does not end")
-
-    lines = lines.join(end.select("file", "block", "enters", "owner"), ["file", "block"])
-    flip = F.col("enters") & F.col("follows")
-    lines = lines.withColumn("starts", (F.col("before") != flip) == F.lit(False))
-    ends = (F.col("after") != (F.col("enters") & F.col("kept"))) == F.lit(False)
-    number = F.sum(F.col("starts").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    lines = lines.withColumn("record", number)
-    # A block's first lines may belong to the last record of an earlier one.
-    place = F.when(F.col("record") > 0, F.struct("block", "record")).otherwise(
-        F.struct(F.col("owner.block").alias("block"), F.col("owner.begun").alias("record"))
-    )
-    lines = lines.select(
-        "file", place.alias("place"), "block", "n", "line", (F.col("starts") & ends).alias("whole")
+    spark = lines.sparkSession
+    blocks = materialize(
+        lines.select("file", "block", "opens", "stays").mapInArrow(_effects, _EFFECT), "quoted-blocks"
     )
-    single = lines.where("whole").select("file", "place.*", F.col("line").alias("text"))
-    rows = F.sort_array(F.collect_list(F.struct("block", "n", "line")))
-    joined = lines.where(~F.col("whole")).groupBy("file", "place").agg(rows.alias("rows"))
-    return single.unionByName(
-        joined.select("file", "place.*", F.array_join("rows.line", "\n").alias("text"))
+    order = Window.partitionBy("file").orderBy("block")
+    to_here = order.rowsBetween(Window.unboundedPreceding, 0)
+    swaps = F.sum((F.col("after_out") & ~F.col("after_in")).cast("bigint")).over(to_here)
+    fixed = F.when(F.col("after_out") == F.col("after_in"), F.struct("after_out", "swaps"))
+    blocks = blocks.withColumn("swaps", swaps)
+    blocks = blocks.withColumn("fixed", F.last(fixed, ignorenulls=True).over(to_here))
+    turned = (F.col("swaps") - F.coalesce("fixed.swaps", F.lit(0))) % 2 == 1
+    blocks = blocks.withColumn("leaves", F.coalesce("fixed.after_out", F.lit(False)) != turned)
+    blocks = blocks.withColumn("enters", F.lag("leaves", 1, False).over(order))
+    blocks = blocks.withColumn("begun", F.when(F.col("enters"), F.col("begun_in")).otherwise(F.col("begun_out")))
+    begins = F.when(F.col("begun") > 0, F.struct("block", "begun"))
+    owner = F.last(begins, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.lead("block").over(order).isNull()
+    blocks = materialize(blocks.withColumn("owner", owner).withColumn("last", last), "quoted-blocks")
+    unclosed = blocks.where("last AND leaves").select("file").first()
+    if unclosed:
+        raise OpenQuoteError("a file ends inside a quoted cell")
+    entered = {
+        (r.file, r.block): (r.owner.block, r.owner.begun)
+        for r in blocks.where("enters").select("file", "block", "owner").toLocalIterator()
+    }
+    pieces = lines.mapInArrow(_pieces(spark.sparkContext.broadcast(entered)), _PIECES)
+    pieces = materialize(pieces, "record-pieces")
+    parts = F.sort_array(F.collect_list(F.struct("part", "text")))
+    joined = pieces.where("NOT whole").groupBy("file", "block", "record").agg(parts.alias("parts"))
+    return pieces.where("whole").select("file", "block", "record", "text").unionByName(
+        joined.select("file", "block", "record", F.array_join("parts.text", "\n").alias("text"))
     )
 
 
@@ -145,14 +216,17 @@ def read_delimited(
     lines = _quoted_lines(spark, path, separator)
     broken = lines.where("opens").select("file").limit(1).collect()
     if broken and not multi_line:
-        raise OpenQuoteError(f"a line of {broken[0].file} ends inside a quoted cell")
+        raise OpenQuoteError(f"a line in {path} ends inside a quoted cell")
     if not broken:
         raw = spark.read.csv(path, header=True, sep=separator, quote='"', escape='"')
         names = raw.columns
     else:
-        records = materialize(_records(lines), "records")
+        records = _records(lines)
         first = (F.col("block") == 0) & (F.col("record") == 1)
-        names = _header(records.where(first).orderBy("file").select("text").first().text, separator)
+        # The header of the first file by its path, as of Spark's own reader.
+        paths = spark.read.text(path).select(F.col("_metadata.file_path").alias("path")).distinct()
+        heads = records.where(first).join(paths.withColumn("file", F.xxhash64("path")), "file")
+        names = _header(heads.orderBy("path").select("text").first().text, separator)
         cells = ", ".join(f"c{i} string" for i in range(len(names)))
         options = {"sep": separator, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
         raw = records.where(~first).select(F.from_csv("text", cells, options).alias("cells")).select("cells.*")

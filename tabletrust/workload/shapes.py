@@ -77,8 +77,8 @@ CHAT_DOC = """
     f"""
     WITH docs AS (SELECT {CHAT_DOC.replace("STRING", "VARCHAR")} AS doc FROM conversations),
     good AS (SELECT doc FROM docs WHERE json_valid(doc)),
-    nodes AS (SELECT regexp_replace(t.fullkey, '\[[0-9]+\]', '[]', 'g') AS path,
-      regexp_replace(t.path, '\[[0-9]+\]', '[]', 'g') AS parent,
+    nodes AS (SELECT regexp_replace(t.fullkey, '[[][0-9]+[]]', '[]', 'g') AS path,
+      regexp_replace(t.path, '[[][0-9]+[]]', '[]', 'g') AS parent,
       CASE t.type WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'UBIGINT' THEN 'long'
         WHEN 'BIGINT' THEN 'long' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
         WHEN 'OBJECT' THEN 'object' ELSE 'array' END AS kind
