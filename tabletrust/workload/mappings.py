@@ -433,12 +433,12 @@ def csv_breaks(spark, folder):
     """Texts with line breaks and quotes, from files that are read in many splits."""
     path = fresh_path(spark, "texts")
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    docs.repartition(3).write.csv(
+    docs.write.csv(
         path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
     split = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(split)
-    spark.conf.set(split, str(256 << 10))
+    spark.conf.set(split, str(1 << 20))
     try:
         cells = delimited.read_delimited(spark, path)
     finally:
