@@ -19,15 +19,24 @@ from pyspark.sql import functions as F
 
 from tabletrust.llm.text import as_bytes, text_mark
 
-#: Text per chunk, and how many chunks share one range of the key space.
-CHUNK_BYTES, CHUNKS_PER_BUCKET = 4 << 20, 2
+#: Least and most text of a chunk, and text whose keys make one range of the key space. Packed rows
+#: number chunks times ranges; a chunk grows with the square root of the input so that rows stay long.
+#: A task needs some 20 times its chunk, so the most is a matter of executor memory.
+CHUNK_BYTES, MOST_CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20, 8 << 20
+#: Input whose chunks are of the least size.
+LEAST_INPUT = 512 << 20
 #: Keys are compared by their upper 48 bits when they are only counted.
 KEY_BITS = 48
 
 
-def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, math.ceil(total / chunk_bytes))
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def chunk_count(total: int, least: int = CHUNK_BYTES) -> int:
+    """Chunks for `total` bytes of text."""
+    size = min(MOST_CHUNK_BYTES, least * math.sqrt(max(1, total / LEAST_INPUT)))
+    return max(1, math.ceil(total / size))
 
 
 def chunked(docs: DataFrame, n: int) -> DataFrame:
@@ -37,8 +46,9 @@ def chunked(docs: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "chunk")
 
 
-def bucket_count(n_chunks: int) -> int:
-    return max(1, n_chunks // CHUNKS_PER_BUCKET)
+def range_count(total: int, size: int = BUCKET_BYTES) -> int:
+    """Ranges of keys for `total` bytes of text."""
+    return max(1, total // size)
 
 
 def bucket_starts(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -105,13 +115,12 @@ _SHARED = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa
 
 
 def shared_keys(
-    texts: DataFrame, n: int, keys_of: Callable[[list[bytes]], Iterable[np.ndarray]]
+    texts: DataFrame, n_buckets: int, keys_of: Callable[[list[bytes]], Iterable[np.ndarray]]
 ) -> DataFrame:
     """(chunk, keys, counts): of each chunk's keys those that at least two documents have.
 
     `keys_of` gives each document's distinct 64-bit keys. Counts are numbers of documents.
     """
-    n_buckets = bucket_count(n)
 
     def send(rows: pa.Table) -> pa.Table:
         keys = np.sort(short(np.concatenate([*keys_of(texts_of(rows)), np.zeros(0, np.uint64)])))

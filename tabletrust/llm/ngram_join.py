@@ -127,9 +127,10 @@ def ordered_sets(docs: DataFrame, percent: int = PERCENT, marked: bool = False)
     `tokens`, the rarest first, at places `own` and on of the whole set. All four are there for one
     row of each key in a chunk. `marked` adds the text_mark of each row as `mark`.
     """
-    n = chunks.chunk_count(docs)
-    texts = chunks.chunked(docs, n)
-    shared = chunks.shared_keys(texts, n, lambda found: map(shingles, found))
+    total = chunks.text_bytes(docs)
+    texts = chunks.chunked(docs, chunks.chunk_count(total))
+    n_ranges = chunks.range_count(total)
+    shared = chunks.shared_keys(texts, n_ranges, lambda found: map(shingles, found))
     if marked:
         texts = texts.withColumn("mark", text_mark(F.col("text")))
     both = texts.groupBy("chunk").cogroup(shared.groupBy("chunk"))

@@ -8,13 +8,17 @@
    the smallest doc_id that has it, go to the range of their anchor and 13 bytes beside it.
 3. A range builds a run-length index of its segments: a Burrows-Wheeler transform of their suffixes
    in order of the 50 bytes that matter, by doubling of ranks, cut into runs of equal preceding byte.
-   The head of each run is sampled with the smallest document in it. Segments are streamed
-   against the index: the matching statistic of a position is 50 or more exactly if its window's
-   block of runs holds a smaller document, and the smallest sample of the block says which.
+   The head of each run is sampled with the smallest document in it, and only runs, samples and block
+   starts are kept. Segments are streamed against them from their last window to the left: one
+   step maps the block of suffixes that match for 50 bytes over the runs of the preceding byte to the
+   block of the next window. A block's matching statistic in smaller documents is 50 exactly if one
+   of its samples is smaller, and the smallest sample says which.
 4. Each chunk hears its segments' smallest documents, marks the covered bytes and cuts them out.
 
 The order is bounded to 50 bytes because longer matches never change the result. Repetition costs
-little: copies of a segment travel once per chunk, and runs of copies are one sample.
+little: copies of a segment travel once per chunk, and runs of copies are one sample. An anchor in
+more than HOT_DOCS documents may stand between other bytes in each of them, so its windows travel
+singly, each to the range of its own 50 bytes, where a chunk has one entry for it.
 
 Defined results: null and empty texts, and texts of fewer than 50 bytes, lose nothing. Rows that
 share a doc_id do not remove each other's bytes, nor do rows without a doc_id, which count as larger
@@ -42,8 +46,10 @@ WINDOW, ANCHOR = 50, 24
 #: Anchor positions in a window, and bytes beside an anchor that help to name a segment's range.
 SPAN = WINDOW - ANCHOR + 1
 BESIDE = SPAN // 2
-#: Text per chunk, windows handled at once, and ranges of segments per chunk.
-CHUNK_BYTES, BLOCK, RANGES_PER_CHUNK = 4 << 20, 1 << 18, 4
+#: Least text per chunk, windows handled at once, and text per range of segments.
+CHUNK_BYTES, BLOCK, RANGE_BYTES = 4 << 20, 1 << 18, 2 << 20
+#: Documents of an anchor above which its windows travel singly; 1.7 KB of a range each at most.
+HOT_DOCS = 1 << 15
 #: Segments of a range overlap much; packed, they take far less than the shuffle's own compression gets.
 LEVEL = 6
 _LAST = np.iinfo(np.int64).max
@@ -156,21 +162,29 @@ def anchors(texts: list[bytes]) -> Iterator[np.ndarray]:
 class Segments:
     """A chunk's segments with shared anchors: the distinct ones by range, and every occurrence."""
 
-    def __init__(self, texts: list[bytes], doc_ids: np.ndarray, shared: np.ndarray, n_ranges: int):
+    def __init__(
+        self, texts: list[bytes], doc_ids: np.ndarray, shared: np.ndarray, counts: np.ndarray,
+        n_ranges: int, hot_docs: int = HOT_DOCS,
+    ):
         known: dict[bytes, int] = {}
         numbers, starts, owners = [], [], []
         self.ranges: list[int] = []
         for block in blocks(texts):
             keep = np.flatnonzero(found_in(short(block.key), shared))
             data = block.data
-            first, last, anchor = block.first[keep], block.last[keep], block.anchor[keep]
+            hot = counts[np.searchsorted(shared, short(block.key[keep]))] > hot_docs
+            windows = np.where(hot, block.last[keep] - block.first[keep] + 1, 1)
+            keep, hot = np.repeat(keep, windows), np.repeat(hot, windows)
+            first, anchor = block.first[keep] + _ramp(windows), block.anchor[keep]
+            last = np.where(hot, first, block.last[keep])
             side = np.where(first <= anchor - BESIDE, anchor - BESIDE, anchor)
-            for a, b, s in zip(first.tolist(), (last + WINDOW).tolist(), side.tolist()):
+            side, width = np.where(hot, first, side), np.where(hot, WINDOW, ANCHOR + BESIDE)
+            places = (x.tolist() for x in (first, last + WINDOW, side, side + width))
+            for a, b, s, e in zip(*places):
                 segment = data[a:b]
                 number = known.setdefault(segment, len(known))
                 if number == len(self.ranges):
-                    name = xxhash.xxh3_64_intdigest(data[s : s + ANCHOR + BESIDE])
-                    self.ranges.append(name % n_ranges)
+                    self.ranges.append(xxhash.xxh3_64_intdigest(data[s:e]) % n_ranges)
                 numbers.append(number)
             starts.append(first - block.base[keep])
             owners.append(block.text[keep])
@@ -188,12 +202,18 @@ class Segments:
 
 
 class RunIndex:
-    """Run-length index of segments: the smallest document of every 50-byte window in them."""
+    """Run-length index of segments: the smallest document of every 50-byte window in them.
+
+    Suffixes are the places of windows, in order of their 50 bytes; a block holds those of one window.
+    Run r has suffixes `start[r]` and on, all in one block and preceded by one byte, and sample
+    `samples[r]`. An inner suffix is one whose right neighbour is a suffix too; they are what a step to
+    the left leads to, and `inner[k]` of them come before block k.
+    """
 
     def __init__(self, segments: list[bytes], least: np.ndarray):
         sizes = np.array([len(s) for s in segments])
         data = np.frombuffer(b"".join(segments) + bytes(8), np.uint8)
-        counts = sizes - WINDOW + 1
+        self.counts = counts = sizes - WINDOW + 1
         starts = np.repeat(np.cumsum(sizes) - sizes, counts)
         at = starts + _ramp(counts)
         rank = _ranks(_eights(data, ">u8"))
@@ -201,18 +221,43 @@ class RunIndex:
             both = rank[: len(rank) - step].astype(np.uint64) << np.uint64(32)
             both |= rank[step:].astype(np.uint64)
             rank = _ranks(both if step < WINDOW - 32 else both[at])
-        before = np.where(at > starts, data[at - 1], 0)
+        # 0 where no window precedes, else one more than the byte.
+        before = np.where(at > starts, data[at - 1].astype(np.int64) + 1, 0)
         docs = np.repeat(least, counts)
+        ends = np.cumsum(counts) - 1
+        is_inner = np.ones(len(at), bool)
+        is_inner[ends] = False
         suffixes = np.lexsort((docs, before, rank))
-        context, before = rank[suffixes], before[suffixes]
-        new_context = starts_of(context)
-        heads = np.flatnonzero(new_context | starts_of(before))
+        new_block = starts_of(rank[suffixes])
+        heads = np.flatnonzero(new_block | starts_of(before[suffixes]))
         self.samples = docs[suffixes[heads]]
-        blocks = np.flatnonzero(new_context[heads])
-        smallest = np.minimum.reduceat(self.samples, blocks)
         self.n_suffixes, self.n_runs = len(suffixes), len(heads)
-        self.window_docs = smallest[rank]
-        self.counts = counts
+        self.blocks = np.flatnonzero(new_block[heads])
+        self.start = heads
+        found = np.cumsum(is_inner[suffixes]) - is_inner[suffixes]
+        self.inner = found[heads[self.blocks]]
+        # Runs by preceding byte: how many inner suffixes come before those a run leads to.
+        char = before[suffixes[heads]]
+        by_char = np.argsort(char, kind="stable")
+        lengths = np.diff(np.append(heads, len(suffixes)))[by_char]
+        lengths[char[by_char] == 0] = 0
+        self.leads = np.cumsum(lengths) - lengths
+        self.places = char[by_char] * self.n_suffixes + heads[by_char]
+        self.window_docs = self._stream(before, ends, rank[ends].astype(np.int64))
+
+    def _stream(self, before: np.ndarray, ends: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The smallest sample of each window; a segment enters at the block of its last window."""
+        smallest = np.minimum.reduceat(self.samples, self.blocks)
+        out = np.empty(self.n_suffixes, np.int64)
+        counts = self.counts
+        while len(ends):
+            out[ends] = smallest[block]
+            more = counts > 1
+            ends, block, counts = ends[more], block[more], counts[more] - 1
+            place = before[ends] * self.n_suffixes + self.start[self.blocks[block]]
+            lead = self.leads[np.searchsorted(self.places, place)]
+            block, ends = np.searchsorted(self.inner, lead, side="right") - 1, ends - 1
+        return out
 
 
 def _ranks(values: np.ndarray) -> np.ndarray:
@@ -241,14 +286,14 @@ def _ids(rows: pa.Table) -> np.ndarray:
     return np.array([_LAST if x is None else x for x in rows.column("doc_id").to_pylist()], np.int64)
 
 
-def _ask(n_ranges: int):
+def _ask(n_ranges: int, hot_docs: int = HOT_DOCS):
     """Chunk to ranges: its distinct segments with their smallest documents."""
 
     def ask(rows: pa.Table, shared: pa.Table) -> pa.Table:
-        keys, _ = chunks.known_keys(shared)
+        keys, counts = chunks.known_keys(shared)
         if not rows.num_rows or not len(keys):
             return _ASKED.empty_table()
-        found = Segments(texts_of(rows), _ids(rows), keys, n_ranges)
+        found = Segments(texts_of(rows), _ids(rows), keys, counts, n_ranges, hot_docs)
         ranges = np.array(found.ranges, np.int64)[found.order]
         chunk, out = rows.column("chunk")[0].as_py(), []
         cuts = np.flatnonzero(starts_of(ranges)).tolist()
@@ -302,19 +347,19 @@ def _tell(rows: pa.Table) -> pa.Table:
     return table_of(out, _TOLD)
 
 
-def _cut(n_ranges: int):
+def _cut(n_ranges: int, hot_docs: int = HOT_DOCS):
     """Chunk, shared keys and answers to results."""
 
     def cut(rows: pa.Table, heard: pa.Table) -> pa.Table:
         texts, doc_ids = texts_of(rows), _ids(rows)
         is_key = heard.column("keys").is_valid()
-        keys, _ = chunks.known_keys(heard.filter(is_key))
+        keys, counts = chunks.known_keys(heard.filter(is_key))
         told = heard.filter(heard.column("runs").is_valid()).sort_by("range")
         sizes = np.array([len(t) for t in texts], np.int64)
         base = np.cumsum(sizes + 1) - (sizes + 1)
         edges = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
         if told.num_rows:
-            found = Segments(texts, doc_ids, keys, n_ranges)
+            found = Segments(texts, doc_ids, keys, counts, n_ranges, hot_docs)
             joined = (
                 np.concatenate([np.frombuffer(x, kind) for x in told.column(c).to_pylist()])
                 for c, kind in (("runs", np.uint8), ("starts", np.uint8), ("docs", np.int64))
@@ -351,19 +396,23 @@ def _cut(n_ranges: int):
     return cut
 
 
-def repeated_spans(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES,
+    hot_docs: int = HOT_DOCS,
+) -> DataFrame:
     """doc_id, n_bytes, starts, ends (maximal removed byte runs) and kept (binary) of every row."""
-    n = chunks.chunk_count(docs, chunk_bytes)
-    texts = chunks.chunked(docs, n)
-    shared = materialize(chunks.shared_keys(texts, n, anchors), "shared-anchors")
-    n_ranges = n * RANGES_PER_CHUNK
+    total = chunks.text_bytes(docs)
+    texts = chunks.chunked(docs, chunks.chunk_count(total, chunk_bytes))
+    found = chunks.shared_keys(texts, chunks.range_count(total, 2 * chunk_bytes), anchors)
+    shared = materialize(found, "shared-anchors")
+    n_ranges = chunks.range_count(total, range_bytes)
     asked = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
-        _ask(n_ranges), sql_type(_ASKED)
+        _ask(n_ranges, hot_docs), sql_type(_ASKED)
     )
     told = asked.groupBy("range").applyInArrow(_tell, sql_type(_TOLD))
     heard = told.unionByName(shared, allowMissingColumns=True)
     both = texts.groupBy("chunk").cogroup(heard.groupBy("chunk"))
-    return both.applyInArrow(_cut(n_ranges), sql_type(_LEFT))
+    return both.applyInArrow(_cut(n_ranges, hot_docs), sql_type(_LEFT))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -84,6 +84,55 @@ def test_suffix_over_many_chunks(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string")
     whole = odd.plain(suffix_dedup.repeated_spans(frame))
     assert odd.plain(suffix_dedup.repeated_spans(frame, chunk_bytes=2_000)) == whole
+    small = suffix_dedup.repeated_spans(frame, chunk_bytes=2_000, range_bytes=500, hot_docs=1)
+    assert odd.plain(small) == whole
+
+
+def test_a_hot_anchor_is_spread_over_ranges():
+    import numpy as np
+    import pyarrow as pa
+
+    from tabletrust.llm import chunks
+
+    r = random.Random(5)
+
+    def noise():
+        return "".join(r.choice("abcdefghij ") for _ in range(30))
+
+    line = "This boilerplate line is forty-five bytes ok."
+    texts = [(i, noise() + line + noise()) for i in range(400)]
+    rows = pa.table(
+        {"chunk": pa.array([0] * 400, pa.int32()), "doc_id": [i for i, _ in texts], "text": [t for _, t in texts]}
+    )
+    keys = np.sort(chunks.short(np.concatenate(list(suffix_dedup.anchors(chunks.texts_of(rows))))))
+    keys, counts = np.unique(keys, return_counts=True)
+    keys, counts = keys[counts > 1], counts[counts > 1]
+    shared = chunks.table_of(
+        [(0, chunks.pack(keys), counts.astype(np.uint32).tobytes())], chunks._SHARED
+    )
+
+    def largest(hot_docs):
+        asked = suffix_dedup._ask(4096, hot_docs)(rows, shared).to_pylist()
+        return max(len(a["docs"]) for a in asked) / sum(len(a["docs"]) for a in asked)
+
+    assert largest(100) < 0.01 < largest(10**6)
+    told = suffix_dedup._ask(4096, 100)(rows, shared)
+    told = [suffix_dedup._tell(told.slice(i, 1)) for i in range(told.num_rows)]
+    heard = pa.concat_tables([*told, shared], promote_options="default")
+    got = suffix_dedup._cut(4096, 100)(rows, heard).to_pylist()
+    removed = sorted((x["doc_id"], sum(x["ends"]) - sum(x["starts"])) for x in got)
+    assert removed == sorted((x[0], x[2]) for x in brute.suffix(texts))
+
+
+def test_chunks_grow_with_the_root_of_the_input():
+    from tabletrust.llm import chunks
+
+    base = chunks.LEAST_INPUT
+    assert chunks.chunk_count(0) == 1
+    assert chunks.chunk_count(base) == base // chunks.CHUNK_BYTES
+    assert chunks.chunk_count(100 * base) == 10 * chunks.chunk_count(base)
+    most = 10**6 * base / chunks.chunk_count(10**6 * base)
+    assert most <= chunks.MOST_CHUNK_BYTES
 
 
 def test_suffix_odd_rows(docs, nothing):
@@ -143,6 +192,24 @@ def test_run_index_compresses_repetition():
     assert index.window_docs.reshape(20, -1)[:, 5:].max() == 0
 
 
+def test_run_index_streams_every_window_to_its_smallest_document():
+    import numpy as np
+
+    r = random.Random(4)
+    for letters, longest in ((b"a", 80), (b"ab", 76), (bytes([0, 255, 97]), 120)):
+        pool = bytes(r.choice(letters) for _ in range(300))
+        cuts = [(r.randrange(0, 180), r.randrange(50, longest)) for _ in range(150)]
+        segments = sorted({pool[a : a + n] for a, n in cuts})
+        r.shuffle(segments)
+        least = np.array([r.randrange(1000) for _ in segments])
+        index = suffix_dedup.RunIndex(segments, least)
+        windows = [(s[i : i + 50], d) for s, d in zip(segments, least.tolist()) for i in range(len(s) - 49)]
+        smallest = {}
+        for w, d in windows:
+            smallest[w] = min(d, smallest.get(w, d))
+        assert index.window_docs.tolist() == [smallest[w] for w, _ in windows]
+
+
 # Decontamination
 
 ITEMS = [
@@ -261,6 +328,7 @@ def test_components_over_many_chunks(spark, monkeypatch):
     rows = mixed(13, 120)
     monkeypatch.setattr(ngram_join.chunks, "CHUNK_BYTES", 3_000)
     monkeypatch.setattr(ngram_join.chunks.chunk_count, "__defaults__", (3_000,))
+    monkeypatch.setattr(ngram_join.chunks.range_count, "__defaults__", (6_000,))
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     same(ngram_join.document_components(frame), brute.components(rows))
 
