@@ -28,6 +28,7 @@ binary. Extra columns are ignored. Empty tables give empty tables.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -166,9 +167,10 @@ class Segments:
         self, texts: list[bytes], doc_ids: np.ndarray, shared: np.ndarray, counts: np.ndarray,
         n_ranges: int, hot_docs: int = HOT_DOCS,
     ):
-        known: dict[bytes, int] = {}
-        numbers, starts, owners = [], [], []
-        self.ranges: list[int] = []
+        # A new segment gets the next number.
+        known: defaultdict[bytes, int] = defaultdict()
+        known.default_factory = known.__len__
+        numbers, starts, owners, names = [], [], [], []
         for block in blocks(texts):
             keep = np.flatnonzero(found_in(short(block.key), shared))
             data = block.data
@@ -179,17 +181,21 @@ class Segments:
             last = np.where(hot, first, block.last[keep])
             side = np.where(first <= anchor - BESIDE, anchor - BESIDE, anchor)
             side, width = np.where(hot, first, side), np.where(hot, WINDOW, ANCHOR + BESIDE)
-            places = (x.tolist() for x in (first, last + WINDOW, side, side + width))
-            for a, b, s, e in zip(*places):
-                segment = data[a:b]
-                number = known.setdefault(segment, len(known))
-                if number == len(self.ranges):
-                    self.ranges.append(xxhash.xxh3_64_intdigest(data[s:e]) % n_ranges)
-                numbers.append(number)
+            before = len(known)
+            cuts = map(slice, first.tolist(), (last + WINDOW).tolist())
+            own = np.fromiter(map(known.__getitem__, map(data.__getitem__, cuts)), np.int64, len(keep))
+            highest = np.maximum.accumulate(np.append(before - 1, own))[:-1]
+            new = np.flatnonzero(own > highest)
+            cuts = map(slice, side[new].tolist(), (side + width)[new].tolist())
+            hashes = map(xxhash.xxh3_64_intdigest, map(data.__getitem__, cuts))
+            names.append(np.fromiter(hashes, np.uint64, len(new)))
+            numbers.append(own)
             starts.append(first - block.base[keep])
             owners.append(block.text[keep])
         self.segments = list(known)
-        self.number = np.array(numbers, np.int64)
+        names = np.concatenate([np.zeros(0, np.uint64), *names])
+        self.ranges = (names % np.uint64(n_ranges)).astype(np.int64)
+        self.number = np.concatenate([np.zeros(0, np.int64), *numbers])
         self.start = np.concatenate([np.zeros(0, np.int64), *starts])
         self.owner = np.concatenate([np.zeros(0, np.int64), *owners])
         self.least = np.full(len(known), _LAST)
@@ -197,8 +203,7 @@ class Segments:
         #: Segment numbers by range and bytes. Answers are told in this order, and a shuffle may bring
         #: a chunk's rows in another order each time, so it must not depend on theirs.
         by_bytes = np.array(sorted(range(len(known)), key=self.segments.__getitem__), np.int64)
-        ranges = np.array(self.ranges, np.int64)[by_bytes]
-        self.order = by_bytes[np.argsort(ranges, kind="stable")]
+        self.order = by_bytes[np.argsort(self.ranges[by_bytes], kind="stable")]
 
 
 class RunIndex:
@@ -227,10 +232,10 @@ class RunIndex:
         ends = np.cumsum(counts) - 1
         is_inner = np.ones(len(at), bool)
         is_inner[ends] = False
-        suffixes = np.lexsort((docs, before, rank))
+        suffixes = np.argsort(rank.astype(np.uint64) << np.uint64(9) | before.astype(np.uint64))
         new_block = starts_of(rank[suffixes])
         heads = np.flatnonzero(new_block | starts_of(before[suffixes]))
-        self.samples = docs[suffixes[heads]]
+        self.samples = np.minimum.reduceat(docs[suffixes], heads)
         self.n_suffixes, self.n_runs = len(suffixes), len(heads)
         self.blocks = np.flatnonzero(new_block[heads])
         self.start = heads
@@ -262,7 +267,7 @@ class RunIndex:
 
 def _ranks(values: np.ndarray) -> np.ndarray:
     """The place of each value among the distinct values."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     ranks = np.empty(len(values), np.uint32)
     ranks[order] = np.cumsum(starts_of(values[order]), dtype=np.uint32) - 1
     return ranks
@@ -294,7 +299,7 @@ def _ask(n_ranges: int, hot_docs: int = HOT_DOCS):
         if not rows.num_rows or not len(keys):
             return _ASKED.empty_table()
         found = Segments(texts_of(rows), _ids(rows), keys, counts, n_ranges, hot_docs)
-        ranges = np.array(found.ranges, np.int64)[found.order]
+        ranges = found.ranges[found.order]
         chunk, out = rows.column("chunk")[0].as_py(), []
         cuts = np.flatnonzero(starts_of(ranges)).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(ranges)]):
@@ -312,23 +317,20 @@ def _ask(n_ranges: int, hot_docs: int = HOT_DOCS):
 
 def _tell(rows: pa.Table) -> pa.Table:
     """Range to chunks: per segment, runs of windows with one smallest document."""
-    index: dict[bytes, int] = {}
-    least: list[int] = []
-    numbers = []
+    index: defaultdict[bytes, int] = defaultdict()
+    index.default_factory = index.__len__
+    numbers, ids = [], []
     columns = (rows.column(c).to_pylist() for c in ("bytes", "sizes", "docs"))
     for data, sizes, docs in zip(*columns):
-        own, at, data = [], 0, zstandard.decompress(data)
-        docs = np.frombuffer(docs, np.int64).tolist()
-        for size, doc in zip(np.frombuffer(sizes, np.uint16).tolist(), docs):
-            number = index.setdefault(data[at : at + size], len(index))
-            at += size
-            if number == len(least):
-                least.append(doc)
-            elif doc < least[number]:
-                least[number] = doc
-            own.append(number)
-        numbers.append(np.array(own, np.int64))
-    runs = RunIndex(list(index), np.array(least, np.int64))
+        data = zstandard.decompress(data)
+        ends = np.cumsum(np.frombuffer(sizes, np.uint16), dtype=np.int64)
+        cuts = map(slice, np.append(0, ends[:-1]).tolist(), ends.tolist())
+        own = map(index.__getitem__, map(data.__getitem__, cuts))
+        numbers.append(np.fromiter(own, np.int64, len(ends)))
+        ids.append(np.frombuffer(docs, np.int64))
+    least = np.full(len(index), _LAST)
+    np.minimum.at(least, np.concatenate(numbers), np.concatenate(ids))
+    runs = RunIndex(list(index), least)
     begins = np.cumsum(runs.counts) - runs.counts
     first = np.zeros(len(runs.window_docs), bool)
     first[begins] = True
