@@ -138,6 +138,31 @@ def catalog_from_information_schema(
     return cols, keys, fks
 
 
+def indexes_from_statistics(statistics: DataFrame) -> DataFrame:
+    """Indexes as in Catalog.indexes, from one row per index and column read over JDBC.
+
+    `statistics`: table_name, index_name, seq_in_index, column_name, non_unique (0 or 1). Index names
+    need only be unique within a table.
+    """
+    part = F.struct("seq_in_index", "column_name")
+    columns = F.transform(F.array_sort(F.collect_list(part)), lambda p: p["column_name"])
+    return statistics.groupBy(
+        F.col("table_name").alias("table"), F.col("index_name").alias("index")
+    ).agg(columns.alias("columns"), (F.max("non_unique") == 0).alias("unique"))
+
+
+def with_schema_names(view: DataFrame, home: str) -> DataFrame:
+    """An `information_schema` view whose table names carry their schema, but for schema `home`.
+
+    Tables of one name in two schemas stay apart. A constraint's name is only unique in its schema, so
+    it gets the schema too.
+    """
+    away = F.col("table_schema") != home
+    names = [c for c in ("table_name", "constraint_name") if c in view.columns]
+    full = {n: F.when(away, F.concat("table_schema", F.lit("."), n)).otherwise(F.col(n)) for n in names}
+    return view.withColumns(full).drop("table_schema")
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows of every table, one counting scan each (no column is read), in one job."""
     counts = [

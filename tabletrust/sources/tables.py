@@ -34,6 +34,23 @@ def rows_by_key(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return df.join(wanted, key, "left_semi")
 
 
+def hash_slices(expression: str, parts: int) -> list[str]:
+    """Predicates that put every row into exactly one of `parts` slices.
+
+    `expression` is a number in the database's own SQL; rows where it is null are in slice 0.
+    """
+    return [f"ABS(MOD(COALESCE({expression}, 0), {parts})) = {i}" for i in range(parts)]
+
+
+def slice_sizes(df: DataFrame, predicates: list[str], sums: list[str]) -> DataFrame:
+    """Per slice its rows and the sums of some columns, all in one scan: shows gaps, overlaps and skew."""
+    slices = F.array(*(F.when(F.expr(p), F.lit(i)) for i, p in enumerate(predicates)))
+    rows = df.select(F.explode(F.array_compact(slices)).alias("slice"), *sums)
+    return rows.groupBy("slice").agg(
+        F.count(F.lit(1)).alias("rows"), *(F.sum(c).alias(f"{c}_sum") for c in sums)
+    )
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
@@ -50,7 +67,7 @@ def read_jdbc(
     split by `hash_expression`, an integer expression in the database's own SQL.
     """
     if hash_expression and not key:
-        predicates = [f"MOD(ABS({hash_expression}), {partitions}) = {i}" for i in range(partitions)]
+        predicates = hash_slices(hash_expression, partitions)
         return spark.read.jdbc(url, table, predicates=predicates, properties=options)
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
     if key and bounds:

@@ -343,15 +343,36 @@ PREVIEW_SQL = _facts_sql(
 )
 
 
-@query("preview_diff", PREVIEW_SQL)
-def preview_diff(spark, folder):
-    rows = report.preview_diff(_facts(spark, folder)[0])
+def _preview(rows: DataFrame) -> DataFrame:
     return rows.select(
         "table", "column", "declared_type", "nullable", "inferred_type", "not_null_in_practice",
         F.coalesce("pii_type", F.lit("-")).alias("pii_type"), "recommendation", "differs", "confidence",
     )
 
 
+@query("preview_diff", PREVIEW_SQL)
+def preview_diff(spark, folder):
+    return _preview(report.preview_diff(_facts(spark, folder)[0]))
+
+
+@query(
+    "preview_diff_planned",
+    f"""
+    SELECT * REPLACE (CASE WHEN "table" = 'labels' THEN recommendation ELSE CASE declared_type
+      WHEN 'BIGINT' THEN 'BIGINT' WHEN 'INT' THEN 'INTEGER' WHEN 'DOUBLE' THEN 'DOUBLE PRECISION'
+      WHEN 'BOOLEAN' THEN 'BOOLEAN' ELSE 'TEXT' END END AS recommendation)
+    FROM ({PREVIEW_SQL})
+    """,
+)
+def preview_diff_planned(spark, folder):
+    """The plan's target types are the advice; the labels are not in the plan and keep their own."""
+    data = tables(spark, folder, *REPORTED)
+    profile = profile_dataset(data, SAYS, samples=False)
+    columns = read_catalog(spark, data, SAYS).columns
+    plan = mapping_plan(columns, profile, "mysql", "postgres", skip=("labels",))
+    return _preview(report.preview_diff(report.column_facts(profile, columns), plan))
+
+
 # --- plans over the profile ----------------------------------------------------------------
 
 @query(

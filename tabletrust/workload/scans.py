@@ -98,6 +98,21 @@ def no_key_scan(spark, folder):
     )
 
 
+@query(
+    "no_key_slices",
+    """
+    SELECT slice, count(*) AS "rows", CAST(sum(l_orderkey) AS BIGINT) AS l_orderkey_sum
+    FROM (SELECT l_orderkey, CASE WHEN l_partkey = l_suppkey THEN 0
+      ELSE CAST(abs(l_partkey - l_suppkey) % 8 AS INTEGER) END AS slice FROM lineitem)
+    GROUP BY slice
+    """,
+)
+def no_key_slices(spark, folder):
+    """The slices in which a table without a key is read over JDBC hold each row once."""
+    slices = reading.hash_slices("NULLIF(l_partkey - l_suppkey, 0)", 8)
+    return reading.slice_sizes(table(spark, folder, "lineitem"), slices, ["l_orderkey"])
+
+
 @query(
     "key_lookup",
     """

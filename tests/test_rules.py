@@ -11,8 +11,11 @@ from tabletrust.sources.catalog import (
     Declared,
     catalog_from_information_schema,
     document_census,
+    indexes_from_statistics,
     read_catalog,
+    with_schema_names,
 )
+from tabletrust.sources.tables import hash_slices, slice_sizes
 
 USERS = [(1, "a@x.com", 30, "2020-01-01"), (2, "a@x.com", -1, "0000-00-00"), (3, "", 41, "2021-06-01"),
          (4, "d@x.com", -1, "1970-01-01")]
@@ -348,6 +351,24 @@ def test_unreadable_monitor_keeps_its_score(spark):
 # --- catalogs ------------------------------------------------------------------------------
 
 
+def test_indexes_and_schema_names_of_a_database(spark):
+    rows = [
+        ("app", "o", "by_user", 2, "at", 1), ("app", "o", "by_user", 1, "u", 1), ("app", "o", "one", 1, "id", 0),
+        ("old", "o", "one", 1, "code", 0),
+    ]
+    schema = "table_schema string, table_name string, index_name string, seq_in_index int, column_name string, non_unique int"
+    found = indexes_from_statistics(with_schema_names(spark.createDataFrame(rows, schema), "app"))
+    assert {(r["table"], r["index"], tuple(r["columns"]), r["unique"]) for r in found.collect()} == {
+        ("o", "by_user", ("u", "at"), False), ("o", "one", ("id",), True), ("old.o", "one", ("code",), True),
+    }
+
+
+def test_hash_slices_hold_each_row_once(spark):
+    rows = spark.createDataFrame([(k,) for k in (-7, -1, 0, 1, 8, 9, None, None)], "k int")
+    got = slice_sizes(rows, hash_slices("k", 4), ["k"])
+    assert {r["slice"]: r["rows"] for r in got.collect()} == {0: 4, 1: 3, 3: 1}
+
+
 def test_information_schema(spark):
     columns = spark.createDataFrame(
         [("o", "id", 1, "int", "NO", None), ("o", "u", 2, "int", "YES", None), ("u", "id", 1, "int", "NO", "0")],
