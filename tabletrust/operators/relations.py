@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,13 @@ CANDIDATE_SCHEMA = (
 )
 
 
+#: The type in which the values of a class are counted, and bytes of rows that a task counts at once.
+VALUE_TYPES, COUNTED_BYTES = {"integer": "bigint", "string": "string"}, 64 << 20
+_COUNTED = pa.schema(
+    [("child", pa.int32()), ("integer", pa.int64()), ("string", pa.string()), ("n", pa.int64())]
+)
+
+
 def _class(dtype: T.DataType) -> str | None:
     """Only values of one class can be equal: 1 and '1' are different."""
     if isinstance(dtype, INTEGRAL):
@@ -39,7 +48,7 @@ def reference_matches(
     """Every (undeclared column, other table's key) pair with the share of rows that match.
 
     Column values are first reduced to (value, count), keys to (value, tables holding it); both
-    meet on the value in one grouping. A value that fills a third of a column is one row by
+    meet on the value in one grouping. Each table is scanned once. A value that fills a third of a column is one row by
     then, and a group holds at most one entry per candidate column and per table. The rows of a column
     are summed for each set of tables that hold a value, and only these few sums are dealt out to the
     tables: columns of dense numbers meet many tables in every value, but in few different sets.
@@ -58,21 +67,15 @@ def reference_matches(
             if f.name.lower().endswith(suffixes) and f.name not in known:
                 children.append((table, f.name, cls))
 
-    def values(columns: list[tuple], tag: str) -> DataFrame:
-        """(cls, value, number) of all these columns; each table is scanned once."""
-        frames = []
-        for table in dict.fromkeys(t for t, _, _ in columns):
-            each = [
-                F.struct(F.lit(cls).alias("cls"), F.col(f"`{c}`").cast("string").alias("value"),
-                         F.lit(i).alias(tag))
-                for i, (t, c, cls) in enumerate(columns) if t == table
-            ]
-            frames.append(tables[table].select(F.inline(F.array(*each))).where("value IS NOT NULL"))
-        empty = spark.createDataFrame([], f"cls string, value string, {tag} int")
-        return reduce(DataFrame.unionAll, frames, empty)
-
-    held, used = values(parents, "parent"), values(children, "child")
-    used = used.groupBy("cls", "value", "child").agg(F.count(F.lit(1)).alias("n"))
+    held = spark.createDataFrame([], "cls string, value string, parent int")
+    for j, (table, c, cls) in enumerate(parents):
+        value = F.col(f"`{c}`").cast("string")
+        own = tables[table].select(F.lit(cls).alias("cls"), value.alias("value"), F.lit(j).alias("parent"))
+        held = held.unionAll(own.where("value IS NOT NULL"))
+    used = spark.createDataFrame([], "cls string, value string, child int, n bigint")
+    for table in dict.fromkeys(t for t, _, _ in children):
+        own = [(i, c, cls) for i, (t, c, cls) in enumerate(children) if t == table]
+        used = used.unionAll(value_counts(tables[table], own))
     nothing = F.lit(None).cast("int")
     met = (
         used.select("cls", "value", F.struct("child", "n").alias("use"), nothing.alias("parent"))
@@ -116,6 +119,47 @@ def reference_matches(
     )
 
 
+def value_counts(df: DataFrame, columns: list[tuple[int, str, str]]) -> DataFrame:
+    """(cls, value, child, n): the distinct values of columns (number, name, class), with their rows.
+
+    Tasks count some rows of a column at once, before each value is a row of its own. Values keep
+    their type until all are counted, so a number becomes text once and not in every row.
+    """
+    cells = [F.col(f"`{c}`").cast(VALUE_TYPES[cls]).alias(f"v{k}") for k, (_, c, cls) in enumerate(columns)]
+    numbers, classes = [i for i, _, _ in columns], [cls for _, _, cls in columns]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= COUNTED_BYTES:
+                yield from counts(held)
+                held, size = [], 0
+        if held:
+            yield from counts(held)
+
+    def counts(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        rows, parts = pa.Table.from_batches(held), []
+        for child, cls, column in zip(numbers, classes, rows.columns):
+            found = column.value_counts()
+            values = {cls: found.field("values"), "n": found.field("counts")}
+            child = pa.array([child], pa.int32()).take(pa.array(np.zeros(len(found), np.int32)))
+            empty = pa.nulls(len(found))
+            own = [values.get(f.name, empty).cast(f.type) for f in _COUNTED if f.name != "child"]
+            parts.append(pa.table([child, *own], schema=_COUNTED))
+        return pa.concat_tables(parts).combine_chunks().to_batches()
+
+    counted = df.select(*cells).mapInArrow(tally, "child int, integer bigint, string string, n bigint")
+    total = (
+        counted.where("integer IS NOT NULL OR string IS NOT NULL")
+        .groupBy("child", "integer", "string").agg(F.sum("n").alias("n"))
+    )
+    cls = F.when(F.col("integer").isNotNull(), "integer").otherwise("string")
+    value = F.coalesce(F.col("integer").cast("string"), "string")
+    return total.select(cls.alias("cls"), value.alias("value"), "child", "n")
+
+
 def _without_suffix(name: str, suffixes: tuple[str, ...]) -> str:
     low = name.lower()
     return next((low[: -len(s)] for s in suffixes if low.endswith(s)), low)

@@ -88,3 +88,21 @@ def test_references_of_dense_columns(spark):
     for r in got:
         values = [v for row in rows if (v := row[r["column"]]) is not None]
         assert (r["rows"], r["total"]) == (sum(v in held[r["ref_table"]] for v in values), len(values))
+
+
+def test_values_are_counted_before_they_are_rows(spark, monkeypatch):
+    """Many rows of many columns leave a task as a few counts, in whatever steps it counts them."""
+    df = spark.sql(
+        "SELECT CAST(id % 3 AS INT) AS a_id, IF(id % 2 = 0, NULL, CAST(id % 4 AS STRING)) AS b_id, "
+        "id % 5 AS c_id, CAST(NULL AS STRING) AS d_id FROM range(0, 3000, 1, 2)"
+    )
+    columns = [(4, "a_id", "integer"), (7, "b_id", "string"), (9, "c_id", "integer"), (11, "d_id", "string")]
+    want = {("integer", str(v), 4, 1000) for v in range(3)}
+    want |= {("string", str(v), 7, 750) for v in (1, 3)}
+    want |= {("integer", str(v), 9, 600) for v in range(5)}
+    for step in (relations.COUNTED_BYTES, 1):
+        monkeypatch.setattr(relations, "COUNTED_BYTES", step)
+        found = relations.value_counts(df, columns)
+        assert "MapInArrow" in found._jdf.queryExecution().toString()
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert relations.value_counts(df.limit(0), columns).isEmpty()
