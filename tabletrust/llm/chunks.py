@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletrust.llm.text import as_bytes, text_mark
+from tabletrust.llm.text import as_bytes, gives_back, text_mark
 
 #: Least and most text of a chunk, and text whose keys make one range of the key space. Packed rows
 #: number chunks times ranges; a chunk grows with the square root of the input so that rows stay long.
@@ -136,8 +136,8 @@ def shared_keys(
             out.append((b, chunk, pack(own), more.tobytes(), many[more].astype(np.uint32).tobytes()))
         return table_of(out, _SENT)
 
-    sent = texts.groupBy("chunk").applyInArrow(send, sql_type(_SENT))
-    return sent.groupBy("bucket").applyInArrow(_answer, sql_type(_SHARED))
+    sent = texts.groupBy("chunk").applyInArrow(gives_back(send), sql_type(_SENT))
+    return sent.groupBy("bucket").applyInArrow(gives_back(_answer), sql_type(_SHARED))
 
 
 def _answer(rows: pa.Table) -> pa.Table:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tabletrust.llm import chunks
 from tabletrust.llm.chunks import distinct, short, sql_type, table_of, texts_of
-from tabletrust.llm.text import text_mark
+from tabletrust.llm.text import gives_back, text_mark
 from tabletrust.operators.skew import join_by_key
 from tabletrust.session import materialize
 
@@ -134,7 +134,8 @@ def ordered_sets(docs: DataFrame, percent: int = PERCENT, marked: bool = False)
     if marked:
         texts = texts.withColumn("mark", text_mark(F.col("text")))
     both = texts.groupBy("chunk").cogroup(shared.groupBy("chunk"))
-    return both.applyInArrow(_order(percent), sql_type(_SETS.append(_MARK) if marked else _SETS))
+    schema = sql_type(_SETS.append(_MARK) if marked else _SETS)
+    return both.applyInArrow(gives_back(_order(percent)), schema)
 
 
 def trie_links(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,7 +39,10 @@ def text_mark(text: Column) -> Column:
 def small_batches(
     batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20
 ) -> Iterator[pa.RecordBatch]:
-    """The batches cut into pieces of about `most` bytes of text; a longer text stands alone."""
+    """The batches cut into pieces of about `most` bytes of text; a longer text stands alone.
+
+    After the last piece, what the task used goes back to the system.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -50,6 +54,27 @@ def small_batches(
                 start, held = i, 0
             held += size
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory to the system. Python workers outlive their tasks, and would keep the most
+    that any of them used while the tasks of other stages need room beside them."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def gives_back(f: Callable) -> Callable:
+    """`f`, a function of one or two tables of a group, with `give_back` after each group."""
+
+    def done(out: pa.Table) -> pa.Table:
+        give_back()
+        return out
+
+    if f.__code__.co_argcount == 1:
+        return lambda rows: done(f(rows))
+    return lambda rows, others: done(f(rows, others))
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:
