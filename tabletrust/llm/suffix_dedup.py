@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from tabletrust.llm import chunks
 from tabletrust.llm.chunks import found_in, short, sql_type, starts_of, table_of, texts_of
+from tabletrust.llm.text import gives_back
 from tabletrust.session import materialize
 
 WINDOW, ANCHOR = 50, 24
@@ -81,16 +82,18 @@ def _eights(data: np.ndarray, order: str = "<u8") -> np.ndarray:
 
 
 def _smallest(h: np.ndarray) -> np.ndarray:
-    """For each window, the position of the leftmost smallest of its SPAN hashes."""
-    value, place, width = h, np.arange(len(h), dtype=np.int32), 1
+    """For each window, the position of the leftmost smallest of its SPAN hashes.
+
+    Hashes are compared by their upper bits; the position is below them in the same number. The bits
+    are the same in every block, for equal windows must choose equal anchors.
+    """
+    bits = np.uint64((2 * BLOCK + WINDOW).bit_length())
+    value, width = h >> bits << bits | np.arange(len(h), dtype=np.uint64), 1
     while width < SPAN:
         step = min(width, SPAN - width)
-        a, b = value[:-step], value[step:]
-        left = a <= b
-        value = np.where(left, a, b)
-        place = np.where(left, place[:-step], place[step:])
+        value = np.minimum(value[:-step], value[step:])
         width += step
-    return place
+    return (value & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def blocks(texts: list[bytes]) -> Iterator[Block]:
@@ -221,18 +224,14 @@ class RunIndex:
         self.counts = counts = sizes - WINDOW + 1
         starts = np.repeat(np.cumsum(sizes) - sizes, counts)
         at = starts + _ramp(counts)
-        rank = _ranks(_eights(data, ">u8"))
-        for step in (8, 16, WINDOW - 32):
-            both = rank[: len(rank) - step].astype(np.uint64) << np.uint64(32)
-            both |= rank[step:].astype(np.uint64)
-            rank = _ranks(both if step < WINDOW - 32 else both[at])
         # 0 where no window precedes, else one more than the byte.
         before = np.where(at > starts, data[at - 1].astype(np.int64) + 1, 0)
         docs = np.repeat(least, counts)
         ends = np.cumsum(counts) - 1
         is_inner = np.ones(len(at), bool)
         is_inner[ends] = False
-        suffixes = np.argsort(rank.astype(np.uint64) << np.uint64(9) | before.astype(np.uint64))
+        rank = _windows(data, at)
+        suffixes = np.argsort(rank << np.uint64(9) | before.astype(np.uint64))
         new_block = starts_of(rank[suffixes])
         heads = np.flatnonzero(new_block | starts_of(before[suffixes]))
         self.samples = np.minimum.reduceat(docs[suffixes], heads)
@@ -268,11 +267,37 @@ class RunIndex:
 def _ranks(values: np.ndarray) -> np.ndarray:
     """The place of each value among the distinct values."""
     order = np.argsort(values)
-    ranks = np.empty(len(values), np.uint32)
-    ranks[order] = np.cumsum(starts_of(values[order]), dtype=np.uint32) - 1
+    ranks = np.empty(len(values), np.uint64)
+    ranks[order] = np.cumsum(starts_of(values[order]), dtype=np.uint64) - np.uint64(1)
     return ranks
 
 
+def _windows(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The place of each window among the distinct ones, in order of their bytes.
+
+    Segments have many more bytes than windows, so only the eights that a window is made of are
+    ranked over the bytes. A window's ranks and its last bytes are put side by side in 64 bits, and
+    what fills them is ranked itself.
+    """
+    used = np.zeros(len(data), bool)
+    for step in range(0, WINDOW - 8, 8):
+        used[at + step] = True
+    used = np.flatnonzero(used)
+    eights = np.zeros(len(data), np.uint64)
+    eights[used] = _ranks(_eights(data, ">u8")[used])
+    last = WINDOW - WINDOW % 8
+    fields = [eights[at + step] for step in range(0, last, 8)]
+    fields += [data[at + i].astype(np.uint64) for i in range(last, WINDOW)]
+    key, bits = fields[0], int(fields[0].max()).bit_length()
+    for field in fields[1:]:
+        width = int(field.max()).bit_length()
+        if bits + width > 64:
+            key = _ranks(key)
+            bits = int(key.max()).bit_length()
+        key, bits = key << np.uint64(width) | field, bits + width
+    return _ranks(key)
+
+
 _ASKED = pa.schema(
     [("range", pa.int32()), ("chunk", pa.int32()), ("bytes", pa.binary()), ("sizes", pa.binary()),
      ("docs", pa.binary())]
@@ -409,12 +434,12 @@ def repeated_spans(
     shared = materialize(found, "shared-anchors")
     n_ranges = chunks.range_count(total, range_bytes)
     asked = texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
-        _ask(n_ranges, hot_docs), sql_type(_ASKED)
+        gives_back(_ask(n_ranges, hot_docs)), sql_type(_ASKED)
     )
-    told = asked.groupBy("range").applyInArrow(_tell, sql_type(_TOLD))
+    told = asked.groupBy("range").applyInArrow(gives_back(_tell), sql_type(_TOLD))
     heard = told.unionByName(shared, allowMissingColumns=True)
     both = texts.groupBy("chunk").cogroup(heard.groupBy("chunk"))
-    return both.applyInArrow(_cut(n_ranges, hot_docs), sql_type(_LEFT))
+    return both.applyInArrow(gives_back(_cut(n_ranges, hot_docs)), sql_type(_LEFT))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -210,6 +210,50 @@ def test_run_index_streams_every_window_to_its_smallest_document():
         assert index.window_docs.tolist() == [smallest[w] for w, _ in windows]
 
 
+def test_windows_are_ranked_by_their_bytes_wherever_they_lie():
+    import numpy as np
+
+    r = random.Random(9)
+    for letters in (b"a", b"ab", bytes(range(256))):
+        segments = [bytes(r.choice(letters) for _ in range(r.randrange(50, 77))) for _ in range(60)]
+        segments += [segments[0][5:] + b"aaaaab", bytes(50), bytes(49) + b"\x01"]
+        data = np.frombuffer(b"".join(segments) + bytes(8), np.uint8)
+        ends = np.cumsum([len(s) for s in segments])
+        at = [i for e, s in zip(ends.tolist(), segments) for i in range(e - len(s), e - 49)]
+        windows = [data[i : i + 50].tobytes() for i in at]
+        place = {w: k for k, w in enumerate(sorted(set(windows)))}
+        assert suffix_dedup._windows(data, np.array(at)).tolist() == [place[w] for w in windows]
+
+
+def test_equal_windows_choose_equal_places_in_blocks_of_any_length():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for span in (4, 1 << 60):
+        h = r.integers(0, span, 3000).astype(np.uint64) << np.uint64(2)
+        place = suffix_dedup._smallest(h)
+        cut = suffix_dedup._smallest(h[1000:1100])
+        assert (cut + 1000 == place[1000 : 1000 + len(cut)]).all()
+        if span > 4:
+            least = [i + int(np.argmin(h[i : i + suffix_dedup.SPAN])) for i in range(len(place))]
+            assert place.tolist() == least
+
+
+def test_workers_give_memory_back_after_a_group(monkeypatch):
+    import pyarrow as pa
+
+    from tabletrust.llm import text
+
+    calls = []
+    monkeypatch.setattr(text, "give_back", lambda: calls.append(1))
+    rows = pa.table({"a": [1]})
+    assert text.gives_back(lambda a: a)(rows) is rows
+    assert text.gives_back(lambda a, b: b)(None, rows) is rows
+    batch = pa.RecordBatch.from_pydict({"text": ["ab", None]})
+    assert len(list(text.small_batches(iter([batch]), "text"))) == 1
+    assert len(calls) == 3
+
+
 # Decontamination
 
 ITEMS = [
