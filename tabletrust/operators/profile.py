@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tabletrust.functions import predicates as P
 from tabletrust.functions import rules
-from tabletrust.functions.conversions import as_text
+from tabletrust.functions.conversions import TEMPORAL, as_text
 from tabletrust.sources.catalog import Declared, type_name
 
 #: Up to so many distinct values of a column are counted exactly; more are estimated only.
@@ -102,7 +102,9 @@ def _estimates(c: Column, dtype: T.DataType) -> dict[str, Column]:
     if kind_of(dtype) == "integer":
         value = c.cast("bigint")
     elif kind_of(dtype) == "float":
-        value = (c + F.lit(0.0)).cast("string")  # -0.0 equals 0.0
+        value = F.when(c.isNotNull(), F.xxhash64(c + F.lit(0.0)))  # -0.0 equals 0.0
+    elif isinstance(dtype, TEMPORAL):
+        value = F.when(c.isNotNull(), F.xxhash64(c))  # text would cost more than the sketch
     else:
         value = as_text(c, dtype)
     return {"distinct_sketch": F.hll_sketch_agg(value, F.lit(SKETCH_LG))}

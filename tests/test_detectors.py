@@ -180,3 +180,48 @@ def test_distinct_counts_are_exact_up_to_the_limit_and_sketches_merge(spark):
     merged = {r["column"]: r for r in profile.merged_distinct(parts[0].union(parts[1])).collect()}
     assert all(merged[c]["distinct_low"] <= n <= merged[c]["distinct_high"] for c, n in exact.items())
     assert merged["all"]["distinct_high"] < 25_000
+
+
+def test_phones_are_told_without_rewriting_the_text(spark):
+    import re
+
+    from tabletrust.functions import rules
+    from tabletrust.operators import profile
+
+    texts = [
+        "+44 20 7946 0300", "12345678", "123-4567", "123-456", " 1234567", "1234567\n", "1234567\r\n",
+        "1" + "." * 6 + "234567", "123.456.789.012.345.6\n", "123.456.789.012.345.67", "+1234567", "1234567x",
+        "(123) 456\u0661", "1234567\u2028", "+" + "1" * 19 + "-", "+" + "1" * 19 + "-\u2028", "7 " * 9_000, "", None,
+    ]
+
+    def told(text):
+        ends = text.rstrip("\n\r\u0085\u2028\u2029")
+        body = text if re.fullmatch(rules.PHONE[1:-1], text, re.ASCII) else ends
+        fits = re.fullmatch(rules.PHONE[1:-1], body, re.ASCII) and text < ":"
+        digits = len(re.findall(r"[0-9]", text))
+        return bool(fits and digits >= 7 and digits < len(text))
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select(P.is_phone(F.col("t"))).collect()
+    assert [r[0] for r in found] == [None if t is None else told(t) for t in texts]
+    measures = df.agg(profile._counters(F.col("t"), df.schema[0].dataType)["phone"])
+    plan = measures._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "regexp_replace" not in plan
+
+
+def test_sketches_of_moments_and_floats_read_no_text(spark):
+    from tabletrust.operators import profile
+
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") > 0, F.timestamp_seconds("id")).alias("at"),
+        F.when(F.col("id") > 0, F.timestamp_seconds("id").cast("timestamp_ntz")).alias("plain"),
+        F.when(F.col("id") > 0, F.col("id") / 8).alias("x"),
+        F.when(F.col("id") % 3 == 0, 0.0).when(F.col("id") % 3 == 1, -0.0).alias("zero"),
+        F.when(F.col("id") % 2 == 0, float("nan")).alias("nan"),
+    )
+    for f in rows.schema.fields:
+        sketch = rows.agg(*profile._estimates(F.col(f.name), f.dataType).values())
+        assert "as string" not in sketch._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["column"]: r for r in profile_table(rows, "t", samples=False).collect()}
+    assert [got[c]["distinct_estimate"] for c in ("zero", "nan")] == [1, 1]
+    assert all(got[c]["distinct_low"] <= 29_999 <= got[c]["distinct_high"] for c in ("at", "plain", "x"))
