@@ -32,6 +32,8 @@ from tabletrust.sources.sinks import (
 BUCKET = "bucket_of_key"
 #: A bucket with more rows or bytes is split by the next write that touches it.
 ROWS_PER_BUCKET, BYTES_PER_BUCKET = 1 << 20, 256 << 20
+#: Rows that a task at least deals out to buckets, where there are more of them than tasks at once.
+ROWS_PER_TASK = 1 << 16
 #: With so many parts in a bucket, the next write that touches it merges the small ones.
 MOST_PARTS = 16
 #: Manifests whose files stay for readers that are still at work.
@@ -138,7 +140,7 @@ class KeyedTable:
         self._first = [Part(ROOT)]
         rows = self._held(df)
         try:
-            if not self.write(rows, bucket_counts(rows)):
+            if not self.write(rows, held_counts(rows)):
                 self._commit(self._first)
         finally:
             rows.unpersist()
@@ -195,7 +197,8 @@ class KeyedTable:
     # --- reading -------------------------------------------------------------------------
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
-        return self.read_parts([p for p in self.parts() if buckets is None or p.bucket in buckets])
+        wanted = None if buckets is None else set(buckets)
+        return self.read_parts([p for p in self.parts() if wanted is None or p.bucket in wanted])
 
     def read_parts(self, parts: list[Part]) -> DataFrame:
         paths = [f"{self.path}/{p.folder}/{BUCKET}={p.bucket}" for p in parts if p.folder]
@@ -210,7 +213,7 @@ class KeyedTable:
         thin; the others are named by their bucket.
         """
         own = [p for p in self.parts() if p.folder and p.bucket in counts and p.bucket != NO_KEY]
-        asked = [p for p in own if p.filter and counts[p.bucket] * ROWS_PER_ASKED_KEY < p.rows]
+        asked = {p for p in own if p.filter and counts[p.bucket] * ROWS_PER_ASKED_KEY < p.rows}
         if not asked:
             return own
         kind = self.schema()[self.key].dataType
@@ -235,7 +238,7 @@ class KeyedTable:
         """Add rows; returns how many."""
         rows = self._held(df)
         try:
-            return self.write(rows, bucket_counts(rows))
+            return self.write(rows, held_counts(rows))
         finally:
             rows.unpersist()
 
@@ -253,15 +256,23 @@ class KeyedTable:
             return 0
         gone = set(replaced)
         moved: list[Part] = []
-        leaves = self.leaves()
+        leaves = set(self.leaves())
+        held: dict[int, list[Part]] = {}
+        for p in self.parts():
+            if p.folder and p not in gone:
+                held.setdefault(p.bucket, []).append(p)
+        per_row = _bytes_per_row(self.parts())
         for bucket, n in counts.items():
-            own = [p for p in self.parts() if p.bucket == bucket and p.folder and p not in gone]
-            levels = self._levels(bucket, own, n)
+            own = held.get(bucket, [])
+            levels = self._levels(bucket, own, n, per_row)
             if levels:
-                leaves = [b for b in leaves if b != bucket] + split_leaf(bucket, levels)
+                leaves.discard(bucket)
+                leaves.update(split_leaf(bucket, levels))
                 moved += own
             elif len(own) >= MOST_PARTS:
                 moved += merge_group(own)
+        leaves = sorted(leaves)
+        rows = gathered(rows, sum(counts.values()))
         if moved:
             rows = rows.drop(BUCKET).unionByName(self.read_parts(moved))
         gone.update(moved)
@@ -271,13 +282,12 @@ class KeyedTable:
         self._commit([*kept, *new, *(Part(b) for b in leaves if b not in used)])
         return sum(p.rows for p in new) - sum(p.rows for p in moved)
 
-    def _levels(self, bucket: int, parts: list[Part], n: int) -> int:
-        """How many times a bucket must be split to take `n` more rows."""
+    def _levels(self, bucket: int, parts: list[Part], n: int, per_row: float) -> int:
+        """How many times a bucket must be split to take `n` more rows; an empty one's take `per_row`."""
         if bucket == NO_KEY:
             return 0
         rows = n + sum(p.rows for p in parts)
-        known = [p for p in parts or self.parts() if p.rows]
-        per_row = sum(p.bytes for p in known) / max(1, sum(p.rows for p in known))
+        per_row = _bytes_per_row(parts) if parts else per_row
         most_rows, most_bytes = self.bounds
         return max(0, math.ceil(math.log2(max(1, rows / most_rows, rows * per_row / most_bytes))))
 
@@ -301,9 +311,9 @@ class KeyedTable:
         parts = [
             Part(r[BUCKET], folder, r["rows"], r["bytes"], r["low"], r["high"]) for r in stats.collect()
         ]
-        large = [p for p in parts if p.rows >= FILTER_ROWS and p.bucket != NO_KEY]
+        large = {p for p in parts if p.rows >= FILTER_ROWS and p.bucket != NO_KEY}
         if large:
-            self._write_filters(written, folder, large)
+            self._write_filters(written, folder, sorted(large, key=lambda p: p.bucket))
         return [replace(p, filter=p in large) for p in parts]
 
     # --- filters -------------------------------------------------------------------------
@@ -372,6 +382,25 @@ def _all_set() -> Column:
     return out
 
 
+def _bytes_per_row(parts: list[Part]) -> float:
+    return sum(p.bytes for p in parts) / max(1, sum(p.rows for p in parts))
+
+
+def gathered(rows: DataFrame, n: int) -> DataFrame:
+    """The `n` rows in no more partitions than they need.
+
+    A shuffle by bucket sends something from nearly every partition to every other, so its small
+    blocks grow with the square of the partitions, however few rows each has.
+    """
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(1, parallel, -(-n // ROWS_PER_TASK)))
+
+
+def held_counts(rows: DataFrame) -> dict[int, int]:
+    """The counts of held rows, which a first job evaluates in all their partitions."""
+    return bucket_counts(gathered(rows, rows.count()))
+
+
 def bucket_counts(rows: DataFrame) -> dict[int, int]:
     """Rows in each bucket; at most as many numbers as the table has buckets."""
     return {r[0]: r[1] for r in rows.groupBy(BUCKET).agg(F.count(F.lit(1))).collect()}
@@ -397,7 +426,7 @@ def write_keyed(table: KeyedTable, new: DataFrame, strategy: str, sequence: str)
     rows = table._held(new.select(*columns))
     held = [rows]
     try:
-        counts = bucket_counts(rows)
+        counts = held_counts(rows)
         parts = table.parts_with(rows, counts)
         old = table.read_parts(parts)
         if strategy == "fail":
@@ -418,7 +447,7 @@ def write_keyed(table: KeyedTable, new: DataFrame, strategy: str, sequence: str)
             # A row without a key has no equal among the old keys and stays.
             rows = rows.join(old.select(key), key, "left_anti").select(*rows.columns)
             held.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
-            counts = bucket_counts(rows)
+            counts = held_counts(rows)
         return table.write(rows, counts)
     finally:
         for df in held:

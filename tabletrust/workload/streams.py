@@ -28,8 +28,13 @@ COPY_MAP = TableMap(
 )
 
 
+#: Bytes of a row group of the arriving files: a task can start at any, however few files a batch has.
+ROW_GROUP = 4 << 20
+
+
 def _split_files(df: DataFrame, path: str, files: int) -> None:
-    df.repartition(files).write.mode("append").parquet(path)
+    rows = df.repartition(files).write.mode("append")
+    rows.option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def _copy(spark, folder) -> CopyJob:

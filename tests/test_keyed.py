@@ -200,3 +200,44 @@ def _counting(parts_with, opened):
         return parts
 
     return spy
+
+
+def test_few_rows_are_dealt_to_buckets_by_few_tasks(spark):
+    rows = spark.range(0, 5_000, 1, 200)
+    most = spark.sparkContext.defaultParallelism
+    assert keyed.gathered(rows, 5_000).rdd.getNumPartitions() <= most
+    assert keyed.gathered(rows, 100 * keyed.ROWS_PER_TASK).rdd.getNumPartitions() == max(most, 100)
+    table = _table(spark, rows_per_bucket=500)
+    table.create(rows)
+    read = table._held(spark.range(5_000, 10_000, 1, 200))
+    counts = keyed.held_counts(read)
+    assert sum(counts.values()) == 5_000 and table.write(read, counts) == 5_000
+    read.unpersist()
+    assert sorted(r.id for r in table.read().collect()) == list(range(10_000))
+
+
+def test_a_write_goes_through_the_manifest_a_fixed_number_of_times(spark, monkeypatch):
+    table = _table(spark, rows_per_bucket=4)
+    table.create(spark.range(600).select("id"))
+    assert len(table.leaves()) > 100
+    parts, asked = KeyedTable.parts, []
+    monkeypatch.setattr(KeyedTable, "parts", lambda self: asked.append(1) or parts(self))
+    assert table.append(spark.range(600, 1_200).select("id")) == 600
+    assert len(asked) < 20
+    monkeypatch.undo()
+    assert sorted(r.id for r in table.read().collect()) == list(range(1_200))
+
+
+def test_arriving_files_can_be_read_by_several_tasks(spark):
+    from tabletrust.workload import streams
+
+    path = fresh_path(spark, "arriving")
+    rows = spark.range(400_000).select("id", F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"))
+    streams._split_files(rows, path, 1)
+    with_conf = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(streams.ROW_GROUP))
+        read = spark.read.parquet(path).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_conf)
+    assert len(read) > 1 and sum(r["count"] for r in read) == 400_000
